@@ -1,11 +1,13 @@
 """SimHash near-duplicates, candidates found by Golay-code fuzzy hashing.
 
 A 64-bit fingerprint is cut into segments of 23, 23 and 18 bits. Two fingerprints that differ in at
-most four bits have two segments with at most two differing bits between them (pigeonhole). For
-such a pair of segments some word within one bit of both fingerprints exists, so both get the Golay
-codeword indices of that word: every fingerprint gets, for each pair of segments, the indices of
-its own word and of all words one bit away (ten keys on average). Equal keys are joined and the
-bits that differ are counted, which makes the links exact.
+most four bits have two segments with at most two differing bits between them (pigeonhole), and
+then some pair of words lies within one bit of both. Its key is the Golay codeword index of the
+first word (12 bits) with the second word as it is: a fingerprint gets, for each pair of segments,
+the keys of its own words and of all words one bit away, where bits flipped in the first segment
+fall onto six codewords at most. That makes 75 keys on average, of 30 or 35 bits, so that chance
+meetings stay rare among billions. Equal keys are joined and the bits that differ are counted,
+which makes the links exact.
 """
 
 from __future__ import annotations
@@ -112,27 +114,28 @@ def codeword_index(words: np.ndarray) -> np.ndarray:
 
 def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, position of the fingerprint) for every key of every fingerprint."""
-    near = []
+    words, near = [], []
     for shift, width in SEGMENTS:
-        word = (fps >> np.uint64(shift) & np.uint64((1 << width) - 1)).astype(np.uint32)
-        flips = np.concatenate([[0], 1 << np.arange(width)]).astype(np.uint32)
-        near.append(codeword_index(word[:, None] ^ flips).astype(np.int64))
+        word = (fps >> np.uint64(shift) & np.uint64((1 << width) - 1)).astype(np.int64)
+        around = word[:, None] ^ np.concatenate([[0], 1 << np.arange(width)])
+        words.append(around)
+        near.append(codeword_index(around).astype(np.int64))
     keys, rows = [], []
     for pair, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-        own = near[a][:, :1] << 12 | near[b][:, :1]
-        made = np.sort(np.concatenate([own, near[a][:, 1:] << 12 | near[b][:, :1], near[a][:, :1] << 12 | near[b][:, 1:]], 1), 1)
-        fresh = np.ones(made.shape, bool)
-        fresh[:, 1:] = made[:, 1:] != made[:, :-1]
-        keys.append(made[fresh] | pair << 24)
-        rows.append(np.nonzero(fresh)[0])
+        decoded = np.sort(near[a], 1)
+        fresh = np.ones(decoded.shape, bool)
+        fresh[:, 1:] = decoded[:, 1:] != decoded[:, :-1]
+        at = np.nonzero(fresh)[0]
+        keys += [decoded[fresh] << 23 | words[b][at, 0] | pair << 35, (near[a][:, :1] << 23 | words[b][:, 1:] | pair << 35).ravel()]
+        rows += [at, np.repeat(np.arange(len(fps)), words[b].shape[1] - 1)]
     return np.concatenate(keys), np.concatenate(rows)
 
 
 def _golay_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         all_fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for a in range(0, len(all_fps), 8192):
-            fps = all_fps[a : a + 8192]
+        for a in range(0, len(all_fps), 4096):
+            fps = all_fps[a : a + 4096]
             keys, rows = keys_of(fps)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[rows].view(np.int64))], ["key", "fp"])
 
@@ -211,22 +214,18 @@ def links(fps: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFrame:
     """
     if bits > 4:
         raise ValueError("segment pairs find at most 4 differing bits")
-    keys = materialize(fps.select("fp").distinct().mapInArrow(_golay_rows, "key long, fp long"), "golay")
-    hot = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1), "golay-keys")
-    hot = hot.withColumn("g", F.ceil(F.col("n") / block).cast("int"))
-    dealt = keys.join(hot.filter("g = 1").select("key"), "key", "left_semi").withColumn("part", F.lit(0))
-    many = hot.filter("g > 1")
-    if many.limit(1).count():
-        small = many.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
-        side = many.select("key", "g")
+    keys = fps.select("fp").distinct().mapInArrow(_golay_rows, "key long, fp long")
+    hot = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block), "golay-hot")
+    hot = hot.select("key", F.ceil(F.col("n") / block).cast("int").alias("g"))
+    n_hot = hot.count()
+    if not n_hot:
+        dealt = keys.withColumn("part", F.lit(0))
+    else:
+        side = F.broadcast(hot) if n_hot <= MAX_BROADCAST_KEYS else hot
+        marked = keys.join(side, "key", "left").withColumn("g", F.coalesce("g", F.lit(1)))
         own = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
-        split = (
-            keys.join(F.broadcast(side) if small else side, "key")
-            .withColumn("own", own)
-            .select("key", "fp", "own", "g", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
-            .select("key", "fp", (F.least("own", "other") * F.col("g") + F.greatest("own", "other") + 1).cast("int").alias("part"))
-        )
-        dealt = dealt.select("key", "fp", "part").unionByName(split)
+        marked = marked.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+        dealt = marked.withColumn("part", F.least("own", "other") * F.col("g") + F.greatest("own", "other"))
     dealt = dealt.select("key", "part", "fp").repartition("key", "part").sortWithinPartitions("key", "part", "fp")
     return dealt.mapInArrow(_links(bits), "u long, v long").distinct()
 
