@@ -343,8 +343,9 @@ def tag_texts(model: Tagger, texts: list[str]) -> list[list[Span]]:
     jobs: list[tuple[int, int]] = []
     for i, c in enumerate(codes):
         hot = np.unique(np.flatnonzero((c == digit) | (c == at)) // STRIDE)
-        starts = np.unique(np.concatenate([hot - 1, hot])) if len(hot) else hot
-        jobs += [(i, int(s) * STRIDE) for s in starts if s >= 0 or len(c) <= STRIDE]
+        # windows that reach the stretch itself and a stretch on either side of it
+        starts = np.unique(hot[:, None] + np.arange(-2, 2))
+        jobs += [(i, int(s) * STRIDE) for s in starts if 0 <= s * STRIDE < len(c)]
     tags = [np.zeros(len(c), np.int8) for c in codes]
     pad = _CLASSES[ord("\n")]
     for a in range(0, len(jobs), BATCH):
