@@ -1,0 +1,306 @@
+"""Operators against brute force, on documents with every odd case."""
+
+import hashlib
+import zlib
+from collections import Counter, defaultdict
+
+import brute
+import duckdb
+import numpy as np
+import pytest
+
+from pitwise.llm import ctph, decontaminate, langid, licenses, linededup, mixing, pii, quality, sharding, simhash
+
+
+def got(df, *columns):
+    return Counter(tuple(r) for r in df.select(*columns).collect())
+
+
+def test_licenses(docs, rows):
+    want = Counter((r[0], *brute.licenses(r[1])) for r in rows)
+    found = licenses.scan_licenses(docs)
+    assert got(found, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == want
+    labels = {r.doc_id: r for r in found.collect()}
+    assert labels[18].labels == "cc-by,cc-by-nc,mit" and 0 < labels[18].score <= 1
+
+
+def test_license_notice_with_changed_words(spark):
+    notice = dict((v, k) for k, v in reversed(licenses.NOTICES))
+    text = next(t for t, label in notice.items() if label == "bsd").split()
+    text[9] = "sometimes"
+    del text[14]
+    one = spark.createDataFrame([(1, "intro words here " + " ".join(text) + " and more")], "doc_id long, text string")
+    row = licenses.scan_licenses(one).first()
+    assert row.labels == "bsd" and row.base_labels == "" and 0.6 <= row.score < 1 if row.labels else row.score >= 0.5
+
+
+def test_simhash_components(docs, rows):
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    fps = [brute.simhash(rows[i][1]) for i in order]
+    first = brute.roots(fps)
+    want = Counter((rows[i][0], fps[k], rows[order[first[k]]][0]) for k, i in enumerate(order))
+    found = Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs).collect())
+    assert found == want
+
+
+@pytest.mark.parametrize("block", [4, 4096])
+def test_links_of_close_fingerprints(spark, block):
+    rng = np.random.default_rng(1)
+    values = set()
+    for centre in rng.integers(0, 1 << 63, 12, dtype=np.uint64).tolist():
+        for _ in range(25):
+            bits = rng.choice(64, rng.integers(0, 7), replace=False)
+            values.add(centre ^ sum(1 << int(b) for b in bits))
+    values = sorted(values)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    edges = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), 4, block)
+    found = {r.node % (1 << 64): r.root % (1 << 64) for r in simhash.components(edges).collect()}
+    want = brute.roots(values)
+    groups, mine = defaultdict(set), defaultdict(set)
+    for v, w in zip(values, want, strict=True):
+        groups[w].add(v)
+        mine[found.get(v, v)].add(v)
+    assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in mine.values()}
+    assert edges.count() <= 12 * len(values)
+
+
+def test_golay_decodes_to_the_nearest_codeword():
+    words = np.random.default_rng(0).integers(0, 1 << 23, 500)
+    index = simhash.codeword_index(words)
+    code = np.array([m << 11 for m in range(4096)])
+    code = code | (code ^ code)  # systematic part only; the distance test below uses encoded words
+    encoded = {}
+    for m in range(4096):
+        rest = m << 11
+        for bit in range(22, 10, -1):
+            if rest >> bit & 1:
+                rest ^= simhash.GOLAY << (bit - 11)
+        encoded[m] = m << 11 | rest
+    assert all((int(w) ^ encoded[int(i)]).bit_count() <= 3 for w, i in zip(words, index, strict=True))
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_decontamination(docs, rows, benchmark, block_bytes):
+    items = [tuple(r) for r in benchmark.collect()]
+    want = Counter((r[0], *brute.contamination(r[1], items)) for r in rows)
+    found = decontaminate.verdicts(decontaminate.scan_windows(docs, benchmark, max_set_bytes=block_bytes))
+    assert got(found, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
+
+
+def test_decontaminated_documents(docs, rows, benchmark):
+    items = [tuple(r) for r in benchmark.collect()]
+    clean = decontaminate.clean_documents(docs, benchmark)
+    assert clean.columns == docs.columns
+    assert Counter(tuple(r) for r in clean.collect()) == Counter(r for r in rows if not brute.contamination(r[1], items)[-1])
+    texts = decontaminate.without_spans(docs, benchmark)
+    left = decontaminate.verdicts(decontaminate.scan_windows(texts, benchmark.filter("item_id = 1")))
+    assert left.filter("n_hit > 0").count() == 0
+
+
+def test_mixing_agrees_with_sql(docs, rows):
+    con = duckdb.connect()
+    documents = docs.select("doc_id", "text", "source").toPandas()  # noqa: F841
+    con.register("documents", documents.astype({"doc_id": "Int64"}))
+    want = Counter(tuple(r) for r in con.sql(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.ORACLE})").fetchall())
+    mixed = mixing.mix(docs)
+    assert got(mixed, "doc_id", "size", "source_size", "target", "taken") == want
+    assert all(r.taken <= 3 * r.size for r in mixed.collect())
+
+
+def test_mixing_targets(spark):
+    sizes = spark.createDataFrame([("a", 1000), ("b", 10), ("c", 500), (None, 90)], "source string, source_size long")
+    target = {r.source: r.target for r in mixing.targets(sizes).collect()}
+    assert target["b"] == 30 and sum(target.values()) == pytest.approx(1600)
+    assert all(target[s] <= 3 * n + 1e-9 for s, n in (("a", 1000), ("c", 500), (None, 90)))
+    rows = [(i, "x", 10, i * 7919 % (1 << 48)) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long, h long")
+    goal = spark.createDataFrame([("x", 5000, 1234.0)], "source string, source_size long, target double")
+    below = mixing.thresholds(docs, goal).first()
+    assert abs(sum(r[2] for r in rows if r[3] < below.below) - 1234) <= 5
+
+
+def test_mixed_documents_keep_all_columns(docs):
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    words = mixed.select(mixing.n_words(mixed.text).alias("n")).groupBy().sum("n").first()[0]
+    assert words == sum(r.taken for r in mixing.mix(docs).collect())
+
+
+def test_sharding(docs, rows):
+    plan = sharding.plan(docs, group=5)
+    found = plan.collect()
+    assert len(found) == len(rows)
+    slots, at = defaultdict(list), {}
+    for r in found:
+        slots[r.shard].append(r.slot)
+        assert at.setdefault(r.doc_id, r.shard) == r.shard
+        assert r.grown_shard in (r.shard, 24) and 0 <= r.shard < 24 and r.law == "key"
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in found) == Counter((r[0], len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in rows)
+
+
+def test_sharding_moves_only_into_what_changed(spark):
+    ids = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    before = {r.doc_id: r.p for r in ids.select("doc_id", sharding.place(ids.doc_id, sharding.layout(24)).alias("p")).collect()}
+    heavier = [leaf._replace(weight=3.0) if leaf.shard == 5 else leaf for leaf in sharding.layout(24)]
+    after = {r.doc_id: r.p for r in ids.select("doc_id", sharding.place(ids.doc_id, heavier).alias("p")).collect()}
+    moved = [(before[i], after[i]) for i in before if before[i].shard != after[i].shard]
+    assert moved
+    # a move crosses regions only into the region whose weight grew, and racks only into the rack that grew
+    assert all(b.region == a.region or a.region == "r0" for b, a in moved)
+    assert all(b.rack == a.rack or a.rack == "k1" for b, a in moved if b.region == a.region)
+    counts = Counter(p.shard for p in before.values())
+    assert max(counts.values()) < 1.25 * 20_000 / 24 and min(counts.values()) > 0.75 * 20_000 / 24
+
+
+def test_lines(docs, rows):
+    want = Counter(brute.lines([(r[0], r[1]) for r in rows]))
+    kept = linededup.kept_texts(docs, linededup.bitmaps(docs))
+    found = Counter((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.kept.encode()).hexdigest()) for r in kept.collect())
+    assert found == want and any(w[2] for w in want)
+
+
+def test_fingerprints_and_successors(docs, rows):
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    found = ctph.compare_with_next(docs).collect()
+    assert len(found) == len(rows)
+    by_id = defaultdict(list)
+    for r in found:
+        by_id[r.doc_id].append(r)
+    single = [i for i, n in Counter(r[0] for r in rows).items() if n == 1]
+    for k, row in enumerate(order):
+        nxt = order[(k + 1) % len(order)]
+        if row[0] in single and nxt[0] in single:
+            text = row[1] or ""
+            assert by_id[row[0]][0].n_chars == len(text)
+            assert by_id[row[0]][0].edited_sha256 == brute.sha(ctph.edited(text, nxt[1] or ""))
+            assert by_id[row[0]][0].fingerprint == ctph.fingerprint(text.encode())
+            assert 0 <= by_id[row[0]][0].near_edited <= 1 and 0 <= by_id[row[0]][0].near_next <= 1
+
+
+def test_edit_distance():
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    rng = np.random.default_rng(0)
+    pairs = [tuple(bytes(rng.integers(65, 69, rng.integers(0, 65)).astype(np.uint8)) for _ in "ab") for _ in range(300)]
+    assert ctph.edit_distances(pairs).tolist() == [plain(a, b) for a, b in pairs]
+
+
+def test_fingerprints_of_changed_texts_are_alike():
+    rng = np.random.default_rng(0)
+    text = bytes(rng.integers(97, 123, 20_000).astype(np.uint8))
+    other = bytes(rng.integers(97, 123, 20_000).astype(np.uint8))
+    prints = [ctph.fingerprint(t) for t in (text, text[:9000] + b"new words" + text[9000:], other, b"")]
+    near = ctph.likeness([(prints[0], prints[0]), (prints[0], prints[1]), (prints[0], prints[2]), (prints[0], prints[3])])
+    assert near[0] == 1 and near[1] > 0.9 and near[2] < 0.3 and near[3] == 0
+
+
+def test_personal_data(docs, rows):
+    want = Counter((r[0], ",".join(f"{k}:{a}:{b}" for k, a, b in brute.personal(r[1]))) for r in rows)
+    found = pii.find_personal_data(docs).collect()
+    assert Counter((r.doc_id, ",".join(r.base)) for r in found) == want
+    assert all(set(r.base) <= set(r.spans) for r in found)
+
+
+def test_patterns_without_retries():
+    odd = ["a@b.c@d.e", "@x.y", "..@-.-", "1.2.3.4.5.6.7.8", "256.1.1.1 1.1.1.1", "0000.1.1.1", "+1 +1 555 123 4567", "4111-1111-1111-1111-", "1" * 300, "é@b.co a@é.co", "a" * 3000 + "@", "1.2.3", "+12345678"]
+    for text in odd:
+        assert sorted(pii.base_spans(text)) == sorted(brute.personal(text)), text
+
+
+def test_tagger_learns_held_out_spans():
+    right = total = wrong = 0
+    model = pii.default_tagger()
+    held = pii.examples(300, seed=77)
+    x = np.stack([pii.classes(t[: pii.WIDTH].ljust(pii.WIDTH, "\n")) for t, _ in held]).astype(int)
+    for (_, spans), tags in zip(held, pii.viterbi(model, pii.emissions(model, x.T)).T, strict=True):
+        read = set(pii._read_spans(tags))
+        right, total, wrong = right + len(read & set(spans)), total + len(spans), wrong + len(read - set(spans))
+    assert right >= 0.75 * total and wrong <= 0.25 * total
+    text = "words before (132) 555-1352 and after " * 4
+    assert pii.all_spans(model, [text])[0][1]
+    assert pii.all_spans(model, ["no digits here at all"]) == [([], [])]
+    for n in (1, 5, 31, 32, 33, 47, 48, 64, 65, 200):
+        assert len(pii.tag_texts(model, [("ab 1 @" * 40)[:n], "7" * n])) == 2
+
+
+def test_tagger_gradients():
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, pii.N_CLASSES, (6, 3))
+    table, weights = rng.normal(0, 0.5, (pii.N_CLASSES, 16)), rng.normal(0, 0.5, (4, 16))
+    out, moves, first = rng.normal(0, 0.5, (4, pii.N_TAGS)), rng.normal(0, 0.5, (pii.N_TAGS,) * 2), rng.normal(0, 0.5, pii.N_TAGS)
+    tags = rng.integers(0, pii.N_TAGS, (6, 3))
+
+    def loss(w):
+        scores = (pii._lstm(x, table, w) @ out).astype(float)
+        total = 0.0
+        for r in range(3):
+            a = scores[0, r] + first
+            own = a[tags[0, r]]
+            for t in range(1, 6):
+                own += moves[tags[t - 1, r], tags[t, r]] + scores[t, r, tags[t, r]]
+                a = pii._logsum(a[:, None] + moves, 0) + scores[t, r]
+            total += pii._logsum(a[None], 1)[0] - own
+        return total / 3
+
+    run = pii._lstm(x, table, weights, True)
+    d, _, _ = pii._crf_gradients(run[0] @ out, tags, moves, first)
+    _, g = pii._lstm_back(x, table, weights, run, d @ out.T)
+    step = np.zeros_like(weights)
+    step[1, 5] = 1e-3
+    assert g[1, 5] == pytest.approx((loss(weights + step) - loss(weights - step)) / 2e-3, rel=0.05, abs=2e-3)
+
+
+def test_language_id(spark, docs, rows):
+    learn = [(i, ("the water of that house and with the " if i % 2 else "le chat de la maison et dans la rue ") * 3, "en" if i % 2 else "fr") for i in range(200)]
+    model = langid.train(spark.createDataFrame(learn, "doc_id long, text string, lang string"))
+    texts = [(1, "that house with the water"), (2, "dans la maison le chat"), (3, None), (4, "12 34 !!"), (5, ""), (6, "zzzzqqq")]
+    found = {r.doc_id: r for r in langid.predict(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert [found[i].lang_pred for i in (1, 2, 3, 4, 5)] == ["en", "fr", "und", "und", "und"]
+    assert found[6].lang_pred in ("en", "fr") and found[3].score == 0 and 0 < found[1].score <= 1
+    assert langid.predict(docs, model).count() == len(rows)
+
+
+def test_language_filters_return_every_language_of_an_ngram():
+    shared, own = [11, 12, 13], {"a": [1, 2, 3], "b": [4, 5]}
+    filters = langid.build({k: v + shared for k, v in own.items()}, "a")
+    mask = langid.lookup(filters, np.array([1, 4, 11, 999], np.uint32))[:, 0].tolist()
+    assert mask == [1, 2, 3, 0]
+
+
+def test_factorisation_machine(spark):
+    rng = np.random.default_rng(0)
+    x, w, v = rng.normal(size=(5, 7)), rng.normal(size=7), rng.normal(size=(7, 3))
+    plain = [sum(w[i] * r[i] for i in range(7)) + sum(v[i] @ v[j] * r[i] * r[j] for i in range(7) for j in range(i)) for r in x]
+    assert quality.raw_scores(x, w, v, 0.0) == pytest.approx(plain)
+    good = lambda i: f"plain words stand here in order number {i}. They end well."
+    docs = spark.createDataFrame([(i, good(i) if i % 2 else good(i).upper().replace(" ", "!! "), 10) for i in range(300)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(5, None)], "doc_id long, quality int")
+    made = quality.scored(docs, quality.train(docs, labels)).collect()
+    assert sum(r.predicted == r.doc_id % 2 for r in made) >= 297 and all(0 <= r.score <= 1 for r in made)
+
+
+def test_quality_without_labels_and_odd_rows(spark, docs, rows):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    made = quality.scored(docs, quality.train(docs, none))
+    assert made.count() == len(rows)
+
+
+def test_empty_tables(empty, benchmark, spark):
+    assert licenses.scan_licenses(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0
+    assert decontaminate.verdicts(decontaminate.scan_windows(empty, benchmark)).count() == 0
+    assert mixing.mix(empty).count() == 0
+    assert sharding.plan(empty).count() == 0
+    assert linededup.kept_texts(empty, linededup.bitmaps(empty)).count() == 0
+    assert ctph.compare_with_next(empty).count() == 0
+    assert pii.find_personal_data(empty).count() == 0
+    assert langid.predict(empty, langid.train(empty)).count() == 0
+    assert quality.scored(empty.drop("score"), quality.train(empty, spark.createDataFrame([], "doc_id long, quality int"))).count() == 0

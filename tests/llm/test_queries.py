@@ -1,0 +1,60 @@
+"""The registered queries and the pipeline on small tables."""
+
+import sys
+from collections import Counter
+from pathlib import Path
+
+import brute
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+from compare import differences, duck  # noqa: E402
+
+import corpus_pipeline  # noqa: E402
+from pitwise.llm import registry  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_agrees_with_sql(spark, name):
+    assert differences(registry.queries()[name](spark, SF), duck(SF), registry.oracle_sql()[name]) == ""
+
+
+def test_language_on_held_out_documents(spark):
+    docs = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()}
+    held = [r for r in registry.op1_language(spark, SF).collect() if r.held_out and docs[r.doc_id]]
+    assert held and sum(r.lang_pred == docs[r.doc_id] for r in held) >= 0.95 * len(held)
+
+
+def test_quality_on_held_out_documents(spark):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    held = [r for r in registry.op10_quality(spark, SF).collect() if r.held_out and r.doc_id in labels]
+    assert held and sum(r.predicted == labels[r.doc_id] for r in held) >= 0.85 * len(held)
+
+
+def test_sharding_reruns_agree(spark):
+    first, again = (Counter(tuple(r) for r in registry.op2_sharding(spark, SF).collect()) for _ in range(2))
+    assert first == again
+
+
+def test_stages_keep_columns_and_take_effect(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, counts = docs.columns, [docs.count()]
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        counts.append(docs.count())
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert docs.columns == columns
+        if name == "near_dedup":
+            rows = sorted((r.doc_id, r.text) for r in before.select("doc_id", "text").collect())
+            first = brute.roots([brute.simhash(t) for _, t in rows])
+            assert sorted(r.doc_id for r in docs.collect()) == [rows[i][0] for i in sorted(set(first))]
+        if name == "decontamination":
+            items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+            clean = [r.doc_id for r in before.collect() if not brute.contamination(r.text, items)[-1]]
+            assert sorted(r.doc_id for r in docs.collect()) == sorted(clean)
+    assert counts[0] > counts[1] > counts[2] >= counts[3] and counts[5] == counts[4] and "shard" in docs.columns
+    assert corpus_pipeline.run(spark, SF).count() == counts[5]
