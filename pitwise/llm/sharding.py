@@ -40,16 +40,15 @@ def layout(n: int) -> list[Leaf]:
     return first + [Leaf(f"r+{s}", f"k+{s}", s) for s in range(FIRST, n)]
 
 
-def _unit(doc_id: Column, node: str | Column) -> Column:
-    """A number in (0, 1) for the document and the node."""
-    name = F.lit(node) if isinstance(node, str) else node
-    text = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), name)
-    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+def _draw(doc_id: Column, node: str) -> Column:
+    """A 48-bit number for the document and the node."""
+    text = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f"|{node}"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long")
 
 
 def _descend(doc_id: Column, children: dict[str, float]) -> Column:
     """The name of the child with the least weighted draw; names break ties."""
-    draws = [F.struct((-F.ln(_unit(doc_id, name)) / F.lit(float(w))).alias("draw"), F.lit(name).alias("name")) for name, w in sorted(children.items()) if w > 0]
+    draws = [F.struct((-F.ln((_draw(doc_id, name).cast("double") + 0.5) / float(1 << 48)) / F.lit(float(w))).alias("draw"), F.lit(name).alias("name")) for name, w in sorted(children.items()) if w > 0]
     return (F.least(*draws) if len(draws) > 1 else draws[0])["name"]
 
 
@@ -94,7 +93,7 @@ def plan(docs: DataFrame, n: int = 24, doc_id: str = "doc_id", text: str = "text
     )
     rows = materialize(rows.select("doc_id", "size", "text_crc32", "at.shard", "at.region", "at.rack", "grown_shard"), "shards")
     groups = max(16, rows.count() // (n * group) + 1)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+    rows = rows.withColumn("part", (_draw(F.col("doc_id"), "slot") % groups).cast("int"))
     counts = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))

@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from compare import differences, duck  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from pitwise.llm import registry  # noqa: E402
+from pitwise.llm import registry, sharding  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,6 +21,32 @@ def test_agrees_with_sql(spark, name):
     assert differences(registry.queries()[name](spark, SF), duck(SF), registry.oracle_sql()[name]) == ""
 
 
+def placement_sql(n=24, group=sharding.SLOT_GROUP):
+    """The sharding query in DuckDB, which has no crc32: all other columns."""
+    leaves = ", ".join(f"({m}, '{x.region}', '{x.rack}', 's{x.shard}', {float(x.weight)})" for m in (n, n + 1) for x in sharding.layout(m))
+    draw = "CAST('0x' || substr(md5(k || '|' || {}), 1, 12) AS BIGINT)".format
+    first = lambda node: f"QUALIFY row_number() OVER (PARTITION BY rid, n ORDER BY -ln(({draw(node)} + 0.5) / 281474976710656.0) / w, {node}) = 1"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, coalesce(text, '') AS text FROM documents),
+leaf(n, region, rack, shard, w) AS (VALUES {leaves}),
+regions AS (SELECT n, region, sum(w) AS w FROM leaf GROUP BY ALL),
+racks AS (SELECT n, region, rack, sum(w) AS w FROM leaf GROUP BY ALL),
+a AS (SELECT rid, k, n, region FROM d, regions {first('region')}),
+b AS (SELECT rid, k, n, region, rack FROM a JOIN racks USING (n, region) {first('rack')}),
+c AS (SELECT rid, k, n, region, rack, CAST(substr(shard, 2) AS INTEGER) AS shard FROM b JOIN leaf USING (n, region, rack) {first('shard')}),
+g AS (SELECT greatest(16, count(*) // {n * group} + 1) AS g FROM documents),
+x AS (
+  SELECT doc_id, CAST(strlen(text) + 8 AS BIGINT) AS size, c.shard, c.region, c.rack, e.shard AS grown_shard, {draw("'slot'").replace('k ||', 'd.k ||')} % g AS part
+  FROM d JOIN c ON c.rid = d.rid AND c.n = {n} JOIN c e ON e.rid = d.rid AND e.n = {n + 1}, g)
+SELECT doc_id, size, 'key' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY part, doc_id, size) - 1 AS BIGINT) AS slot, grown_shard, region, rack
+FROM x
+"""
+
+
+def test_placement_agrees_with_sql(spark):
+    assert differences(registry.op2_sharding(spark, SF).drop("text_crc32"), duck(SF), placement_sql()) == ""
+
+
 def test_language_on_held_out_documents(spark):
     docs = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()}
     held = [r for r in registry.op1_language(spark, SF).collect() if r.held_out and docs[r.doc_id]]
