@@ -59,7 +59,8 @@ def bitmaps(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, doc_id:
     document, smaller than all; equal rows share a bitmap; an empty table gives no rows.
     """
     lines = materialize(long_lines(docs, least_chars, doc_id, text), "lines")
-    twice = repeated_lines(lines, least_docs)
+    # written, so that both sides of the join are plain exchanges and Spark can split a very common line
+    twice = materialize(repeated_lines(lines, least_docs), "line-keys")
     gone = lines.join(twice, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keep")))
     at = gone.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     starts = F.filter("at", lambda x, i: (i == 0) | (F.get("at", i - 1) != x - 1))

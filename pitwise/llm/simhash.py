@@ -269,3 +269,17 @@ def near_duplicates(docs: DataFrame, k: int = 4, bits: int = 4, doc_id: str = "d
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     of = roots.join(least, "root").select("fp", "component_id")
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_per_group(docs: DataFrame, k: int = 4, bits: int = 4) -> DataFrame:
+    """One row of each near-duplicate group, with all its columns: the one with the smallest doc_id.
+
+    Rows of one id are told apart by a hash of the text; of equal rows one stays. A null id stays
+    only where its group has no other.
+    """
+    tagged = docs.withColumn("_tag", F.xxhash64("text"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_tag").alias("tag"))
+    found = near_duplicates(tagged.select(rank.alias("rank"), "text"), k, bits, doc_id="rank")
+    kept = found.filter("doc_id = component_id").select("component_id.id", "component_id.tag").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_tag") == F.col("tag"))
+    return tagged.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_tag"]).drop("_tag")

@@ -43,6 +43,17 @@ def test_simhash_components(docs, rows):
     assert found == want
 
 
+def test_one_row_per_group(docs, rows):
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    first = brute.roots([brute.simhash(r[1]) for r in order])
+    want = sorted(str(order[i][0]) for i in set(first))
+    kept = simhash.one_per_group(docs)
+    assert kept.columns == docs.columns
+    found = kept.collect()
+    assert sorted(str(r.doc_id) for r in found) == want
+    assert all(tuple(r) in set(rows) for r in found)
+
+
 @pytest.mark.parametrize("block", [4, 4096])
 def test_links_of_close_fingerprints(spark, block):
     rng = np.random.default_rng(1)
