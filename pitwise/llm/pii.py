@@ -321,6 +321,11 @@ def _read_spans(tags: np.ndarray) -> list[Span]:
     return [tuple(s) for s in out]
 
 
+def stands_alone(text: str, a: int, b: int) -> bool:
+    """No letter or digit touches the span: parts of longer codes are no personal data."""
+    return not (a and text[a - 1].isalnum() or text[b : b + 1].isalnum())
+
+
 def plausible(kind: str, text: str) -> bool:
     """The exact check of a span that the network proposes."""
     digits = _digits(text)
@@ -332,7 +337,7 @@ def plausible(kind: str, text: str) -> bool:
     if kind == "ip":
         return IP.fullmatch(text) is not None and all(len(p) <= 3 and int(p) <= 255 for p in text.split("."))
     if kind == "card":
-        return 13 <= len(digits) <= 19 and text[0].isdigit() and set(text) <= set("0123456789 -")
+        return 13 <= len(digits) <= 19 and luhn(digits) and text[0].isdigit() and set(text) <= set("0123456789 -")
     return 10 <= len(digits) <= 15 and (text[0] in "+(" or text[0].isdigit()) and any(c in "() .-+" for c in text)
 
 
@@ -362,7 +367,7 @@ def tag_texts(model: Tagger, texts: list[str]) -> list[list[Span]]:
             high = min(high, len(codes[i]) - s)
             if high > low:
                 tags[i][s + low : s + high] = found[r, low:high]
-    return [[(k, a, b) for k, a, b in _read_spans(t) if plausible(k, text[a:b])] for t, text in zip(tags, texts, strict=True)]
+    return [[(k, a, b) for k, a, b in _read_spans(t) if stands_alone(text, a, b) and plausible(k, text[a:b])] for t, text in zip(tags, texts, strict=True)]
 
 
 def all_spans(model: Tagger, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
