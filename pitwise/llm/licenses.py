@@ -62,9 +62,10 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def votes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, tag, n_words, copies, template columns, diag, votes, low, high) dealt out by document.
+    """(doc_id, tag, n_words, template columns, diag, rows, votes, low, high, covered) dealt out by document.
 
-    Each text has one row without a template, with the number of equal rows that it stands for.
+    Each text has one row without a template, with the number of equal rows that it stands for. The
+    hits of a diagonal are no more than its template has words; ``covered`` counts the words under them.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("tag"), words_of(F.col(text)).alias("words"))
     rows = rows.withColumn("n_words", F.size("words").cast("long")).select("doc_id", "tag", "n_words", "words", F.posexplode_outer("words").alias("pos", "word"))
@@ -82,7 +83,10 @@ def votes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     hit = hit.filter((F.col("k") == 0) | same)
     hit = hit.select("doc_id", "tag", "n_words", "template", "label", "exact", "n", "k", "pos", (F.col("pos") - F.col("tpos")).alias("diag"))
     keys = ["doc_id", "tag", "n_words", "template", "label", "exact", "n", "k", "diag"]
-    return hit.repartition("doc_id", "tag").groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("pos").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+    voted = hit.repartition("doc_id", "tag").groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.array_sort(F.collect_set("pos")).alias("at"))
+    new_words = F.transform("at", lambda p, i: F.when(i == 0, F.col("k")).otherwise(F.least(F.col("k"), p - F.get("at", i - 1))))
+    covered = F.aggregate(new_words, F.lit(0), lambda total, n: total + n)
+    return voted.withColumns({"votes": F.size("at"), "low": F.get("at", F.lit(0)), "high": F.get("at", F.size("at") - 1), "covered": covered}).drop("at")
 
 
 def spans(voted: DataFrame, drift: int = DRIFT) -> DataFrame:
@@ -91,7 +95,7 @@ def spans(voted: DataFrame, drift: int = DRIFT) -> DataFrame:
     apart = (F.abs(F.col("diag") - F.lag("diag").over(by)) > drift) | (F.col("low") > F.lag("high").over(by) + F.col("n"))
     fresh = F.coalesce(apart | F.col("exact"), F.lit(True)).cast("int")
     run = voted.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    covered = F.least(F.sum(F.col("votes") + F.col("k") - 1), F.first("n"))
+    covered = F.least(F.sum("covered"), F.first("n"))
     merged = run.groupBy("doc_id", "tag", "n_words", "template", "label", "exact", "n", "k", "run").agg(
         F.max("rows").alias("rows"), F.min("low").alias("start"), F.max(F.col("high") + F.col("k")).alias("end"), covered.alias("covered"), F.min("votes").alias("votes")
     )
