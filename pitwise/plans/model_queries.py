@@ -81,25 +81,32 @@ def weighted_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return team.pair_counts(df, _folds(df, ["2001-02"])).select("fold_id", "home_team_uid", "away_team_uid", "w", "wh")
 
 
+@query(FIXTURE_SQL + _FOLDS + f" SELECT f.fold_id, home_team_uid, away_team_uid, sum({_W}) * pow(0.5, (epoch_us(max(f.c)) - 788918400000000) / 86400e6 / 365.0) AS w, sum({_W} * home_goals) * pow(0.5, (epoch_us(max(f.c)) - 788918400000000) / 86400e6 / 365.0) AS wh FROM f JOIN fixture x ON x.available_time < f.c GROUP BY ALL", ["w", "wh"])
+def weighted_pair_counts_all_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that the goal models are fitted from, in every fold."""
+    df = fixtures(spark, sf_dir)
+    return team.pair_counts(df, _folds(df)).select("fold_id", "home_team_uid", "away_team_uid", "w", "wh")
+
+
 @query()
 def fit_ridge_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ratings of each fold of the last season: weighted ridge Poisson."""
+    """Ratings of each fold that has history: weighted ridge Poisson."""
     df = fixtures(spark, sf_dir)
-    return team.fit_poisson(team.pair_counts(df, _folds(df, ["2001-02"])))
+    return team.fit_poisson(team.pair_counts(df, _folds(df)))
 
 
 @query()
 def fit_dixon_coles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with low-score dependence."""
     df = fixtures(spark, sf_dir)
-    return team.fit_poisson(team.pair_counts(df, _folds(df, ["2001-02"])), low_scores=True)
+    return team.fit_poisson(team.pair_counts(df, _folds(df)), low_scores=True)
 
 
 @query()
 def rating_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected goals of the last season's fixtures from the ratings as of their block."""
+    """Expected goals of all fixtures from the ratings as of their block; a first block without history has none."""
     df = fixtures(spark, sf_dir)
-    folds = _folds(df, ["2001-02"])
+    folds = _folds(df)
     targets = df.join(F.broadcast(folds.select("season", "gameweek", "fold_id")), ["season", "gameweek"])
     made = team.predict_from_ratings(targets, team.fit_poisson(team.pair_counts(df, folds)))
     return made.select("fold_id", "fixture_key", "expected_home_goals", "expected_away_goals", "home_unseen", "away_unseen")
