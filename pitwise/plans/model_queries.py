@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitwise.functions import scoring
@@ -238,9 +238,14 @@ def goal_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simulation_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sides of each block's first players: team t against t + 10."""
-    df = expected_frame(spark, sf_dir).withColumns({"fixture": F.col("team_uid") % 10, "model": F.lit("M3")})
-    one = df.groupBy("season", "gameweek", "fixture", "model", "team_uid", "player_uid").agg(*[F.max_by(c, "fixture_key").alias(c) for c in simulation.NEEDED if c not in ("season", "gameweek", "fixture", "model", "team_uid", "player_uid", "goal_value")])
+    """Every player row on two sides, team t against t + 10, in as many rounds as the most rows of one player.
+
+    A player's rows of a block fall into different rounds, and players start in different ones, so rounds are alike in size.
+    """
+    df = expected_frame(spark, sf_dir).withColumns({"pair": F.col("team_uid") % 10, "model": F.lit("M3")})
+    df = df.withColumn("nth", F.row_number().over(Window.partitionBy("season", "gameweek", "player_uid").orderBy("fixture_key")))
+    df = df.withColumn("rounds", F.max("nth").over(Window.partitionBy("season", "gameweek", "pair")))
+    one = df.withColumn("fixture", (F.pmod(F.col("nth") + F.floor(F.col("player_uid") / 20), F.col("rounds")) * 10 + F.col("pair")).cast("long"))
     return one.withColumn("goal_value", scoring.goal_value(F.col("season"), F.col("position")))
 
 

@@ -1,9 +1,11 @@
 """Queries cover every fold, row and draw of their tables."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from pitwise.operators import pit
-from pitwise.plans import catalogue, league
+from pitwise.plans import catalogue, league, model_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,3 +21,11 @@ def test_goal_models_fit_every_fold_with_history(spark):
     predicted = catalogue.queries()["rating_predictions"](spark, SF).select("fixture_key").collect()
     rows = fixtures.join(folds.select("season", "gameweek"), ["season", "gameweek"]).count()
     assert len(predicted) == len({r.fixture_key for r in predicted}) == rows
+
+
+def test_simulation_keeps_every_player_row(spark):
+    made = model_queries.simulation_frame(spark, SF).select("season", "gameweek", "fixture", "team_uid", "player_uid", "goal_share").collect()
+    rows = model_queries.expected_frame(spark, SF).select("season", "gameweek", "team_uid", "player_uid", "goal_share").collect()
+    assert Counter((r.season, r.gameweek, r.team_uid, r.player_uid, round(r.goal_share, 9)) for r in made) == Counter((*r[:4], round(r.goal_share, 9)) for r in rows)
+    assert max(Counter(r[:5] for r in made).values()) == 1 < max(Counter(r[:4] for r in rows).values())
+    assert all(r.fixture % 10 == r.team_uid % 10 for r in made)
