@@ -251,7 +251,7 @@ def simulation_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def simulate_fixture_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulation.simulate(simulation_frame(spark, sf_dir), draws=2000)
+    return simulation.simulate(simulation_frame(spark, sf_dir))
 
 
 @query()
@@ -259,7 +259,7 @@ def simulate_block_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Draws of a player's fixtures in a season added up and summarised."""
     from pitwise.operators import metrics
 
-    draws = simulation.simulate_draws(simulation_frame(spark, sf_dir), draws=200)
+    draws = simulation.simulate_draws(simulation_frame(spark, sf_dir), simulation.DRAWS)
     plays = draws.groupBy("season", "player_uid").agg(simulation.any_appearance().alias("p_any"))
     summed = metrics.sum_draws(draws, ["season", "player_uid"], "draws").withColumn("draws", F.transform("draws", lambda x: x.cast("double")))
     made = metrics.draw_summary(F.col("draws"))

@@ -1,11 +1,12 @@
 """Queries cover every fold, row and draw of their tables."""
 
+import inspect
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 from pitwise.operators import pit
-from pitwise.plans import catalogue, league, model_queries
+from pitwise.plans import catalogue, league, model_queries, simulation
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +30,15 @@ def test_simulation_keeps_every_player_row(spark):
     assert Counter((r.season, r.gameweek, r.team_uid, r.player_uid, round(r.goal_share, 9)) for r in made) == Counter((*r[:4], round(r.goal_share, 9)) for r in rows)
     assert max(Counter(r[:5] for r in made).values()) == 1 < max(Counter(r[:4] for r in rows).values())
     assert all(r.fixture % 10 == r.team_uid % 10 for r in made)
+
+
+def test_simulations_take_the_production_draws(spark, monkeypatch):
+    taken = []
+    for name in ("simulate", "simulate_draws"):
+        made = getattr(simulation, name)
+        monkeypatch.setattr(simulation, name, lambda *a, made=made, **b: (taken.append(inspect.signature(made).bind(*a, **b)), made(*a, **b))[1])
+    for name in ("simulate_fixture_points", "simulate_block_rollup"):
+        catalogue.queries()[name](spark, SF)
+    for call in taken:
+        call.apply_defaults()
+    assert [c.arguments["draws"] for c in taken] == [10_000, 10_000]
