@@ -69,6 +69,13 @@ def constraint_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.audit(df.select("block", "model", "player_uid", "position", "club", "price_tenths"))
 
 
+@query(POOL_SQL + ", c AS (SELECT block, CAST(player_uid // 75 AS BIGINT) AS squad, player_uid, position, club, price_tenths FROM pool), n AS (SELECT block, squad, club, count(*) AS k FROM c GROUP BY ALL), m AS (SELECT block, squad, max(k) AS most_of_a_club FROM n GROUP BY ALL), s AS (SELECT block, squad, count(*) FILTER (position = 'GKP') = 2 AND count(*) FILTER (position = 'DEF') = 5 AND count(*) FILTER (position = 'MID') = 5 AND count(*) FILTER (position = 'FWD') = 3 AS quota_ok, CAST(sum(price_tenths) AS BIGINT) AS cost, CAST(count(*) AS BIGINT) AS players FROM c GROUP BY ALL) SELECT block, squad, quota_ok, cost, players, most_of_a_club, cost <= 1000 AS budget_ok, most_of_a_club <= 3 AS clubs_ok FROM s JOIN m USING (block, squad)")
+def constraint_audit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of every row: squads of 15 in each block, by the id."""
+    df = pool(spark, sf_dir).withColumn("squad", F.floor(F.col("player_uid") / 75).cast("long"))
+    return decisions.audit(df.select("block", "squad", "player_uid", "position", "club", "price_tenths"))
+
+
 @query(POOL_SQL + ", d AS (SELECT block, CASE WHEN player_uid % 2 = 0 THEN 'D1' ELSE 'D2' END AS model, expected_points AS objective, p_appearance * 60 AS realised FROM pool) SELECT model, CAST(count(*) AS BIGINT) AS decisions, avg(objective) AS mean_objective, avg(realised) AS mean_realised, avg(realised - objective) AS mean_gap, median(realised) AS median_realised FROM d GROUP BY 1", ["mean_objective", "mean_realised", "mean_gap", "median_realised"])
 def decision_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = pool(spark, sf_dir).select(F.when(F.col("player_uid") % 2 == 0, "D1").otherwise("D2").alias("model"), F.col("expected_points").alias("objective"), (F.col("p_appearance") * 60).alias("realised"))

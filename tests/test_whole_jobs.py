@@ -42,3 +42,8 @@ def test_simulations_take_the_production_draws(spark, monkeypatch):
     for call in taken:
         call.apply_defaults()
     assert [c.arguments["draws"] for c in taken] == [10_000, 10_000]
+
+
+def test_audit_sees_every_player(spark):
+    audited = catalogue.queries()["constraint_audit_all"](spark, SF).agg(F.sum("players")).first()[0]
+    assert audited == league.table(spark, SF, "part").count()
