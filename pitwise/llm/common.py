@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Bytes of text that a task works on at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
@@ -18,10 +20,17 @@ CHUNK_BYTES = 4 << 20
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as the cluster names it.
 
-    Where ``spark.checkpoint.dir`` is unset (a local session, as in tests) the machine's own
-    temporary folder serves.
+    That is ``spark.checkpoint.dir``, else the folder given to ``setCheckpointDir``. A local
+    session, where driver and executors are one process, may do without: then the machine's own
+    temporary folder serves. On a cluster without such a folder this raises.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/pitwise-shared"
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/pitwise-shared"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -35,6 +44,34 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(wanted: str, taken: Iterable[str]) -> str:
+    """``wanted``, with underscores added until no name of ``taken`` is like it (Spark ignores case)."""
+    used = {t.lower() for t in taken}
+    while wanted.lower() in used:
+        wanted += "_"
+    return wanted
+
+
+def field(df: DataFrame, name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns as one struct, so that they ride along under one name."""
+    return F.struct(*[field(df, c) for c in df.columns])
+
+
+def unpacked(df: DataFrame, row: str, names: list[str]) -> DataFrame:
+    """The columns of a packed row again, and nothing else."""
+    return df.select(*[F.col(row).getField(c).alias(c) for c in names])
+
+
+def columns_of(**types: DataType | str) -> StructType:
+    """A schema from names and types; types as text are DDL."""
+    return StructType([StructField(n, t if isinstance(t, DataType) else DataType.fromDDL(t)) for n, t in types.items()])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,32 +98,16 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             yield batch.slice(a, b - a)
 
 
-def scan(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, text: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
+def scan(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: StructType, text: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
     """``work`` on bounded chunks of rows inside the tasks; it returns columns by the names of ``schema``."""
-    out = df.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(out)
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches, text, limit):
             made = work(chunk)
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) if not isinstance(made[f.name], pa.Array) else made[f.name].cast(f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, out)
-
-
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept and extended within a process."""
-    have = _POWERS.get(base, np.ones(1, np.uint64))
-    with np.errstate(over="ignore"):
-        while len(have) < n:
-            have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-    _POWERS[base] = have
-    return have[:n]
+    return df.mapInArrow(run, schema)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
