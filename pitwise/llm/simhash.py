@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scan, text_list
+from .common import columns_of, field, materialize, packed, scan, text_list, unpacked
 
 #: Generator polynomial of the binary Golay code [23, 12, 7].
 GOLAY = 0b110001110101
@@ -32,6 +32,10 @@ BLOCK = 4096
 SHORT = 8
 #: Broadcast no more hot keys than this; more are joined by shuffle.
 MAX_BROADCAST_KEYS = 100_000
+#: Fingerprints whose keys one task makes (about 75 each).
+FPS_PER_TASK = 20_000
+#: A key of a join is split where it has more rows than this and more than a ten-thousandth of all: 10,000 keys at most.
+LEAST_SPLIT, MOST_SPLIT_KEYS = 256, 10_000
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -70,8 +74,8 @@ def fingerprints(docs: DataFrame, k: int = 4, doc_id: str = "doc_id", text: str
         fps = np.array([simhash(t, k) for t in text_list(batch.column(1))], np.uint64)
         return {"doc_id": batch.column(0), "fp": pa.array(fps.view(np.int64))}
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return scan(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), work, f"doc_id {kind}, fp long")
+    rows = docs.select(field(docs, doc_id).alias("doc_id"), field(docs, text).cast("string").alias("text"))
+    return scan(rows, work, columns_of(doc_id=docs.schema[doc_id].dataType, fp="bigint"))
 
 
 # ------------------------------------------------------------------ Golay keys
@@ -214,7 +218,10 @@ def links(fps: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFrame:
     """
     if bits > 4:
         raise ValueError("segment pairs find at most 4 differing bits")
-    keys = fps.select("fp").distinct().mapInArrow(_golay_rows, "key long, fp long")
+    single = fps.select("fp").distinct()
+    # rows multiply here, so the tasks are counted by what they make and not by the bytes they read
+    spread = single.repartition(max(1, -(-fps.count() // FPS_PER_TASK)), "fp")
+    keys = spread.mapInArrow(_golay_rows, "key long, fp long")
     hot = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block), "golay-hot")
     hot = hot.select("key", F.ceil(F.col("n") / block).cast("int").alias("g"))
     n_hot = hot.count()
@@ -233,27 +240,44 @@ def links(fps: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFrame:
 # ------------------------------------------------------------------ components
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def split_join(rows: DataFrame, found: DataFrame, key: str, by: str, n_rows: int) -> DataFrame:
+    """``rows`` joined with ``found`` (one row for each ``key``, ``n`` rows of the key) without gathering a large key in one task.
+
+    Keys above the split size are dealt out by a hash of ``by``, their row of ``found`` goes to
+    every part. No more than MOST_SPLIT_KEYS keys can be above it, which bounds the broadcast.
+    """
+    most = max(LEAST_SPLIT, n_rows // MOST_SPLIT_KEYS + 1)
+    parts = F.ceil(F.col("n") / most).cast("int")
+    large = found.filter(F.col("n") > most).select(key, parts.alias("parts"))
+    dealt = rows.join(F.broadcast(large), key, "left").withColumn("part", F.pmod(F.xxhash64(by), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    copies = F.when(F.col("n") > most, parts - 1).otherwise(0)
+    return dealt.join(found.withColumn("part", F.explode(F.sequence(F.lit(0), copies))).drop("n"), [key, "part"]).drop("part")
+
+
+def components(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node, root): the smallest node that each linked node can reach.
 
-    Alternates large-star and small-star rounds until nothing changes; every round is a few joins
-    and grouped minima over edges, so a hub is never gathered in one place.
+    Alternates large-star and small-star rounds until nothing changes; every round is a few split
+    joins and grouped minima over edges, so a hub is never gathered in one place. The rounds grow
+    with the logarithm of the longest path; where ``max_rounds`` is given and not enough, this raises.
     """
     edges = materialize(edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).filter("a <> b").distinct(), "star")
-    before = None
-    for _ in range(max_rounds):
+    before, rounds = None, 0
+    count = edges.count()
+    while True:
+        if max_rounds is not None and rounds >= max_rounds:
+            raise RuntimeError(f"components are not complete after {rounds} rounds")
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = large.filter("a <> b").distinct()
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        small = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")), "star-least")
+        large = split_join(both.filter("b > a"), least, "a", "b", 2 * count).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = materialize(large.filter("a <> b").distinct(), "star")
+        least = materialize(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "star-least")
+        small = split_join(edges, least, "a", "b", count).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = materialize(small.filter("a <> b").distinct(), "star")
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
-            break
-        before = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        before, count, rounds = now, now[0], rounds + 1
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, bits: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -263,23 +287,25 @@ def near_duplicates(docs: DataFrame, k: int = 4, bits: int = 4, doc_id: str = "d
     as often as they came; null ids never win a component unless it has no other (then it is null).
     """
     fps = materialize(fingerprints(docs, k, doc_id, text), "simhash")
-    owners = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-owners")
+    owners = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "simhash-owners")
     roots = components(links(owners.select("fp"), bits))
-    roots = owners.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = roots.join(least, "root").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    # the root itself is no node of its own: each component has its nodes and one row for the root
+    linked = materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(owners, roots["node"] == owners["fp"]).select("fp", "root", "first"), "simhash-linked")
+    least = materialize(linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")), "simhash-least")
+    moved = split_join(linked.select("fp", "root"), least, "root", "fp", linked.count()).select("fp", F.col("component_id").alias("moved"), F.lit(True).alias("linked"))
+    of = owners.join(moved, "fp", "left").select("fp", F.when(F.col("linked"), F.col("moved")).otherwise(F.col("first")).alias("component_id"), "n")
+    return split_join(fps, materialize(of, "simhash-of"), "fp", "doc_id", fps.count()).select("doc_id", "fp", "component_id")
 
 
 def one_per_group(docs: DataFrame, k: int = 4, bits: int = 4) -> DataFrame:
-    """One row of each near-duplicate group, with all its columns: the one with the smallest doc_id.
+    """One row of each near-duplicate group, with all its columns, whatever those are called: the one with the smallest doc_id.
 
     Rows of one id are told apart by a hash of the text; of equal rows one stays. A null id stays
     only where its group has no other.
     """
-    tagged = docs.withColumn("_tag", F.xxhash64("text"))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_tag").alias("tag"))
-    found = near_duplicates(tagged.select(rank.alias("rank"), "text"), k, bits, doc_id="rank")
-    kept = found.filter("doc_id = component_id").select("component_id.id", "component_id.tag").distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_tag") == F.col("tag"))
-    return tagged.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_tag"]).drop("_tag")
+    rank = F.struct(field(docs, "doc_id").isNull().alias("none"), field(docs, "doc_id").alias("id"), F.xxhash64(field(docs, "text")).alias("tag"))
+    found = near_duplicates(docs.select(rank.alias("doc_id"), field(docs, "text").alias("text")), k, bits)
+    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
+    # equal rows are merged before they are dealt out by the same key that the join asks for
+    single = docs.select(rank.alias("doc_id"), packed(docs).alias("row")).dropDuplicates(["doc_id"])
+    return unpacked(single.join(kept, "doc_id", "left_semi"), "row", docs.columns)
