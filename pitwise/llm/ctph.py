@@ -2,57 +2,73 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-from .common import CHUNK_BYTES, mix, powers
+from .common import CHUNK_BYTES, columns_of, field, mix
 
-#: Bytes of the rolling window, least block size, longest signature.
-WINDOW, LEAST_BLOCK, LONGEST = 7, 3, 64
-#: Base of the hashes of windows and chunks, and its inverse modulo 2**64.
+#: Bytes of the rolling window, least block size, longest signature, bytes that are rolled over at once.
+WINDOW, LEAST_BLOCK, LONGEST, PIECE = 7, 3, 64, 1 << 20
+#: Base of the hashes of windows.
 BASE = 0xD6E8FEB86659FD93
-INVERSE = pow(BASE, -1, 1 << 64)
-ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
-#: Groups of neighbouring ids that are dealt to tasks, for each shuffle partition.
-GROUPS_PER_PARTITION = 4
+#: One character for six bits of a chunk's hash.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+#: Groups of neighbouring ids that are dealt to tasks for each shuffle partition, and ids sampled for each group.
+GROUPS_PER_PARTITION, SAMPLE_PER_GROUP = 4, 16
 
 
-def _signature(prefix: np.ndarray, ends: np.ndarray) -> bytes:
+def rolled(text: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, hashes) of the windows of a text, by their last byte, piece by piece."""
+    codes = np.frombuffer(text, np.uint8)
+    for a in range(0, len(text) - WINDOW + 1, PIECE):
+        part = codes[a : a + PIECE + WINDOW - 1].astype(np.uint64) + np.uint64(1)
+        n = len(part) - WINDOW + 1
+        with np.errstate(over="ignore"):
+            yield a, mix(sum(part[i : i + n] * np.uint64(pow(BASE, i, 1 << 64)) for i in range(WINDOW)))
+
+
+def boundaries(text: bytes, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of chunks at the block size, and which of them are ends at twice the block size too."""
+    ends, wide = [np.empty(0, np.int64)], [np.empty(0, bool)]
+    for a, h in rolled(text):
+        at = np.flatnonzero(h % np.uint64(block) == np.uint64(block - 1))
+        ends.append(at + a + WINDOW)
+        wide.append(h[at] % np.uint64(2 * block) == np.uint64(2 * block - 1))
+    return np.concatenate(ends), np.concatenate(wide)
+
+
+def _signature(text: bytes, ends: np.ndarray) -> str:
     """One character for each chunk; the last chunk takes all that is left beyond the longest signature."""
-    n = len(prefix) - 1
-    ends = ends[: LONGEST - 1] if len(ends) >= LONGEST else ends
-    ends = ends if len(ends) and ends[-1] == n else np.append(ends, n)
-    starts = np.concatenate([[0], ends[:-1]])
-    with np.errstate(over="ignore"):
-        h = mix((prefix[ends] - prefix[starts]) * powers(INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
-    return ALPHABET[(h >> np.uint64(58)).astype(np.int64)].tobytes()
+    cuts = [0, *ends[: LONGEST - 1].tolist()]
+    if cuts[-1] < len(text):
+        cuts.append(len(text))
+    view = memoryview(text)
+    return "".join(ALPHABET[xxhash.xxh64_intdigest(view[a:b]) >> 58] for a, b in zip(cuts, cuts[1:], strict=False))
 
 
 def fingerprint(text: bytes) -> str:
-    """``block size:signature:signature at twice the block size`` of a text; ``3::`` if it is empty."""
-    n = len(text)
-    if not n:
-        return f"{LEAST_BLOCK}::"
-    values = np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)
-    with np.errstate(over="ignore"):
-        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers(BASE, n), dtype=np.uint64)])
-        rolled = mix((prefix[WINDOW:] - prefix[:-WINDOW]) * powers(INVERSE, n)[: max(n - WINDOW + 1, 0)]) if n >= WINDOW else np.empty(0, np.uint64)
+    """``block size:signature:signature at twice the block size`` of a text; ``3::`` if it is empty.
+
+    The block size is the least 3 * 2**k that would make a signature of the whole text fit, halved
+    while it makes fewer than half as many chunks.
+    """
     block = LEAST_BLOCK
-    while block * LONGEST < n:
+    while block * LONGEST < len(text):
         block *= 2
-    while True:
-        # a boundary at twice the block size is one at the block size too
-        ends = np.flatnonzero(rolled % np.uint64(block) == np.uint64(block - 1)) + WINDOW
-        if block <= LEAST_BLOCK or len(ends) >= LONGEST // 2:
-            break
+    ends, wide = boundaries(text, block)
+    while block > LEAST_BLOCK and len(ends) < LONGEST // 2:
         block //= 2
-    wide = ends[rolled[ends - WINDOW] % np.uint64(2 * block) == np.uint64(2 * block - 1)]
-    return f"{block}:{_signature(prefix, ends).decode()}:{_signature(prefix, wide).decode()}"
+        ends, wide = boundaries(text, block)
+    return f"{block}:{_signature(text, ends)}:{_signature(text, ends[wide])}"
 
 
 def edit_distances(pairs: list[tuple[bytes, bytes]]) -> np.ndarray:
@@ -111,49 +127,60 @@ def edited(text: str, after: str) -> str:
 
 
 def _groups(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``grp``: neighbouring ids share a group; null ids, which come first, have group 0.
+    """``docs`` (doc_id, tag, text) with ``grp``: neighbours by id and tag share a group; null ids come first.
 
-    Bounds are quantiles of the ids, as many as the shuffle partitions ask for; a row finds its
-    group by binary search.
+    Bounds come from a sample of (id, tag) by hash, some for each group and as many groups as the
+    shuffle partitions ask for; a row finds its group by binary search. Ids may be of any type that
+    can be ordered; rows of one id (or of none) are parted by their tags.
     """
     spark = docs.sparkSession
     n = GROUPS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted({int(c) for c in docs.filter("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)})
-    widths = [1 << i for i in range(len(cuts).bit_length() - 1, -1, -1)] if cuts else []
-    if not cuts:
-        return docs.withColumn("grp", F.when(F.col("doc_id").isNull(), 0).otherwise(1))
-    bounds = F.lit(cuts).cast("array<long>")
-    below = F.aggregate(F.lit(widths), F.lit(0), lambda at, w: F.when(F.get(bounds, at + w - 1) <= F.col("doc_id"), at + w).otherwise(at))
-    return docs.withColumn("grp", F.when(F.col("doc_id").isNull(), 0).otherwise(below + 1))
+    keys = docs.select("doc_id", "tag")
+    share = min(1.0, n * SAMPLE_PER_GROUP / max(keys.count(), 1))
+    drawn = keys.filter(F.pmod(F.xxhash64("doc_id", "tag", F.lit("cut")), F.lit(1 << 30)) < int(share * (1 << 30))).distinct()
+    sample = [((r.doc_id is not None, r.doc_id), r.tag) for r in drawn.sort(F.asc_nulls_first("doc_id"), "tag").collect()]
+    cuts = spark.sparkContext.broadcast([sample[len(sample) * i // n] for i in range(1, n) if sample])
+
+    @F.pandas_udf(IntegerType())
+    def group(ids: pd.Series, missing: pd.Series, tags: pd.Series) -> pd.Series:
+        known = zip(ids.tolist(), missing.tolist(), tags.tolist(), strict=True)
+        return pd.Series([bisect.bisect_right(cuts.value, ((not none, None if none else i), tag)) for i, none, tag in known])
+
+    # a null id would turn a column of whole numbers into one of floats: it is sent as any other id, marked
+    some = sample[-1][0][1] if sample else None
+    ids = F.coalesce("doc_id", F.lit(some).cast(docs.schema["doc_id"].dataType))
+    return docs.withColumn("grp", group(ids, F.col("doc_id").isNull(), "tag"))
 
 
 def _with_successors(docs: DataFrame) -> DataFrame:
-    """(grp, after, doc_id, tag, text) by group and id; each group ends with a copy of the row that follows it.
+    """(after, doc_id, text) by group and id; each group ends with a copy of the row that follows it.
 
     That row is the first of the next group (after the last group, of the first).
     """
     rows = _groups(docs)
-    firsts = rows.groupBy("grp").agg(F.min("doc_id").alias("first"))
+    firsts = rows.groupBy("grp").agg(F.min(F.struct("doc_id", "tag")).alias("first"))
     order = Window.orderBy("grp")
     to = F.coalesce(F.lag("grp").over(order), F.max("grp").over(Window.partitionBy()))
     firsts = firsts.select("first", to.alias("to"))
-    heads = docs.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("first")))
-    heads = heads.groupBy("to").agg(F.min(F.struct("doc_id", F.xxhash64("text").alias("tag"), "text")).alias("head")).select(F.col("to").alias("grp"), F.lit(1).alias("after"), "head.doc_id", "head.tag", "head.text")
-    own = rows.select("grp", F.lit(0).alias("after"), "doc_id", F.xxhash64("text").alias("tag"), "text")
+    heads = docs.join(F.broadcast(firsts), (F.col("tag") == F.col("first.tag")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
+    heads = heads.dropDuplicates(["to"]).select(F.col("to").alias("grp"), F.lit(1).alias("after"), "doc_id", "tag", "text")
+    own = rows.select("grp", F.lit(0).alias("after"), "doc_id", "tag", "text")
     return own.unionByName(heads).repartition("grp").sortWithinPartitions("grp", "after", "doc_id", "tag")
 
 
 def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
-    The next document is that of the next larger (integer) id; after the last comes the first. Null
-    texts count as empty; null ids come first; rows with one id follow each other by a hash of the
-    text; a single document is its own successor. Texts are dealt out once, by ranges of ids.
+    The next document is that of the next larger id (of any type that can be ordered); after the
+    last comes the first. Null texts count as empty; null ids come first; rows with one id follow
+    each other by a hash of the text; a single document is its own successor. Texts are dealt out
+    once, by ranges of ids.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    kind = docs.schema[doc_id].dataType
+    body = F.coalesce(field(docs, text).cast("string"), F.lit(""))
+    rows = docs.select(field(docs, doc_id).alias("doc_id"), F.xxhash64(body).alias("tag"), body.alias("text"))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = columns_of(doc_id=kind, n_chars="bigint", edited_sha256="string", fingerprint="string", edited_fingerprint="string", near_edited="double", near_next="double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # (after, doc_id, text, fingerprint)

@@ -75,7 +75,10 @@ def kept_texts(docs: DataFrame, maps: DataFrame, doc_id: str = "doc_id", text: s
     maps = maps.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "n_dropped", "dropped")
     joined = rows.join(maps, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t")), "left")
     lines = split_lines(F.col("text"))
-    stays = F.filter(lines, lambda line, i: ~F.exists("dropped", lambda r: (i >= r["from"]) & (i <= r["to"])))
+    # the runs as one flag for each line, in one pass over lines and runs; lines after the last run have no flag
+    before = lambda i: F.when(i == 0, -1).otherwise(F.get("dropped", i - 1)["to"])
+    flags = F.flatten(F.transform("dropped", lambda r, i: F.concat(F.array_repeat(F.lit(False), r["from"] - before(i) - 1), F.array_repeat(F.lit(True), r["to"] - r["from"] + 1))))
+    stays = F.zip_with(lines, flags, lambda line, gone: F.when(~F.coalesce(gone, F.lit(False)), line))
     kept = F.when(F.col("dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(stays, "\n"))
     return joined.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import field, materialize, packed, unpacked
 
 #: Bits of the hash that one histogram resolves, and histograms in a row.
 LEVEL_BITS, LEVELS = 12, 4
@@ -82,20 +82,22 @@ def thresholds(docs: DataFrame, goals: DataFrame, levels: int = LEVELS) -> DataF
             (F.col("taken_before") + F.coalesce(F.col("edge.before"), F.lit(0))).alias("taken_before"),
             F.coalesce(F.col("edge.sum"), F.lit(0)).alias("edge_sum"),
         )
+        # a row per source, written, so that the next level plans on it and not on all levels before
+        at = materialize(at, f"mix-level-{level}")
     nearer = F.col("taken_before") + F.col("edge_sum") - F.col("rest") < F.col("rest") - F.col("taken_before")
     return at.select("source", "source_size", "target", "epochs", (F.col("prefix") + F.when(nearer, 1).otherwise(0)).alias("below"))
 
 
 def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc_id, source, size, h), written once: word counts need the texts, nothing after does."""
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), draw(F.col(doc_id)).alias("h"))
+    narrow = docs.select(field(docs, doc_id).alias("doc_id"), field(docs, source).alias("source"), n_words(field(docs, text)).alias("size"), draw(field(docs, doc_id)).alias("h"))
     return materialize(narrow, "mix")
 
 
 def budgets(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """(source, source_size, target, epochs, below) from measured rows."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    return materialize(thresholds(rows, materialize(targets(sizes, weights, most), "mix-targets")), "mix-thresholds")
+    return thresholds(rows, materialize(targets(sizes, weights, most), "mix-targets"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, **columns: str) -> DataFrame:
@@ -113,15 +115,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, **
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """The documents as often as the mix takes them, with all their columns.
+    """The documents as often as the mix takes them, with all their columns, whatever those are called.
 
     Documents without words weigh nothing and stay once, so that no clean document is lost to size 0.
     """
-    goals = budgets(measured(docs), weights, most).select(F.col("source").alias("_s"), "epochs", "below")
-    joined = docs.join(goals, F.col("source").eqNullSafe(F.col("_s")))
-    passes = F.when(n_words(F.col("text")) == 0, 1).otherwise(F.col("epochs") + F.when(draw(F.col("doc_id")) < F.col("below"), 1).otherwise(0))
-    copies = joined.withColumn("_n", passes.cast("int")).filter("_n > 0")
-    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    goals = budgets(measured(docs), weights, most).select(F.col("source").alias("of"), "epochs", "below")
+    rows = docs.select(packed(docs).alias("row"), field(docs, "source").alias("source"), n_words(field(docs, "text")).alias("size"), draw(field(docs, "doc_id")).alias("h"))
+    joined = rows.join(goals, F.col("source").eqNullSafe(F.col("of")))
+    passes = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + F.when(F.col("h") < F.col("below"), 1).otherwise(0))
+    copies = joined.select("row", passes.cast("int").alias("n")).filter("n > 0")
+    return unpacked(copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))), "row", docs.columns)
 
 
 #: The query in DuckDB.

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scan, text_list
+from .common import columns_of, field, scan, text_list
 
 #: Kinds in the order of results.
 KINDS = ("email", "ip", "card", "phone")
@@ -399,8 +399,8 @@ def find_personal_data(docs: DataFrame, model: Tagger | None = None, doc_id: str
             spans[i] = [f"{k}:{x}:{y}" for k, x, y in s]
         return {"doc_id": batch.column(0), "base": base, "spans": spans}
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return scan(rows, work, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, base array<string>, spans array<string>")
+    rows = docs.select(field(docs, doc_id).alias("doc_id"), field(docs, text).cast("string").alias("text"))
+    return scan(rows, work, columns_of(doc_id=docs.schema[doc_id].dataType, base="array<string>", spans="array<string>"))
 
 
 def redact(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
@@ -419,4 +419,4 @@ def redact(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
             out.append("".join(parts) + text[at:])
         return {"doc_id": batch.column(0), "text": out}
 
-    return scan(docs.select("doc_id", "text"), work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
+    return scan(docs.select("doc_id", "text"), work, columns_of(doc_id=docs.schema["doc_id"].dataType, text="string"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, scan, text_list
+from .common import columns_of, field, free_name, packed, remainder, scan, text_list, unpacked
 
 #: Hashed word features, factors of an interaction, labelled documents to fit on, passes over them.
 DIMENSIONS, RANK, MAX_FIT, EPOCHS = 1024, 8, 6000, 12
@@ -122,49 +122,61 @@ def fit(hashed: np.ndarray, stats: np.ndarray, y: np.ndarray, rank: int = RANK,
 def train(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Machine:
     """Fit on labelled documents whose crc32 of the id modulo 3 is not 1.
 
-    A hash of the id picks about ``max_fit`` of them, so the driver gets that many short feature
-    rows at most in expectation, whatever the table's size.
+    A hash of the id picks about ``max_fit`` of them, so the driver gets about that many short
+    feature rows, whatever the table's size. Of rows with one id the least text counts.
     """
     known = labels.filter("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.filter(remainder("doc_id", 3) != 1)
     share = max_fit / max(known.count(), 1)
     if share < 1:
         known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)))
-    told = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), told.alias("n_chars")).join(F.broadcast(known.limit(4 * max_fit)), "doc_id")
+    told = field(docs, "n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
+    rows = docs.select("doc_id", F.struct(field(docs, "text").cast("string").alias("text"), told.alias("n_chars")).alias("seen")).join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("seen").alias("seen")).select("doc_id", "seen.text", "seen.n_chars", "quality")
 
     def work(batch: pa.RecordBatch) -> dict:
         hashed, stats = features(text_list(batch.column(1)), batch.column(2).to_pylist())
         return {"doc_id": batch.column(0).cast(pa.string()), "hashed": [h.astype(np.float16).tobytes() for h in hashed], "stats": list(stats), "quality": batch.column(3).cast(pa.int32())}
 
-    made = scan(rows.select("doc_id", "text", "n_chars", "quality"), work, "doc_id string, hashed binary, stats array<double>, quality int")
+    made = scan(rows, work, columns_of(doc_id="string", hashed="binary", stats="array<double>", quality="int"))
     got = sorted(made.toLocalIterator(), key=lambda r: (r.doc_id or "", bytes(r.hashed)))
     hashed = np.array([np.frombuffer(r.hashed, np.float16) for r in got], np.float32).reshape(-1, DIMENSIONS)
     return fit(hashed, np.array([r.stats for r in got]).reshape(-1, N_STATS), np.array([r.quality for r in got], float))
 
 
-def probabilities(machine: Machine, texts: list[bytes], n_chars: list[float | None]) -> np.ndarray:
-    x = _inputs(*features(texts, n_chars), machine.centre, machine.spread)
-    return 1 / (1 + np.exp(-np.clip(raw_scores(x, machine.linear, machine.factors, machine.bias), -30, 30)))
+def probabilities(machine: Machine, texts: list[bytes], n_chars: list[float | None], at_once: int = 512) -> np.ndarray:
+    """Scores of texts; the dense rows of so many exist at once."""
+    raw = np.zeros(len(texts))
+    for a in range(0, len(texts), at_once):
+        x = _inputs(*features(texts[a : a + at_once], n_chars[a : a + at_once]), machine.centre, machine.spread)
+        raw[a : a + at_once] = raw_scores(x, machine.linear, machine.factors, machine.bias)
+    return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
-def scored(docs: DataFrame, machine: Machine) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if the score is 0.5 or more) for every row.
-
-    Only the text and its stated length are looked at. Null texts count as empty; an empty text
-    gets a score like any other. Equal rows get equal scores; other columns ride along in a struct.
-    """
+def _scores(docs: DataFrame, machine: Machine) -> DataFrame:
+    """(row, score): every row of ``docs`` as a struct, with its score."""
     model = docs.sparkSession.sparkContext.broadcast(machine)
-    told = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"), told.alias("n_chars"))
+    told = field(docs, "n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
+    rows = docs.select(packed(docs).alias("row"), field(docs, "text").cast("string").alias("text"), told.alias("n_chars"))
 
     def work(batch: pa.RecordBatch) -> dict:
         return {"row": batch.column(0), "score": probabilities(model.value, text_list(batch.column(1)), batch.column(2).to_pylist())}
 
-    done = scan(packed, work, f"row {packed.schema['row'].dataType.simpleString()}, score double")
-    return done.select("row.*", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return scan(rows, work, columns_of(row=rows.schema["row"].dataType, score="double"))
+
+
+def scored(docs: DataFrame, machine: Machine) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if the score is 0.5 or more) for every row.
+
+    Only the text and its stated length are looked at. Null texts count as empty; an empty text
+    gets a score like any other. Equal rows get equal scores. All columns of ``docs`` stay; where
+    one has the name of a new column, the new one gets underscores after it.
+    """
+    score, predicted = free_name("score", docs.columns), free_name("predicted", docs.columns)
+    verdict = F.when(F.col("score") >= 0.5, 1).otherwise(0).alias(predicted)
+    return _scores(docs, machine).select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("score").alias(score), verdict)
 
 
 def kept_documents(docs: DataFrame, machine: Machine) -> DataFrame:
-    """The documents that the classifier does not reject, with all their columns."""
-    return scored(docs.select("*"), machine).filter("predicted = 1").drop("score", "predicted")
+    """The documents that the classifier does not reject, with all their columns, whatever those are called."""
+    return unpacked(_scores(docs, machine).filter("score >= 0.5"), "row", docs.columns)

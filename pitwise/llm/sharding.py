@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import field, free_name, materialize
 
 
 class Leaf(NamedTuple):
@@ -69,9 +69,13 @@ def place(doc_id: Column, leaves: list[Leaf]) -> Column:
     return per_region
 
 
-def assign(docs: DataFrame, leaves: list[Leaf], doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with a column ``shard``; no shuffle, and nothing but the id decides."""
-    return docs.withColumn("shard", place(F.col(doc_id), leaves)["shard"])
+def assign(docs: DataFrame, leaves: list[Leaf], doc_id: str = "doc_id", name: str = "shard") -> DataFrame:
+    """``docs`` with a column ``shard``; no shuffle, and nothing but the id decides.
+
+    Columns of ``docs`` stay as they are: where one has the name, the new one gets underscores
+    after it. Null ids go where the empty id goes.
+    """
+    return docs.select("*", place(field(docs, doc_id), leaves)["shard"].alias(free_name(name, docs.columns)))
 
 
 def plan(docs: DataFrame, n: int = 24, doc_id: str = "doc_id", text: str = "text", group: int = SLOT_GROUP) -> DataFrame:
@@ -84,7 +88,7 @@ def plan(docs: DataFrame, n: int = 24, doc_id: str = "doc_id", text: str = "text
     """
     at = place(F.col("doc_id"), layout(n))
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).select(
+    rows = docs.select(field(docs, doc_id).alias("doc_id"), field(docs, text).cast("string").alias("text")).select(
         "doc_id",
         (F.octet_length(body) + 8).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
