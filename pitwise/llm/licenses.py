@@ -3,7 +3,7 @@
 Rolling word k-grams of every text are joined by hash to the positions at which license phrases and
 notices have them. A hit votes for the diagonal (text position less template position); diagonals
 close to each other are merged, as words put in or left out shift them; a span counts once enough
-of its template's words are verified.
+of its template's words are verified, each word of the template once.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import field
 from .linededup import ascii_lower
 
 # Phrases that count exactly, and their labels.
@@ -20,7 +21,7 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-# Openings of public license notices, and their labels.
+# Openings of public license notices, and whole short licenses and notices, with their labels.
 NOTICES = [
     ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
@@ -34,6 +35,63 @@ NOTICES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with "
+        "the software or the use or other dealings in the software",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness "
+        "for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including "
+        "but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability "
+        "or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+        "1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation "
+        "would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software "
+        "3 this notice may not be removed or altered from any source distribution",
+    ),
+    (
+        "apache",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty "
+        "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details "
+        "you should have received a copy of the gnu general public license along with this program if not see",
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software "
+        "either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ),
+    (
+        "bsl",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software "
+        "to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so",
+    ),
 ]
 #: Words of a gram: of exact phrases and of notices.
 PHRASE_GRAM, NOTICE_GRAM = 2, 4
@@ -62,12 +120,13 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def votes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, tag, n_words, template columns, diag, rows, votes, low, high, covered) dealt out by document.
+    """(doc_id, tag, n_words, template columns, diag, rows, votes, low, high, cover) dealt out by document.
 
     Each text has one row without a template, with the number of equal rows that it stands for. The
-    hits of a diagonal are no more than its template has words; ``covered`` counts the words under them.
+    hits of a diagonal are no more than its template has words; ``cover`` lists the template's words
+    under them, each once.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("tag"), words_of(F.col(text)).alias("words"))
+    rows = docs.select(field(docs, doc_id).alias("doc_id"), F.xxhash64(field(docs, text)).alias("tag"), words_of(field(docs, text)).alias("words"))
     rows = rows.withColumn("n_words", F.size("words").cast("long")).select("doc_id", "tag", "n_words", "words", F.posexplode_outer("words").alias("pos", "word"))
     after = [F.get("words", F.col("pos") + i) for i in range(1, NOTICE_GRAM)]
     grams = [
@@ -84,22 +143,26 @@ def votes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     hit = hit.select("doc_id", "tag", "n_words", "template", "label", "exact", "n", "k", "pos", (F.col("pos") - F.col("tpos")).alias("diag"))
     keys = ["doc_id", "tag", "n_words", "template", "label", "exact", "n", "k", "diag"]
     voted = hit.repartition("doc_id", "tag").groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.array_sort(F.collect_set("pos")).alias("at"))
-    new_words = F.transform("at", lambda p, i: F.when(i == 0, F.col("k")).otherwise(F.least(F.col("k"), p - F.get("at", i - 1))))
-    covered = F.aggregate(new_words, F.lit(0), lambda total, n: total + n)
-    return voted.withColumns({"votes": F.size("at"), "low": F.get("at", F.lit(0)), "high": F.get("at", F.size("at") - 1), "covered": covered}).drop("at")
+    under = F.transform("at", lambda p: F.sequence(p - F.col("diag"), p - F.col("diag") + F.col("k") - 1))
+    ends = {"votes": F.size("at"), "low": F.get("at", F.lit(0)), "high": F.get("at", F.size("at") - 1)}
+    return voted.withColumns({**ends, "cover": F.when(~F.col("exact"), F.array_distinct(F.flatten(under)))}).drop("at")
 
 
 def spans(voted: DataFrame, drift: int = DRIFT) -> DataFrame:
-    """Diagonals merged with their neighbours: (..., start, end, share of the template's words verified)."""
+    """Diagonals merged with their neighbours: (..., start, end, share of the template's words verified).
+
+    A word of the template counts once, however many of the merged diagonals verify it. Exact
+    phrases aren't merged; their share is that of their grams.
+    """
     by = Window.partitionBy("doc_id", "tag", "template").orderBy("low", "diag")
     apart = (F.abs(F.col("diag") - F.lag("diag").over(by)) > drift) | (F.col("low") > F.lag("high").over(by) + F.col("n"))
     fresh = F.coalesce(apart | F.col("exact"), F.lit(True)).cast("int")
     run = voted.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    covered = F.least(F.sum("covered"), F.first("n"))
     merged = run.groupBy("doc_id", "tag", "n_words", "template", "label", "exact", "n", "k", "run").agg(
-        F.max("rows").alias("rows"), F.min("low").alias("start"), F.max(F.col("high") + F.col("k")).alias("end"), covered.alias("covered"), F.min("votes").alias("votes")
+        F.max("rows").alias("rows"), F.min("low").alias("start"), F.max(F.col("high") + F.col("k")).alias("end"), F.flatten(F.collect_list("cover")).alias("cover"), F.min("votes").alias("votes")
     )
-    return merged.withColumn("share", F.col("covered") / F.col("n"))
+    share = F.when(F.col("exact"), F.col("votes") / (F.col("n") - F.col("k") + 1)).otherwise(F.size(F.array_distinct("cover")) / F.col("n"))
+    return merged.withColumn("share", share).drop("cover")
 
 
 def found_spans(docs: DataFrame, **columns: str) -> DataFrame:

@@ -103,3 +103,27 @@ def lines(rows):
                 keep.append(line)
         out.append((doc, len(own), len(own) - len(keep), sha("\n".join(keep))))
     return out
+
+
+def license_labels(text, notices, drift=3, coverage=0.8, gram=4):
+    """(labels of the method alone, largest share) by plain loops over templates, diagonals and words."""
+    words, labels, score = WORD.findall(low(text)), set(), 0.0
+    places = defaultdict(list)
+    for i in range(len(words) - gram + 1):
+        places[tuple(words[i : i + gram])].append(i)
+    for label, notice in notices:
+        t = notice.split()
+        diagonals = defaultdict(list)
+        for j in range(len(t) - gram + 1):
+            for i in places.get(tuple(t[j : j + gram]), ()):
+                diagonals[i - j].append(i)
+        before, seen = None, set()
+        for start, diagonal in sorted((min(at), d) for d, at in diagonals.items()):
+            if before is None or abs(diagonal - before[0]) > drift or start > before[1] + len(t):
+                seen = set()
+            seen |= {i - diagonal + w for i in diagonals[diagonal] for w in range(gram)}
+            before = diagonal, max(diagonals[diagonal])
+            score = max(score, len(seen) / len(t))
+            if len(seen) >= coverage * len(t):
+                labels.add(label)
+    return labels, score

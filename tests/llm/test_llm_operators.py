@@ -34,6 +34,35 @@ def test_license_notice_with_changed_words(spark):
     assert (row.labels, row.base_labels) == ("bsd", "") and licenses.COVERAGE <= row.score < 1
 
 
+def test_license_labels_and_scores(spark):
+    """Whole bodies, pieces, changed words, overlapping pieces: labels and score against plain loops."""
+    rng = np.random.default_rng(4)
+    texts = ["", None, "redistribution and use in source"]
+    for _, notice in licenses.NOTICES:
+        words = notice.split()
+        for _ in range(6):
+            w = list(words)
+            for _ in range(rng.integers(0, 1 + len(w) // 8)):
+                at = rng.integers(0, len(w))
+                w[at : at + rng.integers(0, 3)] = ["other"] * rng.integers(0, 3)
+            a = rng.integers(0, max(1, len(w) // 3))
+            b = len(w) - rng.integers(0, max(1, len(w) // 3))
+            texts.append(" ".join(["before"] * rng.integers(0, 5) + w[a:b] + ["after"] + words[: rng.integers(0, len(words))] + w[a : a + 9] * 2))
+    bsd = next(n for v, n in licenses.NOTICES if v == "bsd" and len(n.split()) == 21).split()
+    # 15 of 21 words, in three pieces that overlap
+    texts.append(" ".join(bsd[:9] + bsd[6:12] + bsd[9:15]))
+    found = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    many = 0
+    for i, text in enumerate(texts):
+        labels, score = brute.license_labels(text, licenses.NOTICES)
+        base = brute.licenses(text)
+        labels |= set(filter(None, base[4].split(",")))
+        many += len(labels) > 0
+        assert found[i].labels == ",".join(sorted(labels)), text
+        assert found[i].score == pytest.approx(1.0 if base[1] else score), text
+    assert many > 60 and found[len(texts) - 1].labels == "" and found[len(texts) - 1].score == pytest.approx(15 / 21)
+
+
 def test_simhash_components(docs, rows):
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
     fps = [brute.simhash(rows[i][1]) for i in order]
