@@ -1,30 +1,37 @@
 """Personal data: exact patterns, and a character-level bidirectional LSTM with CRF transitions.
 
-The network is trained in numpy from labelled spans. Texts are cut into overlapping windows, each
-is decoded by Viterbi, and every character takes its tag from the window in which it stands most
-centrally; spans are then read off the whole text. Patterns come first: the network only adds
-spans where no pattern matched.
+The network is trained in numpy from labelled spans. It reads overlapping windows; a character's
+emissions are averaged over the windows it stands in, and each stretch of a text is decoded over
+those as a whole, so CRF transitions hold across window seams. Patterns come first: the network
+adds spans where no pattern matched, of the same kinds (in other notations) and of a kind that no
+pattern has: secrets, which are told from other codes by the words before them.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
+import pickle
 import re
+from collections.abc import Iterator
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, field, scan, text_list
+from .common import columns_of, field, scan, shared_folder, text_list
 
-#: Kinds in the order of results.
+#: Kinds of the patterns in the order of results, and those that the network tags.
 KINDS = ("email", "ip", "card", "phone")
+TAGGED = (*KINDS, "secret")
 #: Characters of a window, steps between windows, hidden units of each direction.
-WIDTH, STRIDE, HIDDEN = 64, 32, 12
-#: Windows that are decoded at once.
-BATCH = 2048
+WIDTH, STRIDE, HIDDEN = 64, 32, 16
+#: Windows that are read at once; characters decoded in one piece, and by how many pieces overlap.
+BATCH, PIECE, SEAM = 2048, 1024, 128
 SEED = 5
 
 # The base patterns.
@@ -34,6 +41,8 @@ EMAIL_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Characters of a secret, and how many of them there are.
+SECRET = re.compile(r"[A-Za-z0-9_+/=.-]{16,128}")
 #: No span of any kind is without one of these.
 TRIGGER = re.compile(rb"[0-9@]")
 
@@ -82,20 +91,20 @@ def base_spans(text: str) -> list[Span]:
 
 # -------------------------------------------------------------------- network
 
-#: Characters that the network tells apart; letters, other ASCII and all else are one class each.
-SINGLE = " .@-+()_%:/\n\"'=#"
-N_CLASSES = len(SINGLE) + 6
-N_TAGS = 1 + 2 * len(KINDS)
+#: Characters that the network tells apart besides letters (without case); digits are one class, so are other ASCII and all else.
+SINGLE = " .@-+()_%:/\n\"'=#|,;!?[]{}<>&$*~"
+N_CLASSES = len(SINGLE) + 26 + 3
+N_TAGS = 1 + 2 * len(TAGGED)
 
 
 def _class_table() -> np.ndarray:
-    t = np.full(129, len(SINGLE) + 4, np.int8)
-    t[128] = len(SINGLE) + 5
+    t = np.full(129, len(SINGLE) + 27, np.int8)
+    t[128] = len(SINGLE) + 28
     for i, c in enumerate(SINGLE):
         t[ord(c)] = i
-    for k, (a, b) in enumerate(("09", "az", "AZ")):
-        t[ord(a) : ord(b) + 1] = len(SINGLE) + k
-    t[ord("a") : ord("f") + 1] = len(SINGLE) + 3
+    for i in range(26):
+        t[ord("a") + i] = t[ord("A") + i] = len(SINGLE) + i
+    t[ord("0") : ord("9") + 1] = len(SINGLE) + 26
     return t
 
 
@@ -118,19 +127,21 @@ class Tagger(NamedTuple):
     first: np.ndarray
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
 def _lstm(x: np.ndarray, table: np.ndarray, weights: np.ndarray, keep: bool = False):
-    """Hidden states (steps x rows x units) over steps x rows of classes."""
+    """Hidden states (steps x rows x units) over steps x rows of classes.
+
+    Gates stand side by side: forget, add, show, new. A sigmoid is taken as a tanh of half its input.
+    """
     steps, rows, u = *x.shape, weights.shape[0]
+    half = np.ones(4 * u, np.float32)
+    half[: 3 * u] = 0.5
+    inputs, weights = (table * half)[x], weights * half
     h, c = np.zeros((rows, u), np.float32), np.zeros((rows, u), np.float32)
     out, cells, gates = np.empty((steps, rows, u), np.float32), [], []
     for t in range(steps):
-        z = table[x[t]] + h @ weights
-        g = _sigmoid(z)
-        g[:, 3 * u :] = np.tanh(z[:, 3 * u :])
+        g = np.tanh(inputs[t] + h @ weights)
+        g[:, : 3 * u] += 1
+        g[:, : 3 * u] *= 0.5
         if keep:
             cells.append(c)
             gates.append(g)
@@ -141,22 +152,24 @@ def _lstm(x: np.ndarray, table: np.ndarray, weights: np.ndarray, keep: bool = Fa
 
 
 def _lstm_back(x: np.ndarray, table: np.ndarray, weights: np.ndarray, run, d_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients by table and weights."""
     out, cells, gates, last = run
     u = weights.shape[0]
-    d_table, d_weights = np.zeros_like(table), np.zeros_like(weights)
-    dh, dc, c = np.zeros_like(last), np.zeros_like(last), last
+    dz = np.empty((*x.shape, 4 * u), np.float32)
+    dh, dc, c, back = np.zeros_like(last), np.zeros_like(last), last, np.ascontiguousarray(weights.T)
     for t in range(len(x) - 1, -1, -1):
-        g, before = gates[t], cells[t]
-        dh = dh + d_out[t]
+        g, before, d = gates[t], cells[t], dz[t]
+        dh += d_out[t]
         tc = np.tanh(c)
-        dc = dc + dh * g[:, 2 * u : 3 * u] * (1 - tc**2)
-        f, i, o, n = (g[:, k * u : (k + 1) * u] for k in range(4))
-        dz = np.concatenate([dc * before * f * (1 - f), dc * n * i * (1 - i), dh * tc * o * (1 - o), dc * i * (1 - n**2)], 1)
-        np.add.at(d_table, x[t], dz)
-        if t:
-            d_weights += out[t - 1].T @ dz
-        dh, dc, c = dz @ weights.T, dc * f, before
-    return d_table, d_weights
+        dc += dh * g[:, 2 * u : 3 * u] * (1 - tc * tc)
+        d[:, :u], d[:, u : 2 * u], d[:, 2 * u : 3 * u] = dc * before, dc * g[:, 3 * u :], dh * tc
+        d[:, : 3 * u] *= g[:, : 3 * u] * (1 - g[:, : 3 * u])
+        d[:, 3 * u :] = dc * g[:, u : 2 * u] * (1 - g[:, 3 * u :] ** 2)
+        dh, dc, c = d @ back, dc * g[:, :u], before
+    of_class = np.zeros((x.size, len(table)), np.float32)
+    of_class[np.arange(x.size), x.ravel()] = 1
+    flat = dz.reshape(x.size, 4 * u)
+    return of_class.T @ flat, out[:-1].reshape(-1, u).T @ flat[x.shape[1] :]
 
 
 def emissions(model: Tagger, x: np.ndarray) -> np.ndarray:
@@ -186,36 +199,38 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def _crf_gradients(scores: np.ndarray, tags: np.ndarray, moves: np.ndarray, first: np.ndarray):
-    """Gradients of the mean negative log-likelihood by scores, moves and first tags."""
+    """Gradients of the mean negative log-likelihood by scores, moves and first tags (forward-backward, scaled at each step)."""
     steps, rows, k = scores.shape
-    ahead, back = np.empty_like(scores), np.zeros_like(scores)
-    ahead[0] = scores[0] + first
+    here = np.exp(scores - scores.max(2, keepdims=True))
+    step, start = np.exp(moves - moves.max()), np.exp(first - first.max())
+    ahead, back = np.empty_like(here), np.ones_like(here)
+    ahead[0] = here[0] * start
     for t in range(1, steps):
-        ahead[t] = _logsum(ahead[t - 1][:, :, None] + moves, 1) + scores[t]
+        ahead[t - 1] /= ahead[t - 1].sum(1, keepdims=True)
+        np.multiply(ahead[t - 1] @ step, here[t], out=ahead[t])
     for t in range(steps - 2, -1, -1):
-        back[t] = _logsum(moves + (scores[t + 1] + back[t + 1])[:, None, :], 2)
-    z = _logsum(ahead[-1], 1)
-    d = np.exp(ahead + back - z[None, :, None])
-    r = np.arange(rows)
-    d_moves = np.zeros_like(moves)
-    for t in range(1, steps):
-        d_moves += np.exp(ahead[t - 1][:, :, None] + moves + (scores[t] + back[t])[:, None, :] - z[:, None, None]).sum(0)
-        np.add.at(d_moves, (tags[t - 1], tags[t]), -1)
+        after = here[t + 1] * back[t + 1]
+        np.matmul(after / after.sum(1, keepdims=True), step.T, out=back[t])
+    d = ahead * back
+    d /= d.sum(2, keepdims=True)
+    after = here[1:] * back[1:]
+    norm = np.einsum("trk,kl,trl->tr", ahead[:-1], step, after, optimize=True)
+    d_moves = np.einsum("trk,trl->kl", ahead[:-1] / norm[:, :, None], after, optimize=True) * step
+    np.add.at(d_moves, (tags[:-1].ravel(), tags[1:].ravel()), -1)
     d_first = d[0].sum(0) - np.bincount(tags[0], minlength=k)
-    for t in range(steps):
-        d[t, r, tags[t]] -= 1
+    d[np.arange(steps)[:, None], np.arange(rows), tags] -= 1
     return d / rows, d_moves / rows, d_first / rows
 
 
 def tags_of(n: int, spans: list[Span]) -> np.ndarray:
     tags = np.zeros(n, np.int64)
     for kind, a, b in spans:
-        tags[a:b] = 2 + 2 * KINDS.index(kind)
+        tags[a:b] = 2 + 2 * TAGGED.index(kind)
         tags[a] -= 1
     return tags
 
 
-def fit(examples: list[tuple[str, list[Span]]], epochs: int = 20, rate: float = 0.02, batch: int = 32, hidden: int = HIDDEN, seed: int = SEED) -> Tagger:
+def fit(examples: list[tuple[str, list[Span]]], epochs: int = 24, rate: float = 0.03, batch: int = 128, hidden: int = HIDDEN, seed: int = SEED) -> Tagger:
     """Train on labelled texts of ``WIDTH`` characters each (shorter ones are padded by line ends)."""
     rng = np.random.default_rng(seed)
     x = np.stack([classes(t[:WIDTH].ljust(WIDTH, "\n")) for t, _ in examples]).astype(np.int64)
@@ -251,7 +266,7 @@ def fit(examples: list[tuple[str, list[Span]]], epochs: int = 20, rate: float =
 # ------------------------------------------------------------ labelled examples
 
 
-def examples(n: int = 2400, seed: int = SEED) -> list[tuple[str, list[Span]]]:
+def examples(n: int = 5000, seed: int = SEED) -> list[tuple[str, list[Span]]]:
     """Labelled windows by rule: invented words around personal data in many notations, and around what only looks like it."""
     rng = np.random.default_rng(seed)
     pick = lambda *options: options[rng.integers(len(options))]
@@ -275,37 +290,75 @@ def examples(n: int = 2400, seed: int = SEED) -> list[tuple[str, list[Span]]]:
         a, b, c = digits(3), digits(3), digits(4)
         return pick(f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+44 {digits(2)} {c} {digits(4)}", f"+{digits(2)} {a} {b} {c}", f"+1-{a}-{b}-{c}")
 
+    def code() -> str:
+        kinds = ("0123456789abcdef", "0123456789ABCDEF", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")[rng.integers(3)]
+        return "".join(pick(*kinds) for _ in range(pick(20, 24, 32, 32, 40, 40)))
+
+    def name(*options: str) -> str:
+        w = pick(*options)
+        return pick(w, w, w.upper(), w.capitalize())
+
+    def secret() -> tuple[str, str, str]:
+        """What stands before a secret, the secret, and what stands after it."""
+        quote = pick('"', '"', "'", "")
+        before = name("token", "token", "secret", "password", "api_key", "apikey", "access_key", "passwd", "auth") + pick(" = ", " = ", "=", ": ", ":") + quote
+        return before, code(), quote
+
     make = {"email": email, "ip": lambda: ".".join(str(v) for v in rng.integers(0, 256, 4)), "card": card, "phone": phone}
 
     def decoy() -> str:
         return pick(
-            "".join(pick(*"0123456789abcdef") for _ in range(40)), f"version {digits(1)}.", f"{digits(1)}.{digits(1)}", f"{digits(1)}.{digits(2)}.{digits(1)}", f"20{digits(2)}-0{rng.integers(1, 10)}-{rng.integers(10, 29)}",
-            digits(rng.integers(1, 9)), f"{digits(2)}:{digits(2)}", f"${digits(3)}.{digits(2)}", f"@{letters(6)}", f"{digits(3)} {letters(4)} {digits(2)}", f"{letters(3)}{digits(3)}", f"key = \"{''.join(pick(*'0123456789abcdef') for _ in range(32))}\"",
+            code(), f"{name('commit', 'sha', 'digest', 'build', 'checksum', 'id', 'file')}{pick(' ', ': ', ' = ')}{code()}", f"version {digits(1)}.", f"{digits(1)}.{digits(1)}", f"{digits(1)}.{digits(2)}.{digits(1)}",
+            f"20{digits(2)}-0{rng.integers(1, 10)}-{rng.integers(10, 29)}", digits(rng.integers(1, 9)), digits(rng.integers(9, 13)), f"{digits(2)}:{digits(2)}", f"${digits(3)}.{digits(2)}", f"@{letters(6)}",
+            f"{digits(3)} {letters(4)} {digits(2)}", f"{letters(3)}{digits(3)}", f"{name('token', 'secret', 'password')} {letters(5)}", f"{name('token', 'secret')} = {letters(6)}",
         )
 
     out = []
-    for _ in range(n):
+    while len(out) < n:
         text, spans = "", []
-        shift = rng.integers(0, 12)
+        shift = int(rng.integers(0, 24))
         while len(text) < WIDTH + shift:
-            kind = pick(*KINDS, "decoy", "decoy", "word", "word", "word", "word")
-            part = word() if kind == "word" else decoy() if kind == "decoy" else make[kind]()
-            if kind in make:
-                spans.append((kind, len(text), len(text) + len(part)))
-            text += part + (pick(".", ",", "!", "", "", "") if kind in make else "") + pick(" ", " ", " ", " ", "\n", " | ")
-        cut = [(k, a - shift, b - shift) for k, a, b in spans if a >= shift and b - shift <= WIDTH]
-        whole = all(b <= shift or a >= shift for _, a, b in spans)
-        cut += [(k, a - shift, WIDTH) for k, a, b in spans if shift <= a and a - shift < WIDTH < b - shift and b - shift - WIDTH < 6]
-        if whole:
-            out.append((text[shift : shift + WIDTH], [(k, a, min(b, WIDTH)) for k, a, b in sorted(cut, key=lambda s: s[1])]))
+            kind = pick(*TAGGED, "decoy", "decoy", "word", "word", "word", "word")
+            before, part, after = ("", word(), "") if kind == "word" else ("", decoy(), "") if kind == "decoy" else secret() if kind == "secret" else ("", make[kind](), "")
+            if kind in TAGGED:
+                spans.append((kind, len(text) + len(before), len(text) + len(before) + len(part)))
+            text += before + part + after + (pick(".", ",", "!", "", "", "") if kind in make else "") + pick(" ", " ", " ", " ", "\n", " | ")
+        # a span that a window cuts off is labelled as far as the window shows it; its start may lie before
+        cut = [(k, max(a - shift, 0), min(b - shift, WIDTH)) for k, a, b in spans if b > shift and a - shift < WIDTH]
+        if all(a >= shift for _, a, b in spans if b > shift):
+            out.append((text[shift : shift + WIDTH], cut))
     return out
 
 
 @functools.cache
 def default_tagger() -> Tagger:
+    """The network, fitted in this process (half a minute or so)."""
     return fit(examples())
 
 
+def shared_tagger(spark: SparkSession) -> Tagger:
+    """The network as kept in the shared folder; where it is not there yet, a task fits it and writes it.
+
+    The folder's name is a digest of all that the fit depends on, and the fit is seeded, so
+    sessions that fit at the same time write the same weights.
+    """
+    kept = f"{shared_folder(spark)}/pii-tagger-{hashlib.sha256(Path(__file__).read_bytes()).hexdigest()[:16]}"
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(default_tagger())])], ["model"])
+
+    try:
+        row = spark.read.schema("model binary").parquet(kept).first()
+    except AnalysisException:
+        row = None
+    if row is None:
+        spark.range(1, numPartitions=1).mapInArrow(made, "model binary").write.mode("ignore").parquet(kept)
+        row = spark.read.schema("model binary").parquet(kept).first()
+    return pickle.loads(row.model)
+
+
 # -------------------------------------------------------------------- decoding
 
 
@@ -313,7 +366,7 @@ def _read_spans(tags: np.ndarray) -> list[Span]:
     out: list[list] = []
     at = np.flatnonzero(tags)
     for i in at.tolist():
-        kind, begins = KINDS[(tags[i] - 1) // 2], tags[i] % 2 == 1
+        kind, begins = TAGGED[(tags[i] - 1) // 2], tags[i] % 2 == 1
         if out and out[-1][2] == i and out[-1][0] == kind and not begins:
             out[-1][2] = i + 1
         else:
@@ -329,6 +382,8 @@ def stands_alone(text: str, a: int, b: int) -> bool:
 def plausible(kind: str, text: str) -> bool:
     """The exact check of a span that the network proposes."""
     digits = _digits(text)
+    if kind == "secret":
+        return len(digits) >= 4 and len(set(text)) >= 8 and SECRET.fullmatch(text) is not None
     if kind == "email":
         at = text.find("@")
         return at > 0 and all(c in EMAIL_LOCAL for c in text[:at]) and EMAIL_DOMAIN.fullmatch(text, at + 1) is not None
@@ -341,33 +396,83 @@ def plausible(kind: str, text: str) -> bool:
     return 10 <= len(digits) <= 15 and (text[0] in "+(" or text[0].isdigit()) and any(c in "() .-+" for c in text)
 
 
-def tag_texts(model: Tagger, texts: list[str]) -> list[list[Span]]:
-    """Spans that the network reads in each text, checked; windows without a digit or @ can't hold any and are passed over."""
-    codes = [classes(t) for t in texts]
+def stretches(codes: np.ndarray) -> list[tuple[int, int]]:
+    """Parts of a text that windows with a digit or an @ reach, and a window's width on either side of it."""
     digit, at = _CLASSES[ord("0")], _CLASSES[ord("@")]
-    jobs: list[tuple[int, int]] = []
-    for i, c in enumerate(codes):
-        hot = np.unique(np.flatnonzero((c == digit) | (c == at)) // STRIDE)
-        # windows that reach the stretch itself and a stretch on either side of it
-        starts = np.unique(hot[:, None] + np.arange(-2, 2))
-        jobs += [(i, int(s) * STRIDE) for s in starts if 0 <= s * STRIDE < len(c)]
-    tags = [np.zeros(len(c), np.int8) for c in codes]
+    hot = np.unique(np.flatnonzero((codes == digit) | (codes == at)) // STRIDE)
+    if not len(hot):
+        return []
+    first = np.flatnonzero(np.concatenate([[True], np.diff(hot) > 4]))
+    last = np.append(first[1:], len(hot)) - 1
+    return [(max(int(a) * STRIDE - WIDTH, 0), min(int(b) * STRIDE + STRIDE + WIDTH, len(codes))) for a, b in zip(hot[first], hot[last], strict=True)]
+
+
+def averaged(model: Tagger, parts: list[np.ndarray]) -> list[np.ndarray]:
+    """Emissions of each stretch (characters x tags), averaged over the windows that a character stands in."""
+    jobs = [(i, s) for i, c in enumerate(parts) for s in range(0, max(len(c) - WIDTH + STRIDE, 1), STRIDE)]
+    total = [np.zeros((len(c), N_TAGS), np.float32) for c in parts]
+    seen = [np.zeros((len(c), 1), np.float32) for c in parts]
     pad = _CLASSES[ord("\n")]
     for a in range(0, len(jobs), BATCH):
         part = jobs[a : a + BATCH]
         x = np.full((len(part), WIDTH), pad, np.int64)
         for r, (i, s) in enumerate(part):
-            window = codes[i][s : s + WIDTH]
+            window = parts[i][s : s + WIDTH]
             x[r, : len(window)] = window
-        found = viterbi(model, emissions(model, x.T)).T
-        edge = STRIDE // 2
+        found = emissions(model, np.ascontiguousarray(x.T)).transpose(1, 0, 2)
         for r, (i, s) in enumerate(part):
-            low = 0 if s == 0 else edge
-            high = WIDTH if s + WIDTH >= len(codes[i]) else WIDTH - edge
-            high = min(high, len(codes[i]) - s)
-            if high > low:
-                tags[i][s + low : s + high] = found[r, low:high]
-    return [[(k, a, b) for k, a, b in _read_spans(t) if stands_alone(text, a, b) and plausible(k, text[a:b])] for t, text in zip(tags, texts, strict=True)]
+            n = min(WIDTH, len(parts[i]) - s)
+            total[i][s : s + n] += found[r, :n]
+            seen[i][s : s + n] += 1
+    return [t / n for t, n in zip(total, seen, strict=True)]
+
+
+def decode(model: Tagger, scores: list[np.ndarray]) -> list[np.ndarray]:
+    """The best tags of each stretch by Viterbi.
+
+    Long stretches are decoded in overlapping pieces, all at once, and joined where both pieces
+    read the same tag: there the best path is the left piece's up to the place and the right
+    piece's after it. Where pieces never agree, both are decoded anew as one.
+    """
+    pieces = [(i, a, min(a + PIECE + SEAM, len(s))) for i, s in enumerate(scores) for a in range(0, max(len(s) - SEAM, 1), PIECE)]
+    tags: dict[tuple[int, int], np.ndarray] = {}
+    alike: dict[int, list[tuple[int, int]]] = {}
+    for i, a, b in pieces:
+        alike.setdefault(b - a, []).append((i, a))
+    for n, places in alike.items():
+        for k in range(0, len(places), BATCH):
+            part = places[k : k + BATCH]
+            found = viterbi(model, np.stack([scores[i][a : a + n] for i, a in part], 1)) if n else np.empty((0, len(part)), np.int8)
+            tags |= {place: found[:, j] for j, place in enumerate(part)}
+    out = []
+    for i, s in enumerate(scores):
+        done = tags[i, 0]
+        for a in range(PIECE, max(len(s) - SEAM, 1), PIECE):
+            right, shared = tags[i, a], len(done) - a
+            agree = np.flatnonzero((done[a:] == right[:shared]) & (np.arange(shared) >= shared // 4))
+            if len(agree):
+                outside = agree[done[a + agree] == 0]
+                at = int((outside if len(outside) else agree)[0])
+                done = np.concatenate([done[: a + at], right[at:]])
+            else:
+                done = viterbi(model, s[: a + len(right), None])[:, 0]
+        out.append(done)
+    return out
+
+
+def tag_texts(model: Tagger, texts: list[str]) -> list[list[Span]]:
+    """Spans that the network reads in each text, checked.
+
+    Only stretches around a digit or an @ are read: no span without one of them passes the check.
+    """
+    codes = [classes(t) for t in texts]
+    where = [(i, a, b) for i, c in enumerate(codes) for a, b in stretches(c)]
+    found = decode(model, averaged(model, [codes[i][a:b] for i, a, b in where]))
+    out: list[list[Span]] = [[] for _ in texts]
+    for (i, a, _), tags in zip(where, found, strict=True):
+        spans = [(k, x + a, y + a) for k, x, y in _read_spans(tags)]
+        out[i] += [(k, x, y) for k, x, y in spans if stands_alone(texts[i], x, y) and plausible(k, texts[i][x:y])]
+    return out
 
 
 def all_spans(model: Tagger, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
@@ -377,7 +482,7 @@ def all_spans(model: Tagger, texts: list[str]) -> list[tuple[list[Span], list[Sp
         base = base_spans(text)
         taken = sorted((a, b) for _, a, b in base)
         fresh = [s for s in more if not any(a < s[2] and s[1] < b for a, b in taken)]
-        rank = lambda s: (KINDS.index(s[0]), s[1])
+        rank = lambda s: (TAGGED.index(s[0]), s[1])
         out.append((sorted(base, key=rank), sorted(base + fresh, key=rank)))
     return out
 
@@ -388,7 +493,7 @@ def find_personal_data(docs: DataFrame, model: Tagger | None = None, doc_id: str
     Code points, end exclusive. Null texts count as empty; texts without a digit or @ have no spans;
     repeated rows get equal answers. Whole texts are read; there is no shuffle.
     """
-    tagger = docs.sparkSession.sparkContext.broadcast(model or default_tagger())
+    tagger = docs.sparkSession.sparkContext.broadcast(model or shared_tagger(docs.sparkSession))
 
     def work(batch: pa.RecordBatch) -> dict:
         raw = text_list(batch.column(1))
@@ -405,7 +510,7 @@ def find_personal_data(docs: DataFrame, model: Tagger | None = None, doc_id: str
 
 def redact(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     """(doc_id, text) with every span replaced by its kind in brackets."""
-    tagger = docs.sparkSession.sparkContext.broadcast(model or default_tagger())
+    tagger = docs.sparkSession.sparkContext.broadcast(model or shared_tagger(docs.sparkSession))
 
     def work(batch: pa.RecordBatch) -> dict:
         out = []

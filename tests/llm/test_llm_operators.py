@@ -274,6 +274,73 @@ def test_tagger_learns_held_out_spans():
         assert len(pii.tag_texts(model, [("ab 1 @" * 40)[:n], "7" * n])) == 2
 
 
+def test_tagger_recall_and_precision_on_held_out_spans():
+    model, held = pii.default_tagger(), pii.examples(500, seed=78)
+    right, total, read = Counter(), Counter(), Counter()
+    x = np.stack([pii.classes(t[: pii.WIDTH].ljust(pii.WIDTH, "\n")) for t, _ in held]).astype(int)
+    for (_, spans), tags in zip(held, pii.viterbi(model, pii.emissions(model, x.T)).T, strict=True):
+        own = set(pii._read_spans(tags))
+        right.update(k for k, *_ in own & set(spans))
+        total.update(k for k, *_ in spans)
+        read.update(k for k, *_ in own)
+    assert set(total) == set(pii.TAGGED)
+    assert right.total() >= 0.9 * total.total() and right.total() >= 0.9 * read.total()
+
+
+def test_network_adds_spans_that_no_pattern_has():
+    model = pii.default_tagger()
+    texts = ['well then token = "a3f09b7c5d1e88f2046b9d7c3a5e1f00b2c4d6e8" and so on', "numbers 4465758382889437 4465758382889437 in a row"]
+    added = [[s for s in more if s not in base] for base, more in pii.all_spans(model, texts)]
+    assert [(k, texts[0][a:b]) for k, a, b in added[0]] == [("secret", texts[0].split('"')[1])]
+    assert {k for k, *_ in added[1]} <= {"card"}
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(0)
+    k = pii.N_TAGS
+    model = pii.Tagger((), (), None, None, rng.normal(size=(k, k)), rng.normal(size=k))
+    scores = rng.normal(size=(4, 3, k)) * 2
+    for r, tags in enumerate(pii.viterbi(model, scores).T):
+        worth = model.first[:, None, None, None] + scores[0, r][:, None, None, None] + (model.moves + scores[1, r])[:, :, None, None] + (model.moves + scores[2, r])[None, :, :, None] + (model.moves + scores[3, r])[None, None]
+        assert tuple(tags) == np.unravel_index(worth.argmax(), worth.shape)
+
+
+def test_long_stretches_decode_as_one():
+    rng = np.random.default_rng(1)
+    k = pii.N_TAGS
+    model = pii.Tagger((), (), None, None, rng.normal(size=(k, k)), rng.normal(size=k))
+    sizes = [0, 1, 100, pii.PIECE, pii.PIECE + pii.SEAM, pii.PIECE + pii.SEAM + 1, 5000]
+    scores = [rng.normal(size=(n, k)) for n in sizes]
+    for s, tags in zip(scores, pii.decode(model, scores), strict=True):
+        assert len(tags) == len(s)
+        if len(s):
+            assert (tags == pii.viterbi(model, s[:, None])[:, 0]).all()
+
+
+def test_emissions_are_averaged_over_windows():
+    model = pii.default_tagger()
+    codes = pii.classes("call (132) 555-1352 or token = 'ab12cd34ef56ab12cd34' " * 3)
+    total, seen = np.zeros((len(codes), pii.N_TAGS)), np.zeros(len(codes))
+    for s in range(0, len(codes) - pii.WIDTH + pii.STRIDE, pii.STRIDE):
+        window = np.full(pii.WIDTH, pii._CLASSES[10], int)
+        n = min(pii.WIDTH, len(codes) - s)
+        window[:n] = codes[s : s + n]
+        total[s : s + n] += pii.emissions(model, window[:, None])[:n, 0]
+        seen[s : s + n] += 1
+    assert seen.min() >= 1 and seen.max() == 2
+    assert np.allclose(pii.averaged(model, [codes])[0], total / seen[:, None], atol=1e-4)
+
+
+def test_stretches_without_digit_or_at_hold_no_spans(spark, monkeypatch):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    model = pii.default_tagger()
+    some = pii.tag_texts(model, texts)
+    read = sum(b - a for t in texts for a, b in pii.stretches(pii.classes(t)))
+    monkeypatch.setattr(pii, "stretches", lambda codes: [(0, len(codes))])
+    every = pii.tag_texts(model, texts)
+    assert some == every and sum(map(len, some)) and read < sum(map(len, texts))
+
+
 def test_tagger_gradients():
     rng = np.random.default_rng(0)
     x = rng.integers(0, pii.N_CLASSES, (6, 3))
