@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import defaultdict
 
 import xxhash
@@ -127,3 +129,96 @@ def license_labels(text, notices, drift=3, coverage=0.8, gram=4):
             if len(seen) >= coverage * len(t):
                 labels.add(label)
     return labels, score
+
+
+MASK = (1 << 64) - 1
+
+
+def scramble(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31
+
+
+def piecewise(text, window=7, base=0xD6E8FEB86659FD93):
+    """The context-triggered fingerprint of a text (bytes), byte by byte."""
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rolls = [scramble(sum((text[i + j] + 1) * pow(base, j, 1 << 64) for j in range(window)) & MASK) for i in range(len(text) - window + 1)]
+
+    def signature(block):
+        chunks, at = [], 0
+        for i, r in enumerate(rolls):
+            if r % block == block - 1 and len(chunks) < 63:
+                chunks.append(text[at : i + window])
+                at = i + window
+        if at < len(text):
+            chunks.append(text[at:])
+        return "".join(alphabet[xxhash.xxh64_intdigest(c) >> 58] for c in chunks)
+
+    if not text:
+        return "3::"
+    block = 3
+    while block * 64 < len(text):
+        block *= 2
+    while block > 3 and sum(r % block == block - 1 for r in rolls) < 32:
+        block //= 2
+    return f"{block}:{signature(block)}:{signature(2 * block)}"
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def alike(x, y):
+    """Likeness of two fingerprints."""
+    if x == y:
+        return 1.0
+    (b, x1, x2), (c, y1, y2) = x.split(":"), y.split(":")
+    mine, theirs = {int(b): x1, 2 * int(b): x2}, {int(c): y1, 2 * int(c): y2}
+    shared = [(mine[n], theirs[n]) for n in mine if n in theirs and (mine[n] or theirs[n])]
+    return max((1 - levenshtein(a, b) / max(len(a), len(b)) for a, b in shared), default=0.0)
+
+
+def language(text, learned, false_positive, common):
+    """(language, score) from plain sets of n-grams for each language, without any filter."""
+    folded = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode())
+    if not any(c.isalpha() for c in text):
+        return "und", 0.0
+    line = b" " + b" ".join(folded.split()) + b" "
+    own = [int.from_bytes(line[i : i + 4], "big") for i in range(len(line) - 3)]
+    hits = {k: max(sum(g in v for g in own) - len(own) * false_positive[k], 0) / (1 - false_positive[k]) for k, v in learned.items()}
+    if not sum(hits.values()):
+        return common, 0.0
+    best = min(hits, key=lambda k: (-hits[k], k))
+    return best, hits[best] / sum(hits.values())
+
+
+def quality_score(machine, text, told, dimensions=1024):
+    """The factorisation machine's score, one feature and one pair of features at a time."""
+    words = text.split()
+    n, k = max(len(text), 1), max(len(words), 1)
+    share = lambda chars: sum(text.count(bytes([c])) for c in chars)
+    symbols = [c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in " .,;:'\"?()-\n"]
+    lines = text.split(b"\n")
+    pairs = len({(a, b) for a, b in zip(words, words[1:], strict=False)}) if len(words) > 1 else 1
+    stats = [
+        math.log1p(len(words)), math.log1p(len(text) if told is None else max(told, 0)), n / k, share(range(65, 91)) / n, share(range(97, 123)) / n, share(range(48, 58)) / n, share(symbols) / n,
+        sum(c >= 128 for c in text) / n, math.log1p(len(lines)), len(set(lines)) / len(lines), len(set(words)) / k, len(set(words)) / k**0.75, pairs / max(len(words) - 1, 1), share(b".!?") / k,
+    ]
+    row = defaultdict(float)
+    for w in set(words):
+        h = zlib.crc32(w)
+        row[h % dimensions] += math.sqrt(words.count(w)) * (1 if h >> 20 & 1 else -1)
+    size = math.sqrt(sum(v * v for v in row.values())) or 1.0
+    x = {i: v / size for i, v in row.items()}
+    x |= {dimensions + i: max(-4, min(4, (v - machine.centre[i]) / machine.spread[i])) / math.sqrt(len(stats)) for i, v in enumerate(stats)}
+    total = machine.bias + sum(machine.linear[i] * v for i, v in x.items())
+    keys = sorted(x)
+    total += sum(float(machine.factors[i] @ machine.factors[j]) * x[i] * x[j] for a, i in enumerate(keys) for j in keys[:a])
+    return 1 / (1 + math.exp(-total))

@@ -218,19 +218,26 @@ def test_fingerprints_and_successors(docs, rows):
             assert 0 <= by_id[row[0]][0].near_edited <= 1 and 0 <= by_id[row[0]][0].near_next <= 1
 
 
-def test_edit_distance():
-    def plain(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
+@pytest.mark.parametrize("kind", ["long", "string", "date", "decimal(20,2)"])
+def test_fingerprints_by_any_orderable_id(spark, rows, kind):
+    """Every column against loops over bytes, for ids of several types, with repeated and null ids."""
+    some = spark.createDataFrame([(r[0], r[1]) for r in rows[:60]] + [(None, "no id"), (None, "nor this one"), (0, "again")], "doc_id long, text string")
+    typed = some.selectExpr("date_add(DATE '2020-01-01', CAST(doc_id AS INT)) AS doc_id" if kind == "date" else f"CAST(doc_id AS {kind}) AS doc_id", "text", "xxhash64(coalesce(text, '')) AS tag")
+    order = [(r.doc_id, r.text or "") for r in sorted(typed.collect(), key=lambda r: (r.doc_id is not None, r.doc_id, r.tag) if r.doc_id is not None else (False, 0, r.tag))]
+    want = Counter()
+    for (i, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        k = len(text) // 4
+        changed = text[: len(text) - k] + after[:k]
+        own, other, following = (brute.piecewise(t.encode()) for t in (text, changed, after))
+        want[i, len(text), brute.sha(changed), own, other, round(brute.alike(own, other), 9), round(brute.alike(own, following), 9)] += 1
+    found = ctph.compare_with_next(typed.select("doc_id", "text")).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in found) == want
+
 
+def test_edit_distance():
     rng = np.random.default_rng(0)
     pairs = [tuple(bytes(rng.integers(65, 69, rng.integers(0, 65)).astype(np.uint8)) for _ in "ab") for _ in range(300)]
-    assert ctph.edit_distances(pairs).tolist() == [plain(a, b) for a, b in pairs]
+    assert ctph.edit_distances(pairs).tolist() == [brute.levenshtein(a, b) for a, b in pairs]
 
 
 def test_fingerprints_of_changed_texts_are_alike():
@@ -385,6 +392,88 @@ def test_language_filters_return_every_language_of_an_ngram():
     assert mask == [1, 2, 3, 0]
 
 
+def test_language_against_plain_sets(rows, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [r[1] or "" for r in rows]
+    own = {k: set(rng.choice(np.concatenate([langid.grams(langid.normal(t.encode())) for t in texts]), 40).tolist()) for k in ("aa", "bb", "cc")}
+    filters = langid.build({k: sorted(v) for k, v in own.items()}, "bb")
+    every = {int(g) for t in texts for g in langid.grams(langid.normal(t.encode()))}
+    # what a filter takes for its own, right or wrong, is part of the method: the plain sets get it too
+    mask = langid.lookup(filters, np.array(sorted(every), np.uint32))[:, 0]
+    learned = {k: {g for g, m in zip(sorted(every), mask.tolist(), strict=True) if m >> i & 1} for i, k in enumerate(filters.languages)}
+    assert all(own[k] & every <= learned[k] for k in own)
+    want = [brute.language(t, learned, dict(zip(filters.languages, filters.false_positive, strict=True)), "bb") for t in texts]
+    for piece in (langid.PIECE, 50):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        langs, scores = langid.decide(filters, [t.encode() for t in texts])
+        assert langs == [w[0] for w in want] and scores == pytest.approx([w[1] for w in want])
+
+
+def test_quality_scores_against_plain_loops(rows):
+    rng = np.random.default_rng(6)
+    n = quality.DIMENSIONS + quality.N_STATS
+    machine = quality.Machine(0.3, rng.normal(size=n), rng.normal(size=(n, 3)) / 3, rng.normal(size=quality.N_STATS), rng.random(quality.N_STATS) + 0.5)
+    texts = [(r[1] or "").encode() for r in rows if not r[1] or len(r[1]) < 2000]
+    told = [None if i % 3 else i * 1.5 for i in range(len(texts))]
+    want = [brute.quality_score(machine, t, n) for t, n in zip(texts, told, strict=True)]
+    for at_once in (7, 512):
+        assert quality.probabilities(machine, texts, told, at_once).tolist() == pytest.approx(want, rel=1e-4, abs=1e-6)
+
+
+CLASHES = ["score", "predicted", "id", "tag", "_tag", "epochs", "below", "_n", "n", "h", "row", "size", "of", "copy", "spans", "items", "n_words", "contaminated", "_contaminated", "component_id", "fp", "rank", "a b:c", "x.y", "`q`"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Documents with columns of every name that a stage might use inside."""
+    texts = ["plain words stand here in order and end well.", "other words stand here, and they end well too.", "plain words stand here in order and end well.", None, "", "!! $$$ !! ###"] * 4
+    rows = [(i, t, None if i % 5 == 0 else "en", f"s{i % 2}", len(t or ""), *[f"{c}-{i}" for c in CLASHES], "kept") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *CLASHES, "shard"])
+
+
+@pytest.mark.parametrize("stage", ["quality", "simhash", "decontaminate", "mixing", "sharding"])
+def test_stages_leave_columns_of_any_name_alone(spark, clashing, stage):
+    labels = spark.createDataFrame([(i, int(i % 6 < 5)) for i in range(24)], "doc_id long, quality int")
+    items = spark.createDataFrame([(1, "other words stand here")], "item_id long, text string")
+    made = {
+        "quality": lambda: quality.kept_documents(clashing, quality.train(clashing, labels)),
+        "simhash": lambda: simhash.one_per_group(clashing),
+        "decontaminate": lambda: decontaminate.clean_documents(clashing, items),
+        "mixing": lambda: mixing.mixed_documents(clashing),
+        "sharding": lambda: sharding.assign(clashing, sharding.layout(24)),
+    }[stage]()
+    assert made.columns[: len(clashing.columns)] == clashing.columns
+    every = {tuple(r) for r in clashing.collect()}
+    found = [tuple(r)[: len(clashing.columns)] for r in made.collect()]
+    assert found and set(found) <= every
+    if stage == "sharding":
+        assert made.columns[-1] == "shard_" and len(found) == len(every)
+
+
+def test_new_columns_get_free_names(spark, clashing):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.scored(clashing, quality.train(clashing, none)).columns[-2:] == ["score_", "predicted_"]
+    items = spark.createDataFrame([(1, "other words stand here")], "item_id long, text string")
+    assert decontaminate.scan_rows(clashing, items).columns[-1] == "contaminated_"
+
+
+def test_components_are_never_left_unfinished(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        simhash.components(path, max_rounds=1)
+    assert {(r.node, r.root) for r in simhash.components(path).collect()} == {(i, 0) for i in range(1, 61)}
+
+
+def test_hubs_are_split(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAST_SPLIT", 8)
+    edges = [(1000 + i, 5) for i in range(100)] + [(5, 2), (7, 8)]
+    found = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert found == {5: 2, 8: 7, **{1000 + i: 2 for i in range(100)}}
+    rows, n = spark.createDataFrame([(1, i) for i in range(100)] + [(2, 1)], "k long, by long"), spark.createDataFrame([(1, 100, "a"), (2, 1, "b")], "k long, n long, v string")
+    joined = simhash.split_join(rows, n, "k", "by", 101)
+    assert joined.count() == 101 and joined.filter("v = 'a'").count() == 100
+
+
 def test_factorisation_machine(spark):
     rng = np.random.default_rng(0)
     x, w, v = rng.normal(size=(5, 7)), rng.normal(size=7), rng.normal(size=(7, 3))
@@ -413,4 +502,4 @@ def test_empty_tables(empty, benchmark, spark):
     assert ctph.compare_with_next(empty).count() == 0
     assert pii.find_personal_data(empty).count() == 0
     assert langid.predict(empty, langid.train(empty)).count() == 0
-    assert quality.scored(empty.drop("score"), quality.train(empty, spark.createDataFrame([], "doc_id long, quality int"))).count() == 0
+    assert quality.scored(empty, quality.train(empty, spark.createDataFrame([], "doc_id long, quality int"))).count() == 0
