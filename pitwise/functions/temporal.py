@@ -60,3 +60,8 @@ def age_days(moment: Column, since: Column) -> Column:
 def recency_weight(moment: Column, cutoff: Column, half_life_days: float) -> Column:
     """Halves with every half-life of age; 1 for what is not older than the cutoff."""
     return F.pow(F.lit(0.5), F.greatest(age_days(cutoff, moment), F.lit(0.0)) / half_life_days)
+
+
+def latest_in_map(times: Column) -> Column:
+    """The latest readable moment among a map's values; null where there is none."""
+    return F.array_max(F.transform(F.map_values(times), lambda t: F.try_to_timestamp(t)))

@@ -52,3 +52,14 @@ def stable_seed(*parts: Column) -> Column:
 def without_local_paths(text: Column) -> Column:
     """Absolute user paths replaced, so that published text names no machine."""
     return F.regexp_replace(text, r"(/Users/|/home/|[A-Za-z]:\\Users\\)\S*", "[path]")
+
+
+def number_or_null(value: Column, kind: str = "double") -> Column:
+    """The value as a number; null where it is no number (as text may be). NaN counts as no number."""
+    found = value.try_cast(kind)
+    return F.when(~F.isnan(found), found) if kind == "double" else found
+
+
+def number(value: Column, otherwise: float = 0.0) -> Column:
+    """The value as a number; ``otherwise`` where it is none."""
+    return F.coalesce(number_or_null(value), F.lit(otherwise))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pitwise.functions.probability import low_score_factor, poisson_pmf, poisson_pmf_upto
 
+from . import relational
+
 
 def correlation(x: str, y: str) -> Column:
     """Pearson correlation from moments; null where either side does not vary."""
@@ -17,11 +19,37 @@ def correlation(x: str, y: str) -> Column:
     return F.when(spread > 1e-9, (n * sxy - sx * sy) / F.sqrt(spread))
 
 
-def average_rank(value: str, group: list[str]) -> Column:
-    """Rank within the group; equal values share the mean of their ranks."""
-    w = Window.partitionBy(*group)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
-    return F.rank().over(w.orderBy(value)) + (ties - 1) / 2
+def strip_of(value: Column) -> Column:
+    """A whole number that never falls as the value rises: 32 steps to a doubling above a millionth; nulls come first."""
+    x = value.cast("double")
+    return F.coalesce((F.signum(x) * F.floor(F.log2(1 + F.abs(x) * 1e6) * 32)).cast("long"), F.lit(-(1 << 62)))
+
+
+def ranks_below(df: DataFrame, group: list[str], value: str, tie: str | None = None) -> DataFrame:
+    """``df`` with ``_below``: rows of the group that sort before the row's cell, and ``_cell``: rows of that cell.
+
+    A cell is a value, parted by strips of ``tie`` if there is one. Cells are counted with partial
+    sums, counts run within strips of values, and strips are moved up by the counts before them; so
+    no task sorts a group, however many rows it has.
+    """
+    cut = {"_v": F.col(value), "_strip": strip_of(F.col(value)), "_tie": strip_of(F.col(tie)) if tie else F.lit(0).cast("long")}
+    rows = df.withColumns(cut)
+    cells = rows.groupBy(*group, "_strip", "_v", "_tie").agg(F.count(F.lit(1)).alias("_cell"))
+    strips = cells.groupBy(*group, "_strip").agg(F.sum("_cell").alias("_n"))
+    over_strips = Window.partitionBy(*group).orderBy("_strip").rowsBetween(Window.unboundedPreceding, -1)
+    strips = strips.select(*group, "_strip", F.coalesce(F.sum("_n").over(over_strips), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(*group, "_strip").orderBy("_v", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_run", F.coalesce(F.sum("_cell").over(within), F.lit(0))).join(strips, [*group, "_strip"])
+    cells = cells.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_v").alias("_cv"), F.col("_tie").alias("_ct"), (F.col("_start") + F.col("_run")).alias("_below"), "_cell")
+    same = F.col("_v").eqNullSafe(F.col("_cv")) & (F.col("_tie") == F.col("_ct"))
+    for i, g in enumerate(group):
+        same = same & (F.col(g) == F.col(f"_g{i}"))
+    return rows.join(cells, same).drop("_cv", "_ct", "_strip", *[f"_g{i}" for i in range(len(group))])
+
+
+def with_average_rank(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with the rank within the group; equal values share the mean of their ranks. Groups with a null key are left out."""
+    return ranks_below(df, group, value).withColumn(name, F.col("_below") + (F.col("_cell") + 1) / 2).drop("_below", "_cell", "_v", "_tie")
 
 
 def error_metrics(prediction: str, actual: str) -> dict[str, Column]:
@@ -37,9 +65,7 @@ def error_metrics(prediction: str, actual: str) -> dict[str, Column]:
 
 def errors_with_rank_correlation(df: DataFrame, group: list[str], prediction: str, actual: str) -> DataFrame:
     """Error metrics and Spearman correlation of each group; groups with a null key are left out."""
-    for g in group:
-        df = df.filter(F.col(g).isNotNull())
-    ranked = df.withColumns({"_rp": average_rank(prediction, group), "_ra": average_rank(actual, group)})
+    ranked = with_average_rank(with_average_rank(df, group, prediction, "_rp"), group, actual, "_ra")
     return ranked.groupBy(*group).agg(*[c.alias(n) for n, c in error_metrics(prediction, actual).items()], correlation("_rp", "_ra").alias("spearman"))
 
 
@@ -96,18 +122,20 @@ def likeliest_score(home_rate: Column, away_rate: Column, most: int = 8) -> Colu
     return F.struct(best(home).alias("h"), best(away).alias("a"))
 
 
-def calibration(df: DataFrame, group: list[str], prediction: str, actual: str, bin_of: Column) -> DataFrame:
+def calibration(df: DataFrame, group: list[str], prediction: str, actual: str, bin_of: Column | str) -> DataFrame:
     """Rows, mean prediction and mean outcome of each bin; rows without a bin are left out."""
-    binned = df.withColumn("bin", bin_of).filter("bin is not null")
+    binned = df.withColumn("bin", F.col(bin_of) if isinstance(bin_of, str) else bin_of).filter("bin is not null")
     return binned.groupBy(*group, "bin").agg(F.count(F.lit(1)).alias("rows"), F.avg(prediction).alias("predicted"), F.avg(F.col(actual).cast("double")).alias("observed"))
 
 
-def equal_count_bin(value: str, group: list[str], tie: str, bins: int) -> Column:
-    """0-based quantile bin by rank; equal values are told apart by ``tie``."""
-    w = Window.partitionBy(*group)
-    r = F.row_number().over(w.orderBy(value, tie))
-    n = F.count(F.lit(1)).over(w)
-    return F.when(n <= 1, 0).otherwise(F.greatest(F.ceil((r - 1) * bins / (n - 1)) - 1, F.lit(0))).cast("int")
+def with_equal_count_bin(df: DataFrame, group: list[str], value: str, tie: str, bins: int, name: str = "bin") -> DataFrame:
+    """``df`` with the 0-based quantile bin by rank; equal values are told apart by ``tie``. Groups with a null key are left out."""
+    ranked = ranks_below(df, group, value, tie)
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    r = F.col("_below") + F.row_number().over(Window.partitionBy(*group, "_v", "_tie").orderBy(tie))
+    binned = ranked.withColumn("_r", r).join(relational.small(sizes), group)
+    place = F.when(F.col("_n") <= 1, 0).otherwise(F.greatest(F.ceil((F.col("_r") - 1) * bins / (F.col("_n") - 1)) - 1, F.lit(0))).cast("int")
+    return binned.withColumn(name, place).drop("_below", "_cell", "_v", "_tie", "_r", "_n")
 
 
 def edge_bin(value: Column, edges: list[float]) -> Column:
@@ -183,3 +211,23 @@ def sum_draws(df: DataFrame, keys: list[str], draws: str) -> DataFrame:
     """Element-wise sums of the draws of a group, by position; no group is gathered as a list."""
     at = df.select(*keys, F.posexplode(draws).alias("_i", "_x")).groupBy(*keys, "_i").agg(F.sum("_x").alias("_x"))
     return at.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias(draws))
+
+
+def distribution_metrics(actual: str, tails: dict[str, tuple[str, int]], zero: str, central: tuple[str, str]) -> dict[str, Column]:
+    """Brier scores of tails (name -> probability column and threshold), zero rates, coverage and width of a central range."""
+    low, high = central
+    flag = lambda c: c.cast("int").cast("double")
+    made = {"rows": F.count(F.lit(1))}
+    for name, (probability, least) in tails.items():
+        d = F.col(probability) - flag(F.col(actual) >= least)
+        made[name] = F.avg(d * d)
+    inside = F.col(actual).between(F.col(low), F.col(high))
+    return made | {"zero_rate_predicted": F.avg(zero), "zero_rate_actual": F.avg(flag(F.col(actual) == 0)), "coverage": F.avg(flag(inside)), "sharpness": F.avg(F.col(high) - F.col(low))}
+
+
+def component_metrics(df: DataFrame, group: list[str], pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """A row for each group and component: means, absolute error and the Brier score of whether it happens."""
+    parts = F.array(*[F.struct(F.lit(n).alias("component"), F.coalesce(F.col(p).cast("double"), F.lit(0.0)).alias("p"), F.coalesce(F.col(a).cast("double"), F.lit(0.0)).alias("a")) for n, (p, a) in pairs.items()])
+    long = df.select(*group, F.explode(parts).alias("x")).select(*group, "x.*")
+    miss = F.least(F.greatest("p", F.lit(0.0)), F.lit(1.0)) - (F.col("a") > 0).cast("int").cast("double")
+    return long.groupBy(*group, "component").agg(F.count(F.lit(1)).alias("rows"), F.avg("p").alias("mean_prediction"), F.avg("a").alias("mean_actual"), F.avg(F.abs(F.col("p") - F.col("a"))).alias("mae"), F.avg(miss * miss).alias("event_brier"))

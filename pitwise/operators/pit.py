@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import relational
+
 
 def micros(moment: Column) -> Column:
     return F.unix_micros(moment.cast("timestamp"))
@@ -94,7 +96,7 @@ def prior_season(df: DataFrame, key: str, season: str, aggregates: dict[str, Col
     else:
         loaded = df.select(season).distinct()
         following = loaded.withColumn("_next", F.lead(season).over(Window.orderBy(season)))
-        moved = totals.join(F.broadcast(following), season).filter("_next is not null")
+        moved = totals.join(relational.small(following), season).filter("_next is not null")
     return moved.select(key, F.col("_next").alias(season), F.col(season).alias("prior_source_season"), *aggregates)
 
 
@@ -124,7 +126,13 @@ def training_totals(df: DataFrame, fold_table: DataFrame, time: str, cutoff: str
     at_cut = [*keys, "_t", *(["_rs"] if season_before else [])]
     rows = rows.groupBy(*at_cut).agg(*[F.sum(n).alias(n) for n in measures])
     if season_before:
-        sums = rows.join(F.broadcast(cuts.withColumnRenamed("_t", "_c")), (F.col("_t") < F.col("_c")) & (F.col("_rs") < F.col("_s")))
+        # one time line per season, marked by the folds of later seasons; the marks of a fold are then added up
+        lines = rows.withColumnRenamed("_rs", "_line")
+        marks = cuts.join(relational.small(rows.select(*keys, F.col("_rs").alias("_line")).distinct()), F.col("_line") < F.col("_s")).drop("_s")
+        empty = [F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in measures]
+        line = marks.select("fold_id", *keys, "_line", "_t", *empty).unionByName(lines.withColumn("fold_id", F.lit(None).cast("string")).select("fold_id", *keys, "_line", "_t", *measures))
+        before = Window.partitionBy(*keys, "_line").orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
+        sums = line.withColumns({n: F.sum(n).over(before) for n in measures}).filter(F.col("fold_id").isNotNull() & F.coalesce(*[F.col(n) for n in measures]).isNotNull())
         return sums.groupBy("fold_id", *keys).agg(*[F.sum(n).alias(n) for n in measures])
     groups = rows.select(*keys).distinct() if keys else None
     marks = cuts.crossJoin(groups) if groups is not None else cuts  # folds times groups: the result's own size
@@ -145,8 +153,11 @@ def leakage_audit(df: DataFrame, keys: list[str], cutoff: str, lineage: list[str
     bad_names = [c for c in df.columns if any(f in c.lower() for f in forbidden)]
     counts = {f"lineage_not_before_cutoff:{c}": F.count_if(F.col(c) >= F.col(cutoff)) for c in lineage}
     if block and first_block_zero:
-        first = F.min(block).over(Window.partitionBy(*([season] if season else [])))
-        df = df.withColumn("_first", F.col(block) == first)
+        # one row per season, joined back: no window holds a season's rows
+        by = [F.col(season).alias("_season")] if season else []
+        firsts = relational.small(df.groupBy(*by).agg(F.min(block).alias("_block")))
+        joined = df.join(firsts, F.col(season).eqNullSafe(F.col("_season")), "left") if season else df.crossJoin(firsts)
+        df = joined.withColumn("_first", F.col(block) == F.col("_block")).drop("_season", "_block")
         counts["history_in_first_block"] = F.count_if(F.col("_first") & reduce(lambda a, b: a | b, [F.coalesce(F.col(c), F.lit(0)) != 0 for c in first_block_zero]))
     if season and prior_source:
         counts["prior_season_not_before"] = F.count_if(F.col(prior_source) >= F.col(season))

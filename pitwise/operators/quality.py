@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitwise.functions.temporal import season_of
+from pitwise.functions.text import number_or_null
+
 
 def not_null(*columns: str) -> dict[str, Column]:
     return {f"null:{c}": F.col(c).isNull() for c in columns}
@@ -104,3 +107,63 @@ def require_gates(results: dict[str, bool]) -> None:
     failed = sorted(n for n, ok in results.items() if not ok)
     if failed:
         raise ValueError(f"gates failed: {', '.join(failed)}")
+
+
+def side_faults(df: DataFrame) -> DataFrame:
+    """(rule, rows): rows whose team isn't the one on their side of the fixture, or whose kickoff isn't the fixture's."""
+    own = F.when(F.col("was_home"), F.col("home_team_uid")).otherwise(F.col("away_team_uid"))
+    return violations(df, {"team_side": ~F.col("team_uid").eqNullSafe(own), "kickoff": ~F.col("kickoff_time").eqNullSafe(F.col("fixture_kickoff_time"))})
+
+
+def candidate_faults(df: DataFrame, positions: tuple[str, ...], price: str = "price_tenths", points: str = "expected_points") -> DataFrame:
+    """(rule, rows): candidates with a second row, no known position, no price of whole positive tenths, or no number of points."""
+    cost = number_or_null(F.col(price))
+    rules = {
+        "position": ~F.coalesce(F.col("position").isin(*positions), F.lit(False)),
+        "price": cost.isNull() | (cost <= 0) | (cost % 1 != 0),
+        "points": number_or_null(F.col(points)).isNull(),
+    }
+    twice = surplus_rows(df, ["player_uid"]).select(F.lit("duplicate_player").alias("rule"), "rows")
+    return violations(df, rules).unionByName(twice)
+
+
+def artifact_faults(facts: DataFrame, keys: list[str], seasons: list[str], available: str, cutoff: str, lineage: list[str]) -> DataFrame:
+    """(rule, rows): what keeps a reconstruction from being complete.
+
+    Seasons missing or not asked for, keys missing or twice, results without an availability time
+    or available at or before the cutoff, history times at or after the cutoff.
+    """
+    missing_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    rules = {"missing_key": missing_key, "missing_time": F.col(available).isNull() | F.col(cutoff).isNull(), "target_before_cutoff": F.col(available) <= F.col(cutoff), "season_not_asked": ~F.coalesce(F.col("season").isin(*seasons), F.lit(False))}
+    rules |= {f"history_after_cutoff:{c}": F.col(c) >= F.col(cutoff) for c in lineage}
+    asked = facts.sparkSession.createDataFrame([(s,) for s in seasons], "season string")
+    absent = asked.join(facts.select("season").distinct(), "season", "left_anti").agg(F.count(F.lit(1)).alias("rows")).select(F.lit("season_absent").alias("rule"), "rows")
+    twice = surplus_rows(facts, keys).select(F.lit("duplicate_key").alias("rule"), "rows")
+    return violations(facts, rules).unionByName(absent).unionByName(twice)
+
+
+def completed_faults(df: DataFrame, keys: list[str], available: str, cutoff: Column, completed: str | None = None) -> DataFrame:
+    """(rule, rows): completed inputs with keys twice, no time, known only at or after the cutoff, or not completed."""
+    rules = {"missing_time": F.col(available).isNull(), "after_cutoff": F.col(available) >= cutoff}
+    if completed:
+        rules["not_completed"] = ~F.coalesce(F.col(completed), F.lit(False))
+    twice = surplus_rows(df, keys).select(F.lit("duplicate_key").alias("rule"), "rows")
+    return violations(df, rules).unionByName(twice)
+
+
+def rule_differences(found: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """(name, expected, found): rules (name, value) that are missing, new or of another value."""
+    want = found.sparkSession.createDataFrame(sorted(expected.items()), "name string, expected string")
+    both = want.join(found.select("name", F.col("value").cast("string").alias("found")), "name", "full")
+    return both.filter(~F.col("expected").eqNullSafe(F.col("found")))
+
+
+def season_identity(fixtures: DataFrame, season: str, teams: int = 20, events: int = 38, matches: int = 380, kickoff: str = "kickoff_time") -> DataFrame:
+    """One row: the season that the kickoffs tell (seasons begin in June), counts, and whether all is as asked."""
+    start = int(season[:4])
+    sides = F.array_distinct(F.flatten(F.collect_set(F.array("home_team_uid", "away_team_uid"))))
+    row = fixtures.agg(F.min(kickoff).alias("first"), F.max(kickoff).alias("last"), F.size(sides).alias("teams"), F.count_distinct("gameweek").alias("events"), F.count(F.lit(1)).alias("matches"))
+    told = season_of(F.col("first"))
+    window = F.year("first").isin(start, start + 1) & F.year("last").isin(start, start + 1)
+    counts = (F.col("teams") == teams) & (F.col("events") == events) & (F.col("matches") == matches)
+    return row.select(told.alias("inferred_season"), "teams", "events", "matches", (told == season).alias("season_ok"), window.alias("window_ok"), counts.alias("counts_ok"))

@@ -105,3 +105,33 @@ def page(df: DataFrame, order: list[Column], number: int, size: int, total: int
     last = max(1, -(-total // size))
     number = min(max(number, 1), last)
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
+def join_or_fallback(left: DataFrame, right: DataFrame, on: list[str], fallback: DataFrame, fallback_on: list[str]) -> DataFrame:
+    """Rows of ``left`` with what ``right`` has for them; rows without a match take what ``fallback`` has.
+
+    ``right`` and ``fallback`` must have the same columns besides their keys.
+    """
+    values = [c for c in right.columns if c not in on]
+    found = left.join(right, on).select(*left.columns, *values, F.lit(False).alias("is_fallback"))
+    rest = left.join(right.select(*on).distinct(), on, "left_anti").join(fallback, fallback_on)
+    return found.unionByName(rest.select(*left.columns, *values, F.lit(True).alias("is_fallback")))
+
+
+def bridged(rows: DataFrame, bridge: DataFrame, on: list[str], uid: str, slug: Column) -> DataFrame:
+    """``rows`` with the uid that the bridge has for their key; where it has none, one made from ``slug``."""
+    return rows.join(bridge.select(*on, F.col(uid).alias("_uid")), on, "left").withColumn(uid, F.coalesce("_uid", slug)).drop("_uid")
+
+
+def blank_rows(universe: DataFrame, present: DataFrame, keys: list[str], variants: list[str], zeros: dict[str, float]) -> DataFrame:
+    """A row of fixed values for each variant and each key of ``universe`` that ``present`` lacks."""
+    missing = universe.join(present.select(*keys).distinct(), keys, "left_anti")
+    each = missing.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in variants])))
+    return each.withColumns({n: F.lit(v) for n, v in zeros.items()})
+
+
+def still_the_same(saved: DataFrame, current: DataFrame, key: list[str], identity: list[str]) -> DataFrame:
+    """Saved rows with ``valid``: the key is still there and stands for the same identity."""
+    now = current.select(*key, F.struct(*identity).alias("_now"))
+    same = F.col("_now").isNotNull() & F.struct(*identity).eqNullSafe(F.col("_now"))
+    return saved.join(now, key, "left").withColumn("valid", same).drop("_now")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import cache
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pandas as pd
@@ -46,22 +46,41 @@ def prune(df: DataFrame, k: int) -> DataFrame:
     return relational.pruned_union(df, "position", [[F.desc("expected_points")], [value.desc()], [F.col("price_tenths").asc()], [F.desc("p_appearance")]], k, "player_uid")
 
 
-def dominated(block: list[str], rules: SquadRules = RULES) -> Column:
-    """Enough cheaper-or-equal and better-or-equal rivals of the same club and position make a candidate needless."""
+def undominated(pools: DataFrame, block: list[str], rules: SquadRules = RULES) -> DataFrame:
+    """``pools`` without candidates that enough cheaper-or-equal and better-or-equal rivals of their club and position make needless.
+
+    Enough rivals there are if the n-th best of those before, by price, is no worse. The n-th
+    best runs along as a maximum: what a row adds to it is the lesser of its own points and the
+    best so far one place up. So no list of rivals is held.
+    """
     w = Window.partitionBy(*block, "position", "club").orderBy(F.col("price_tenths"), F.desc("expected_points"), "player_uid").rowsBetween(Window.unboundedPreceding, -1)
-    rivals = F.size(F.filter(F.collect_list("expected_points").over(w), lambda e: e >= F.col("expected_points")))
+    df, own = pools, F.col("expected_points")
+    for n in range(1, rules.per_club + 1):
+        df = df.withColumn(f"_best{n}", F.max(own).over(w))
+        df = df.withColumn(f"_own{n}", F.when(F.col(f"_best{n}").isNotNull(), F.least(own, F.col(f"_best{n}"))))
+        own = F.col(f"_own{n}")
     enough = None
     for p, q in zip(POSITIONS, rules.quota, strict=True):
-        test = rivals >= min(rules.per_club, q)
+        test = F.col(f"_best{min(rules.per_club, q)}") >= F.col("expected_points")
         enough = F.when(F.col("position") == p, test) if enough is None else enough.when(F.col("position") == p, test)
-    return F.coalesce(enough, F.lit(False))
+    kept = df.filter(~F.coalesce(enough, F.lit(False)))
+    return kept.drop(*[f"_{k}{n}" for k in ("best", "own") for n in range(1, rules.per_club + 1)])
 
 
-def finder(df: DataFrame, budget: Column, k: int = 5) -> DataFrame:
-    """The best value within a budget: points, then points per price, price, name and id."""
+def finder(df: DataFrame, budget: Column, k: int = 5, baseline: Column | None = None) -> DataFrame:
+    """The best value within a budget: points, then points per price, appearance, price, name and id; ``delta`` over a baseline."""
     per = F.col("expected_points") / (F.col("price_tenths") / 10.0)
-    order = [F.desc("expected_points"), F.desc("points_per_million"), F.asc("price_tenths"), F.asc("player_uid")]
-    return df.filter(F.col("price_tenths") <= budget).withColumn("points_per_million", per).orderBy(*order).limit(k)
+    keys = [F.desc("expected_points"), F.desc("points_per_million"), F.desc("p_appearance"), F.asc("price_tenths"), F.asc("player_name"), F.asc("player_uid")]
+    found = df.filter(F.col("price_tenths") <= budget).withColumn("points_per_million", per)
+    if baseline is not None:
+        found = found.withColumn("delta", F.col("expected_points") - baseline)
+    return found.orderBy(*keys).limit(k)
+
+
+def sorted_projection(df: DataFrame, ascending: bool = False) -> DataFrame:
+    """By expected points, either way; ids break ties."""
+    points = F.col("expected_points")
+    return df.orderBy(points.asc() if ascending else points.desc(), "player_uid")
 
 
 # ---------------------------------------------------------------- line-ups
@@ -154,6 +173,67 @@ def expected_realised(squad: pd.DataFrame, choice: dict, rules: SquadRules = RUL
     return parts
 
 
+def slot_values(squad: pd.DataFrame, choice: dict, rules: SquadRules = RULES) -> pd.DataFrame:
+    """(player_uid, if_plays, if_not, per_point) of each place of a line-up.
+
+    The expected realised points are linear in each player: with chance p and expected points e in
+    the place, the total is p * if_plays + (1 - p) * if_not + e * per_point, whoever holds it, as
+    long as the position is the same. So one pass over the states values all replacements.
+    """
+    rows = squad.set_index("player_uid").loc[[*choice["lineup"], *choice["bench"]]]
+    position = rows.position.map(POSITIONS.index).to_numpy()
+    p, e = rows.p_appearance.clip(0, 1).to_numpy(float), rows.expected_points.to_numpy(float)
+    given = np.where(p > 0, e / np.where(p > 0, p, 1), 0.0)
+    plays, s = _states(len(rows)), len(choice["lineup"])
+    used, _ = substitutions(position[:s], position[s:], plays, rules)
+    counts = np.concatenate([plays[:, :s], used], 1).astype(float)
+    captain, deputy = rows.index.get_loc(choice["captain"]), rows.index.get_loc(choice["deputy"])
+    counts[:, captain] += plays[:, captain]
+    counts[:, deputy] += ~plays[:, captain] & plays[:, deputy]
+    total, chance = counts @ given, np.where(plays, p, 1 - p)
+    out = []
+    for i, uid in enumerate(rows.index):
+        rest = np.delete(chance, i, 1).prod(1)
+        others, on = total - counts[:, i] * given[i], plays[:, i]
+        out.append((uid, float(rest[on] @ others[on]), float(rest[~on] @ others[~on]), float(rest[on] @ counts[on, i])))
+    return pd.DataFrame(out, columns=["player_uid", "if_plays", "if_not", "per_point"])
+
+
+def best_realised_lineup(squad: pd.DataFrame, rules: SquadRules = RULES, shortlist: int = 8) -> dict:
+    """The line-up with the most expected realised points among a shortlist, then over all orders of its bench.
+
+    The shortlist holds the legal elevens of highest worth by points, best captain and deputy
+    and discounted bench; each is scored exactly. A long enough shortlist holds all elevens.
+    """
+    squad = squad.sort_values("player_uid").reset_index(drop=True)
+    position = squad.position.map(POSITIONS.index).to_numpy()
+    e, p, ids = squad.expected_points.to_numpy(float), squad.p_appearance.clip(0, 1).to_numpy(float), squad.player_uid.to_numpy()
+    picks = _elevens(len(squad), rules.starters)
+    counts = _counts(position, picks)
+    picks = picks[((counts >= rules.least) & (counts <= rules.most)).all(1)]
+    if not len(picks):
+        raise ValueError("no legal eleven")
+    pair = e[:, None] + (1 - p)[:, None] * e[None, :]
+    np.fill_diagonal(pair, -np.inf)
+    worth = e[picks].sum(1) + np.array([pair[np.ix_(k, k)].max() for k in picks]) + 0.1 * (e.sum() - e[picks].sum(1))
+
+    def scored(pick: np.ndarray, order: tuple | None) -> tuple[float, dict]:
+        c, d = np.unravel_index(pair[np.ix_(pick, pick)].argmax(), (len(pick), len(pick)))
+        off = [j for j in range(len(squad)) if j not in set(pick.tolist())]
+        keepers, field = [j for j in off if position[j] == 0], sorted((j for j in off if position[j] != 0), key=lambda j: (-e[j], j))
+        choice = {"lineup": ids[pick].tolist(), "bench": ids[[*keepers, *(order or field)]].tolist(), "captain": ids[pick[c]], "deputy": ids[pick[d]], "field": field}
+        return expected_realised(squad, choice, rules)["total"], choice
+
+    first = [(*scored(picks[i], None), i) for i in np.argsort(-worth, kind="stable")[:shortlist]]
+    value, choice, i = max(first, key=lambda f: (round(f[0], 12), -f[2]))
+    for order in permutations(choice["field"]):
+        other, made = scored(picks[i], order)
+        if other > value + 1e-12:
+            value, choice = other, made
+    formation = "-".join(str(int((position[picks[i]] == k).sum())) for k in (1, 2, 3))
+    return {**{k: v for k, v in choice.items() if k != "field"}, "objective": value, "formation": formation}
+
+
 def realised(squad: pd.DataFrame, choice: dict, rules: SquadRules = RULES) -> dict:
     """Points that a line-up scored, after substitutions and the captain's or deputy's double."""
     rows = squad.set_index("player_uid").loc[[*choice["lineup"], *choice["bench"]]]
@@ -252,7 +332,9 @@ def optimal_squad(pool: pd.DataFrame, rules: SquadRules = RULES, node_limit: int
     """Exact best squad: budget tables without the club rule, and branching where a club has too many.
 
     Best-first: a node forbids some candidates; its relaxed value bounds all below it. The first
-    node that keeps the club rule is optimal. Past ``node_limit`` the status says so.
+    node that keeps the club rule is optimal. Past ``node_limit`` the best node is mended by
+    forbidding the weakest of a crowded club until the rule holds: status ``feasible``, and
+    ``bound`` tells how much better an optimum could be at most.
     """
     import heapq
 
@@ -269,6 +351,10 @@ def optimal_squad(pool: pd.DataFrame, rules: SquadRules = RULES, node_limit: int
             rows = kept.index.to_numpy()
             heapq.heappush(heap, (-value, sorted(banned), banned, rows[squad].tolist(), rows[eleven].tolist(), int(rows[armband])))
 
+    def answer(status: str, value: float, bound: float, squad: list, eleven: list, armband: int) -> dict:
+        ids = pool.player_uid
+        return {"status": status, "objective": value, "bound": bound, "squad": sorted(ids.iloc[squad]), "lineup": sorted(ids.iloc[eleven]), "captain": ids.iloc[armband], "cost": int(pool.price_tenths.iloc[squad].sum()), "nodes": nodes}
+
     push(frozenset())
     while heap and nodes < node_limit:
         value, _, banned, squad, eleven, armband = heapq.heappop(heap)
@@ -276,14 +362,30 @@ def optimal_squad(pool: pd.DataFrame, rules: SquadRules = RULES, node_limit: int
         clubs = pool.club.iloc[squad].value_counts()
         crowded = clubs[clubs > rules.per_club]
         if crowded.empty:
-            ids = pool.player_uid
-            return {"status": "optimal", "objective": -value, "squad": sorted(ids.iloc[squad]), "lineup": sorted(ids.iloc[eleven]), "captain": ids.iloc[armband], "cost": int(pool.price_tenths.iloc[squad].sum()), "nodes": nodes}
+            return answer("optimal", -value, -value, squad, eleven, armband)
         for row in [r for r in squad if pool.club.iloc[r] == crowded.index[0]]:
             push(banned | {row})
-    return {"status": "infeasible" if not heap else "bound_only", "objective": -heap[0][0] if heap else None, "squad": [], "lineup": [], "captain": None, "cost": 0, "nodes": nodes}
+    if not heap:
+        return {"status": "infeasible", "objective": None, "bound": None, "squad": [], "lineup": [], "captain": None, "cost": 0, "nodes": nodes}
+    bound, _, banned, squad, eleven, armband = heap[0]
+    value = bound
+    while True:
+        clubs = pool.club.iloc[squad].value_counts()
+        crowded = clubs[clubs > rules.per_club]
+        if crowded.empty:
+            return answer("feasible", -value, -bound, squad, eleven, armband)
+        heap, of = [], [r for r in squad if pool.club.iloc[r] == crowded.index[0]]
+        for row in sorted(of, key=lambda r: (pool.expected_points.iloc[r], r)):
+            seen.clear()
+            push(banned | {row})
+            if heap:
+                break
+        if not heap:
+            return {"status": "bound_only", "objective": None, "bound": -bound, "squad": [], "lineup": [], "captain": None, "cost": 0, "nodes": nodes}
+        value, _, banned, squad, eleven, armband = heapq.heappop(heap)
 
 
-SQUAD_SCHEMA = "status string, objective double, squad string, lineup string, captain long, bench string, formation string, cost long, expected_total double, p_unreplaced double"
+SQUAD_SCHEMA = "status string, objective double, bound double, squad string, lineup string, captain long, bench string, formation string, cost long, expected_total double, p_unreplaced double"
 
 
 def decide(pools: DataFrame, block: list[str], rules: SquadRules = RULES) -> DataFrame:
@@ -292,12 +394,12 @@ def decide(pools: DataFrame, block: list[str], rules: SquadRules = RULES) -> Dat
     Pools are a block's candidates after safe pruning: of a club and position only those not
     dominated by enough rivals.
     """
-    kept = pools.withColumn("_d", dominated(block, rules)).filter(~F.col("_d")).drop("_d")
+    kept = undominated(pools, block, rules)
     kinds = {f.name: f.dataType.simpleString() for f in pools.schema if f.name in block}
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         found = optimal_squad(rows, rules)
-        out = dict(zip(block, key, strict=True)) | {"status": found["status"], "objective": found["objective"], "cost": found["cost"]}
+        out = dict(zip(block, key, strict=True)) | {"status": found["status"], "objective": found["objective"], "bound": found["bound"], "cost": found["cost"]}
         if found["squad"]:
             squad = rows[rows.player_uid.isin(found["squad"])]
             choice = best_lineup(squad, rules)
@@ -366,3 +468,120 @@ def audit(choices: DataFrame, rules: SquadRules = RULES) -> DataFrame:
     clubs = choices.groupBy(*block, "club").count().groupBy(*block).agg(F.max("count").alias("most_of_a_club"))
     sums = choices.groupBy(*block).agg(quota_ok.alias("quota_ok"), F.sum("price_tenths").alias("cost"), F.count(F.lit(1)).alias("players"))
     return sums.join(clubs, block).withColumns({"budget_ok": F.col("cost") <= rules.budget, "clubs_ok": F.col("most_of_a_club") <= rules.per_club})
+
+
+_MEMBER = "player_uid bigint, position string, club string, price_tenths bigint, expected_points double, p_appearance double"
+_SLOT = f"{_MEMBER}, if_plays double, if_not double, per_point double"
+
+
+def local_search(pools: DataFrame, block: list[str], rounds: int = 3, rules: SquadRules = RULES, seeds: DataFrame | None = None) -> DataFrame:
+    """(block, squad, expected_total, moves): the exact squad of each block, bettered by single swaps scored by expected realised points.
+
+    Every legal swap with the block's whole pool is scored, as a join of the squad's places with
+    the candidates of their position and an expression over ``slot_values``; Python sees a squad of
+    fifteen at a time. The best swap of a round is taken if it gains; the line-up is then chosen
+    anew, by points within the rounds and by expected realised points at the end.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in pools.schema if f.name in block}
+    keys = ", ".join(f"{b} {kinds[b]}" for b in block)
+    members = [c.split()[0] for c in _MEMBER.split(", ")]
+
+    def seeded(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = optimal_squad(rows, rules)
+        squad = rows[rows.player_uid.isin(found["squad"])]
+        return pd.DataFrame([{**dict(zip(block, key, strict=True)), "squad": squad[members].to_dict("records"), "moves": 0}] if len(squad) else [], columns=[*block, "squad", "moves"])
+
+    def valued(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                squad = pd.DataFrame(list(row["squad"]))
+                slots = squad.merge(slot_values(squad, best_lineup(squad, rules), rules), on="player_uid")
+                one = slots.iloc[0]
+                chance = min(max(one.p_appearance, 0.0), 1.0)
+                total = chance * one.if_plays + (1 - chance) * one.if_not + (one.expected_points if chance > 0 else 0.0) * one.per_point
+                out.append({**{b: row[b] for b in block}, "slots": slots.to_dict("records"), "total": total, "moves": row["moves"]})
+            yield pd.DataFrame(out, columns=[*block, "slots", "total", "moves"])
+
+    def chosen(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                squad = pd.DataFrame(list(row["squad"]))
+                nominal = expected_realised(squad, best_lineup(squad, rules), rules)["total"]
+                out.append({**{b: row[b] for b in block}, "squad": ",".join(map(str, sorted(squad.player_uid))), "expected_total": max(nominal, best_realised_lineup(squad, rules)["objective"]), "moves": row["moves"]})
+            yield pd.DataFrame(out, columns=[*block, "squad", "expected_total", "moves"])
+
+    state = undominated(pools, block, rules).groupBy(*block).applyInPandas(seeded, f"{keys}, squad array<struct<{_as_fields(_MEMBER)}>>, moves bigint") if seeds is None else seeds
+    shape = f"{keys}, slots array<struct<{_as_fields(_SLOT)}>>, total double, moves bigint"
+    for _ in range(rounds):
+        places = state.mapInPandas(valued, shape).withColumn("out", F.explode("slots"))
+        rivals = pools.select(*block, F.col("position").alias("_position"), F.struct(*members).alias("into"))
+        same = F.col("out.position") == F.col("_position")
+        for b in block:
+            same = same & (F.col(f"s.{b}") == F.col(f"r.{b}"))
+        pairs = places.alias("s").join(rivals.alias("r"), same, "left").select(*[f"s.{b}" for b in block], "slots", "total", "moves", "out", "into")
+        spent = F.aggregate("slots", F.lit(0).cast("long"), lambda a, x: a + x["price_tenths"])
+        mates = F.size(F.filter("slots", lambda x: (x["club"] == F.col("into.club")) & (x["player_uid"] != F.col("out.player_uid"))))
+        held = F.exists("slots", lambda x: x["player_uid"] == F.col("into.player_uid"))
+        legal = ~held & (mates < rules.per_club) & (spent - F.col("out.price_tenths") + F.col("into.price_tenths") <= rules.budget)
+        p = F.least(F.greatest(F.col("into.p_appearance"), F.lit(0.0)), F.lit(1.0))
+        worth = p * F.col("out.if_plays") + (1 - p) * F.col("out.if_not") + F.when(p > 0, F.col("into.expected_points")).otherwise(0.0) * F.col("out.per_point")
+        gain = F.when(F.coalesce(legal, F.lit(False)) & (worth > F.col("total") + 1e-9), F.struct(worth.alias("worth"), (-F.col("out.player_uid")).alias("o"), (-F.col("into.player_uid")).alias("i"), "out", "into"))
+        best = pairs.groupBy(*block).agg(F.max(gain).alias("best"), F.first("slots").alias("slots"), F.first("moves").alias("moves"))
+        stays = F.transform("slots", lambda x: F.struct(*[x[m].alias(m) for m in members]))
+        swapped = F.transform(stays, lambda x: F.when(x["player_uid"] == F.col("best.out.player_uid"), F.col("best.into")).otherwise(x))
+        state = best.select(*block, F.when(F.col("best").isNull(), stays).otherwise(swapped).alias("squad"), (F.col("moves") + F.col("best").isNotNull().cast("long")).alias("moves"))
+    return state.mapInPandas(chosen, f"{keys}, squad string, expected_total double, moves bigint")
+
+
+def _as_fields(ddl: str) -> str:
+    return ", ".join(c.replace(" ", ": ", 1) for c in ddl.split(", "))
+
+
+def combine_transfers(options: pd.DataFrame, clubs: dict[str, int], bank: int, most: int, width: int = 120, rules: SquadRules = RULES) -> list[dict]:
+    """Sets of up to ``most`` transfers by gain, kept legal together: a beam over the outgoing players.
+
+    ``options`` has (out_uid, out_price, out_club, in_uid, in_price, in_club, gain). A state of the
+    beam is what was decided for the outgoing players so far; the ``width`` states of highest gain
+    go on. Equal gains are told apart by the ids.
+    """
+    states = [(0.0, bank, (), tuple(sorted(clubs.items())))]
+    for _, group in options.sort_values(["out_uid", "in_uid"]).groupby("out_uid", sort=True):
+        grown = list(states)
+        for gain, money, moves, held in states:
+            if len(moves) >= most:
+                continue
+            for o in group.itertuples(index=False):
+                counts = dict(held)
+                counts[o.out_club] = counts.get(o.out_club, 0) - 1
+                counts[o.in_club] = counts.get(o.in_club, 0) + 1
+                if o.in_uid not in {m[1] for m in moves}:
+                    grown.append((gain + o.gain, money + int(o.out_price) - int(o.in_price), (*moves, (o.out_uid, o.in_uid)), tuple(sorted(counts.items()))))
+        states = sorted(grown, key=lambda t: (-round(t[0], 9), t[2]))[:width]
+    legal = [t for t in states if t[1] >= 0 and all(n <= rules.per_club for _, n in t[3])]
+    return [{"gain": g, "bank": m, "moves": list(v)} for g, m, v, _ in legal]
+
+
+def transfer_sets(squad: DataFrame, pool: DataFrame, block: list[str], bank: int, most: int = 3, per_player: int = 6, width: int = 120, keep: int = 5, rules: SquadRules = RULES) -> DataFrame:
+    """(block, rank, gain, moves): the best sets of transfers of each block.
+
+    Spark finds each owned player's ``per_player`` best replacements, so a block's beam gets at
+    most squad times ``per_player`` rows whatever the pool's size.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in pool.schema if f.name in block}
+    options = swap_options(squad, pool, block, F.lit(bank), per_player)
+    club = lambda df, uid, name: df.select(*block, F.col("player_uid").alias(uid), F.col("club").alias(name))
+    options = options.join(club(pool, "in_uid", "in_club"), [*block, "in_uid"]).join(club(squad, "out_uid", "out_club"), [*block, "out_uid"])
+    options = options.select(*block, "out_uid", "out_price", "out_club", "in_uid", F.col("price_tenths").alias("in_price"), "in_club", "gain")
+    owned = squad.select(*block, F.col("club").alias("own_club")).groupBy(*block).agg(F.collect_list("own_club").alias("own_clubs"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        clubs = rows.own_clubs.iloc[0]
+        counts = {c: list(clubs).count(c) for c in set(clubs)}
+        found = combine_transfers(rows, counts, bank, most, width, rules)[:keep]
+        made = [{**dict(zip(block, key, strict=True)), "rank": i + 1, "gain": f["gain"], "moves": "; ".join(f"{o}>{n}" for o, n in f["moves"])} for i, f in enumerate(found)]
+        return pd.DataFrame(made, columns=[*block, "rank", "gain", "moves"])
+
+    keys = ", ".join(f"{b} {kinds[b]}" for b in block)
+    return options.join(owned, block).groupBy(*block).applyInPandas(run, f"{keys}, rank int, gain double, moves string")

@@ -56,8 +56,8 @@ def spearman_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SCORED_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY prediction, fixture_key) AS k, count(*) OVER (PARTITION BY model) AS n FROM scored), b AS (SELECT *, CAST(CASE WHEN n <= 1 THEN 0 ELSE greatest(ceil((k - 1) * 10 / (n - 1)) - 1, 0) END AS INTEGER) AS bin FROM r) SELECT model, bin, CAST(count(*) AS BIGINT) AS rows, avg(prediction) AS predicted, avg(total_points) AS observed FROM b GROUP BY 1, 2", ["predicted", "observed"])
 def calibration_equal_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bins = metrics.equal_count_bin("prediction", ["model"], "fixture_key", 10)
-    return metrics.calibration(scored(spark, sf_dir), ["model"], "prediction", "total_points", bins)
+    binned = metrics.with_equal_count_bin(scored(spark, sf_dir), ["model"], "prediction", "fixture_key", 10)
+    return metrics.calibration(binned, ["model"], "prediction", "total_points", "bin")
 
 
 _EDGES = [0.0, 1.0, 2.0, 3.0, 4.0, 5.0]

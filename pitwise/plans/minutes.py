@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitwise.functions import text
 from pitwise.functions.probability import clip
+from pitwise.operators import relational
 
 # States in order, minutes that a state stands for, weights.
 STATES = ("DNP", "SUB_UNDER_60", "SUB_60_PLUS", "START_UNDER_60", "START_60_TO_89", "START_90")
@@ -99,7 +101,7 @@ def role_priors(train: DataFrame) -> DataFrame:
 
 
 def _c(name: str, df: DataFrame) -> Column:
-    return F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if name in df.columns else F.lit(0.0)
+    return text.number(F.col(name)) if name in df.columns else F.lit(0.0)
 
 
 def hierarchical(train: DataFrame, test: DataFrame) -> DataFrame:

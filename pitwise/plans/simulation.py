@@ -32,16 +32,50 @@ def choose(weights: np.ndarray, open_: np.ndarray, u: np.ndarray) -> np.ndarray:
     return np.minimum((edges <= u * edges[-1]).sum(0), len(weights) - 1)
 
 
-def active_weights(shares: np.ndarray, active: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Weights among active players that reproduce the shares over all draws (iterative proportional fitting)."""
-    active = active[:, active.any(0)].astype(float)
-    if not active.size:
+def active_weights(shares: np.ndarray, active: np.ndarray, slack: float = 1e-6, ridge: float = 1e-5) -> np.ndarray:
+    """Weights with which draws among the active players give each player its share, on average over all draws.
+
+    Draws where nobody is active don't count. With logarithms of weights x the wanted shares are
+    where share @ x - mean(log(sum of exp(x) of the active)) is largest; that is concave, so Newton
+    steps with halving climb until a step gains less than ``slack``. The ridge keeps weights finite
+    where a share is out of reach (a player is active less often than its share asks for).
+    """
+    some = active.any(0)
+    used = np.flatnonzero(active.any(1) & (shares > 0))
+    if not some.any() or not len(used):
         return np.ones(len(shares))
-    w = np.maximum(np.where(active.mean(1) > 0, shares / np.maximum(active.mean(1), 1e-12), 1.0), 1e-12)
-    for _ in range(rounds):
-        got = (active * w[:, None] / (w @ active)).mean(1)
-        w = np.clip(np.where(got > 0, w * shares / np.maximum(got, 1e-300), w), 1e-12, 1e12)
-    return w
+    who = active[np.ix_(used, some)].astype(float)
+    who = who[:, who.any(0)]
+    n = who.shape[1]
+    target = shares[used] / shares[used].sum()
+
+    def climb(x: np.ndarray) -> tuple[float, np.ndarray]:
+        part = np.exp(np.maximum(x - x.max(), -200.0))[:, None] * who
+        total = part.sum(0)
+        part /= total
+        return target @ (x - x.max()) - np.log(total).mean() - ridge / 2 * (x @ x), part
+
+    x = np.log(target)
+    value, p = climb(x)
+    while True:
+        mean = p.mean(1)
+        slope = target - mean - ridge * x
+        step = np.linalg.solve(np.diag(mean + ridge) - p @ p.T / n, slope)
+        if slope @ step / 2 < slack:
+            break
+        step /= max(1.0, np.abs(step).max() / 3)
+        size, found = 1.0, None
+        while found is None and size > 1e-3:
+            new, q = climb(x + size * step)
+            if new > value:
+                found = x + size * step, new, q
+            size /= 2
+        if found is None:
+            break
+        x, value, p = found
+    out = np.zeros(len(shares))
+    out[used] = np.exp(np.maximum(x - x.max(), -200.0))
+    return out
 
 
 def fixture_draws(rows: pd.DataFrame, draws: int, seed: int) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
