@@ -103,6 +103,38 @@ def gates(df: DataFrame, checks: dict[str, Column]) -> dict[str, bool]:
     return row.asDict()
 
 
+def gate_rows(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """(gate, passed) of named gates over one aggregate row; a gate that can't be told is not passed."""
+    wide = df.agg(*[F.coalesce(c, F.lit(False)).alias(f"c{i}") for i, c in enumerate(checks.values())])
+    pairs = F.array(*[F.struct(F.lit(n).alias("gate"), F.col(f"c{i}").alias("passed")) for i, n in enumerate(checks)])
+    return wide.select(F.explode(pairs).alias("p")).select("p.*")
+
+
+def missing_by(df: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
+    """Rows of each group and how many lack each of the columns."""
+    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"{c}_missing") for c in columns])
+
+
+def minutes_faults(df: DataFrame, keys: list[str], cutoff: str = "information_cutoff", source: str = "player_source_time") -> DataFrame:
+    """(rule, rows) that break what a frame of minutes has to hold."""
+    m, s = F.col("minutes"), F.col("starts")
+    rules = {
+        "minutes": F.coalesce(~m.between(0, 120), F.lit(True)),
+        "start_label": ~s.isin(0, 1),
+        "start_without_minutes": (s == 1) & (m <= 0),
+        "history_after_cutoff": F.col(source) >= F.col(cutoff),
+    }
+    return violations(df, rules).unionByName(surplus_rows(df, keys).select(F.lit("duplicate_key").alias("rule"), "rows"))
+
+
+def fixture_faults(df: DataFrame, keys: list[str], times: list[str], goals: list[str]) -> DataFrame:
+    """(rule, rows) that break what a table of team fixtures has to hold."""
+    rules = {"same_team": F.col("home_team_uid") == F.col("away_team_uid")}
+    rules |= {f"missing:{t}": F.col(t).isNull() for t in times}
+    rules |= {f"count:{g}": F.coalesce((F.col(g) < 0) | (F.col(g) % 1 != 0), F.lit(True)) for g in goals}
+    return violations(df, rules).unionByName(surplus_rows(df, keys).select(F.lit("duplicate_key").alias("rule"), "rows"))
+
+
 def require_gates(results: dict[str, bool]) -> None:
     failed = sorted(n for n, ok in results.items() if not ok)
     if failed:

@@ -20,11 +20,11 @@ def player_history(panel: DataFrame) -> DataFrame:
     return df.select("season", "player_uid", "fixture_key", F.col("available_time").alias("player_source_time"), F.col("minutes").alias("prev_fixture_minutes"), *kept)
 
 
-def player_features(panel: DataFrame) -> DataFrame:
-    """The panel with each row's history as of its cutoff and the player's season before."""
+def player_features(panel: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """``targets`` (the panel itself, if none) with each row's history as of its cutoff and the player's season before."""
     history = player_history(panel)
     values = [c for c in history.columns if c.startswith(("prev", "season_to_date"))]
-    out = pit.as_of(panel, history, ["season", "player_uid"], "information_cutoff", "player_source_time", "fixture_key", values)
+    out = pit.as_of(panel if targets is None else targets, history, ["season", "player_uid"], "information_cutoff", "player_source_time", "fixture_key", values)
     out = out.na.fill(0, [v for v in values if v != "prev_fixture_minutes"])
     prior = pit.prior_season(panel, "player_uid", "season", {"prior_season_minutes": F.sum("minutes"), "prior_season_appearances": F.count_if(F.col("minutes") > 0)})
     return out.join(prior, ["player_uid", "season"], "left")

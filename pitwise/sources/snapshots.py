@@ -18,10 +18,6 @@ from pyspark.sql import functions as F
 
 from .tables import endpoint_slug
 
-#: States of an operational run.
-STATES = ("WAITING_FOR_LAUNCH", "LAUNCH_DETECTED", "VALIDATING", "REFRESHING", "FORECASTING", "PUBLISHED", "NO_CHANGE", "FAILED", "LOCKED")
-
-
 def snapshot_name(endpoint: str, taken: datetime) -> str:
     return f"{endpoint_slug(endpoint)}__{taken.astimezone(UTC):%Y%m%dT%H%M%SZ}.json"
 
@@ -87,6 +83,28 @@ def table_fingerprint(df: DataFrame) -> str:
     return hashlib.sha256(repr((sorted(df.dtypes), tuple(map(str, row)))).encode()).hexdigest()
 
 
+def resolve_revision(url: str, read: Callable[[str], bytes] = fetch) -> str:
+    """The commit that a branch stands at, as a hosting service's branch document tells it."""
+    try:
+        revision = json.loads(read(url))["commit"]["sha"]
+    except (KeyError, TypeError, ValueError) as wrong:
+        raise ValueError(f"no revision in {url}") from wrong
+    if not isinstance(revision, str) or not revision:
+        raise ValueError(f"no revision in {url}")
+    return revision
+
+
+def pinned_url(base: str, revision: str, season: str, path: str) -> str:
+    """Where a season's file stands at one revision."""
+    return "/".join([base.rstrip("/"), revision, "data", season, path.lstrip("/")])
+
+
+def take_pinned(root: str | Path, base: str, revision: str, season: str, path: str, read: Callable[[str], bytes] = fetch) -> Path:
+    """A snapshot of a season's file at one revision; the revision goes into the metadata."""
+    source = pinned_url(base, revision, season, path)
+    return write_snapshot(root, season, path, read(source), source, revision=revision)
+
+
 @contextlib.contextmanager
 def single_writer(path: str | Path) -> Iterator[None]:
     """A lock file that only one writer can create; gone when the writer is done."""
