@@ -109,40 +109,56 @@ def hierarchical(train: DataFrame, test: DataFrame) -> DataFrame:
 
     Fixed values throughout are the model's published weights.
     """
-    df = test.join(F.broadcast(role_priors(train)), "position", "left")
-    c = lambda n: _c(n, df)
-    apps, minutes, starts = c("prior_season_appearances"), c("prior_season_minutes"), c("prior_season_starts")
-    starts = F.when((starts <= 0) & (minutes > 0), F.least(apps, F.greatest(minutes - apps * 18.0, F.lit(0.0)) / 72.0)).otherwise(starts)
-    fixtures = F.when(c("history_fixture_count") > 0, c("history_fixture_count")).otherwise(F.greatest(apps, minutes / 90.0, c("gameweek") - 1))
-    rate_a, rate_s = F.coalesce("appearance_rate", F.lit(0.25)), F.coalesce("start_rate", F.lit(0.18))
-    whole = fixtures + SHRINK_MATCHES
-    long_a = clip((apps + c("season_appearance_before") + rate_a * SHRINK_MATCHES) / whole, 0, 0.995)
-    long_s = clip((starts + c("season_starts_before") + rate_s * SHRINK_MATCHES) / whole, 0, 0.995)
-    lag5 = F.when((c("lag5_appearance_mean") <= 0) & (c("lag3_appearance_mean") <= 0) & (apps > 0), apps / F.greatest(c("history_fixture_count"), F.lit(38.0))).otherwise(c("lag5_appearance_mean"))
-    recent_a = clip(0.65 * lag5 + 0.35 * c("lag3_appearance_mean"), 0, 1)
-    recent_s = clip(0.65 * c("lag5_starts_mean") + 0.35 * c("lag3_starts_mean"), 0, 1)
-    settled = (minutes >= 1200) | (apps >= 20) | (fixtures >= 30)
-    w = F.when(settled, 0.72).otherwise(0.55)
-    floor = lambda p, long: F.when(settled, F.greatest(p, 0.62 * long)).otherwise(p)
-    warm_a, warm_s = floor(w * long_a + (1 - w) * recent_a, long_a), floor(w * long_s + (1 - w) * recent_s, long_s)
-    price = c("price_tenths")
-    boost = 0.72 + 0.32 * F.when(price > 0, clip((price - 40.0) / 80.0, 0, 1)).otherwise(0.25)
-    boost = boost * F.when(F.coalesce(F.col("transferred"), F.lit(False)), 1.05).otherwise(1.0) if "transferred" in df.columns else boost
+    joined = test.join(F.broadcast(role_priors(train)), "position", "left")
+    c = lambda n: _c(n, joined)
+    v = lambda n: F.col(f"_{n}")
+    made: list[str] = []
+
+    def step(df: DataFrame, **values: Column) -> DataFrame:
+        """Columns that later steps read by name: an expression used many times is planned and computed once."""
+        made.extend(f"_{n}" for n in values)
+        return df.withColumns({f"_{n}": x for n, x in values.items()})
+
+    df = step(joined, apps=c("prior_season_appearances"), minutes=c("prior_season_minutes"), known_starts=c("prior_season_starts"), seen=c("history_fixture_count"), lag3=c("lag3_appearance_mean"), lag5=c("lag5_appearance_mean"), price=c("price_tenths"), rate_a=F.coalesce("appearance_rate", F.lit(0.25)), rate_s=F.coalesce("start_rate", F.lit(0.18)))
+    df = step(
+        df,
+        starts=F.when((v("known_starts") <= 0) & (v("minutes") > 0), F.least(v("apps"), F.greatest(v("minutes") - v("apps") * 18.0, F.lit(0.0)) / 72.0)).otherwise(v("known_starts")),
+        fixtures=F.when(v("seen") > 0, v("seen")).otherwise(F.greatest(v("apps"), v("minutes") / 90.0, c("gameweek") - 1)),
+        recent5=F.when((v("lag5") <= 0) & (v("lag3") <= 0) & (v("apps") > 0), v("apps") / F.greatest(v("seen"), F.lit(38.0))).otherwise(v("lag5")),
+        typical=v("minutes") / F.greatest(v("apps"), F.lit(1.0)),
+    )
+    whole = v("fixtures") + SHRINK_MATCHES
+    df = step(
+        df,
+        long_a=(v("apps") + c("season_appearance_before") + v("rate_a") * SHRINK_MATCHES) / whole,
+        long_s=(v("starts") + c("season_starts_before") + v("rate_s") * SHRINK_MATCHES) / whole,
+        recent_a=0.65 * v("recent5") + 0.35 * v("lag3"),
+        recent_s=0.65 * c("lag5_starts_mean") + 0.35 * c("lag3_starts_mean"),
+        settled=(v("minutes") >= 1200) | (v("apps") >= 20) | (v("fixtures") >= 30),
+        boost=0.72 + 0.32 * F.when(v("price") > 0, clip((v("price") - 40.0) / 80.0, 0, 1)).otherwise(0.25),
+    )
+    df = step(df, held_a=clip(v("long_a"), 0, 0.995), held_s=clip(v("long_s"), 0, 0.995), w=F.when(v("settled"), 0.72).otherwise(0.55))
+    warm = lambda k: v("w") * v(f"held_{k}") + (1 - v("w")) * clip(v(f"recent_{k}"), 0, 1)
+    floor = lambda k: F.when(v("settled"), F.greatest(warm(k), 0.62 * v(f"held_{k}"))).otherwise(warm(k))
+    boost = v("boost") * F.when(F.coalesce(F.col("transferred"), F.lit(False)), 1.05).otherwise(1.0) if "transferred" in df.columns else v("boost")
     keeper = F.col("position") == "GKP"
-    cold_a = F.least(F.greatest(F.coalesce("appearance_rate", F.lit(0.20)) * boost, F.when(keeper, 0.035).otherwise(0.06)), F.when(keeper, 0.42).otherwise(0.58))
-    cold_s = F.least(F.greatest(F.coalesce("start_rate", F.lit(0.12)) * boost, F.lit(0.015)), F.least(F.when(keeper, 0.30).otherwise(0.38), cold_a))
+    df = step(df, lift=boost)
+    df = step(df, cold_a=F.least(F.greatest(F.coalesce("appearance_rate", F.lit(0.20)) * v("lift"), F.when(keeper, 0.035).otherwise(0.06)), F.when(keeper, 0.42).otherwise(0.58)))
+    cold_s = F.least(F.greatest(F.coalesce("start_rate", F.lit(0.12)) * v("lift"), F.lit(0.015)), F.least(F.when(keeper, 0.30).otherwise(0.38), v("cold_a")))
     cold = F.coalesce(F.col("cold_start"), F.lit(False))
-    plays, begins = available(df, F.when(cold, cold_a).otherwise(warm_a), F.when(cold, cold_s).otherwise(warm_s))
-    df = df.withColumns({"_a": clip(plays, 0, 1), "_s": clip(F.least(begins, plays), 0, 1), "_p": F.coalesce("prior", F.lit([1.0 / 6] * 6))})
+    df = step(df, free_a=F.when(cold, v("cold_a")).otherwise(floor("a")), free_s=F.when(cold, cold_s).otherwise(floor("s")))
+    plays, begins = available(df, v("free_a"), v("free_s"))
+    df = step(df, plays=plays, begins=begins)
+    df = step(df, a=clip(v("plays"), 0, 1), s=clip(F.least(v("begins"), v("plays")), 0, 1), p=F.coalesce("prior", F.lit([1.0 / 6] * 6)))
     p = lambda i: F.element_at("_p", i + 1)
     started = p(3) + p(4) + p(5)
-    typical = minutes / F.greatest(apps, F.lit(1.0))
-    goal = F.when(settled & (typical >= 78), F.array(*map(F.lit, (0.04, 0.20, 0.76)))).when(typical >= 60, F.array(*map(F.lit, (0.08, 0.42, 0.50)))).otherwise(F.array(*map(F.lit, (0.18, 0.52, 0.30))))
-    mix = [0.55 * p(3 + i) / started + 0.45 * F.element_at(goal, i + 1) for i in range(3)]
-    sub = F.greatest(F.col("_a") - F.col("_s"), F.lit(0.0))
+    goal = F.when(v("settled") & (v("typical") >= 78), F.array(*map(F.lit, (0.04, 0.20, 0.76)))).when(v("typical") >= 60, F.array(*map(F.lit, (0.08, 0.42, 0.50)))).otherwise(F.array(*map(F.lit, (0.18, 0.52, 0.30))))
+    df = step(df, goal=goal)
+    mix = [0.55 * p(3 + i) / started + 0.45 * F.element_at("_goal", i + 1) for i in range(3)]
+    sub = F.greatest(v("a") - v("s"), F.lit(0.0))
     early = p(1) / (p(1) + p(2))
-    states = F.array(1 - F.col("_a"), sub * early, sub * (1 - early), *[F.col("_s") * m for m in mix])
-    return df.withColumn("states", states).drop("_a", "_s", "_p", "prior", "n", "appearance_rate", "start_rate")
+    states = F.array(1 - v("a"), sub * early, sub * (1 - early), *[v("s") * m for m in mix])
+    return df.withColumn("states", states).drop(*made, "prior", "n", "appearance_rate", "start_rate")
 
 
 def available(df: DataFrame, plays: Column, begins: Column) -> tuple[Column, Column]:
