@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctph, decontaminate, langid, licenses, linededup, mixing, pii, quality, sharding, simhash
+from . import ctph, decontaminate, langid, licenses, linededup, merkle, mixing, pii, quality, sharding, simhash
 from .common import remainder, table
 
 
@@ -62,10 +62,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, machine).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.proofs(table(spark, sf_dir, "documents"), tampered=remainder("doc_id", 5) == 0)
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
 def queries() -> dict:
-    every = (op1_language, op2_sharding, op3_licenses, op4_simhash, op5_decontamination, op6_fingerprints, op7_mixing, op8_pii, op9_lines, op10_quality)
+    every = (op1_language, op2_sharding, op3_licenses, op4_simhash, op5_decontamination, op6_fingerprints, op7_mixing, op8_pii, op9_lines, op10_quality, op11_merkle)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.ORACLE, "op9_lines": linededup.ORACLE}
+    return {"op7_mixing": mixing.ORACLE, "op9_lines": linededup.ORACLE, "op11_merkle": merkle.ORACLE}
