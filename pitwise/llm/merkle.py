@@ -15,14 +15,12 @@ from pyspark.sql import functions as F
 from .common import field, materialize
 from .duckdb_sql import ascii_lower_sql, crc32_sql
 from .linededup import ascii_lower
-from .ranks import digits, radix_ranks
+from .ranks import copies, digits, radix_ranks
 
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Children of a node, as a power of two.
 FANOUT_BITS = 4
 FANOUT = 1 << FANOUT_BITS
-#: Copies of one row that are made at once.
-COPIES = 4096
 
 
 def encoded(value: Column) -> Column:
@@ -54,7 +52,7 @@ def leaves(docs: DataFrame, tampered: Column | None = None, columns: tuple[str,
     changed = [encoded(ascii_lower(field(docs, c).cast("string")) if c == text else field(docs, c)) for c in columns]
     other = F.when(tampered, digest(F.concat(*changed))) if tampered is not None else F.lit(None).cast("binary")
     group = F.coalesce(F.concat(F.lit("v"), field(docs, source).cast("string")), F.lit(""))
-    rows = docs.select(group.alias("g"), digits(docs, doc_id).alias("id_digits"), field(docs, doc_id).alias("doc_id"), digest(F.concat(*values)).alias("digest"), other.alias("other"))
+    rows = docs.select(group.alias("g"), digits(field(docs, doc_id), docs.schema[doc_id].dataType).alias("id_digits"), field(docs, doc_id).alias("doc_id"), digest(F.concat(*values)).alias("digest"), other.alias("other"))
     return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -130,13 +128,7 @@ def _tries(rows: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     ranked = radix_ranks(rows, F.concat("id_digits", F.hex("digest")), "merkle-ranks")
     sizes = materialize(rows.groupBy("g").agg(F.sum("n").alias("size"), F.max("n").alias("most")), "merkle-sizes")
     most = sizes.agg(F.max("most")).first()[0] or 0
-    # a row that comes many times is made into blocks of copies first, which are dealt out
-    blocks = ranked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}"))))
-    if most > COPIES:
-        blocks = blocks.repartition("g", "start", "block")
-    left = F.least(F.col("n") - F.col("block") * COPIES, F.lit(COPIES)) - 1
-    copies = blocks.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), left)))
-    placed = copies.select("g", (F.col("start") + F.col("block") * COPIES + F.col("copy")).alias("rank"), "digest", "other", "doc_id")
+    placed = copies(ranked, most).select("g", (F.col("start") + F.col("copy")).alias("rank"), "digest", "other", "doc_id")
     # one row a source; Spark broadcasts it where its size allows
     sized = placed.join(sizes.select("g", "size"), "g")
     levels = _levels(sized, "merkle")

@@ -12,9 +12,9 @@ import functools
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql.types import DataType, IntegralType
 
-from .common import field, materialize
+from .common import materialize
 from .simhash import split_join
 
 #: Hex digits that one histogram resolves: 16 ** DIGITS buckets below a node at most.
@@ -23,12 +23,13 @@ DIGITS = 3
 BUCKET_ROWS = 4096
 #: Broadcast no more buckets than this; more are joined by shuffle.
 MAX_BROADCAST_BUCKETS = 50_000
+#: Copies of one row that are made at once.
+COPIES = 4096
 
 
-def digits(df: DataFrame, name: str) -> Column:
+def digits(value: Column, kind: DataType) -> Column:
     """Hex digits whose order is that of the values: by size for integers, else by UTF-8 bytes; null is empty, before all."""
-    value = field(df, name)
-    if isinstance(df.schema[name].dataType, IntegralType):
+    if isinstance(kind, IntegralType):
         return F.coalesce(F.lpad(F.lower(F.hex(value.cast("long").bitwiseXOR(F.lit(-(1 << 63))))), 16, "0"), F.lit(""))
     return F.coalesce(F.concat(F.lit("1"), F.lower(F.hex(value.cast("string").cast("binary")))), F.lit(""))
 
@@ -80,3 +81,16 @@ def radix_ranks(rows: DataFrame, key: Column, label: str, most: int | None = Non
     if most is not None:
         ranked = ranked.unionByName(every.filter(F.col("from") >= most).withColumn("start", F.lit(None).cast("long")))
     return ranked.select(*columns, "start")
+
+
+def copies(rows: DataFrame, most: int) -> DataFrame:
+    """Each row ``n`` times, with ``copy`` from 0; a row that comes more than COPIES times is dealt out in blocks first.
+
+    ``most`` is the largest ``n``.
+    """
+    blocks = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}"))))
+    if most > COPIES:
+        blocks = blocks.repartition(*rows.columns, "block")
+    left = F.least(F.col("n") - F.col("block") * COPIES, F.lit(COPIES)) - 1
+    made = blocks.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), left)))
+    return made.withColumn("copy", F.col("block") * COPIES + F.col("copy")).drop("block")

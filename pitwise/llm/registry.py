@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctph, decontaminate, langid, licenses, linededup, merkle, mixing, pii, quality, sharding, simhash
+from . import ctph, decontaminate, langid, licenses, linededup, merkle, mixing, pii, quality, resampling, sharding, simhash, tokens
 from .common import remainder, table
 
 
@@ -67,10 +68,19 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
-    every = (op1_language, op2_sharding, op3_licenses, op4_simhash, op5_decontamination, op6_fingerprints, op7_mixing, op8_pii, op9_lines, op10_quality, op11_merkle)
+    every = (op1_language, op2_sharding, op3_licenses, op4_simhash, op5_decontamination, op6_fingerprints, op7_mixing, op8_pii, op9_lines, op10_quality, op11_merkle, op12_resampling, op13_tokens)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.ORACLE, "op9_lines": linededup.ORACLE, "op11_merkle": merkle.ORACLE}
+    return {"op7_mixing": mixing.ORACLE, "op9_lines": linededup.ORACLE, "op11_merkle": merkle.ORACLE, "op12_resampling": resampling.ORACLE}
