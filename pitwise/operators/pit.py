@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from . import relational
 
+#: Microseconds of a day.
+DAY = 86_400_000_000
 
 def micros(moment: Column) -> Column:
     return F.unix_micros(moment.cast("timestamp"))
@@ -55,6 +57,24 @@ def as_of(targets: DataFrame, history: DataFrame, keys: list[str], cutoff: str,
     return seen.select("_row.*", *[found[c].alias(c) for c in [time, *values]])
 
 
+def totals_as_of(targets: DataFrame, history: DataFrame, keys: list[str], cutoff: str, time: str, sums: dict[str, Column], latest: dict[str, Column] | None = None) -> DataFrame:
+    """``targets`` with sums over all history rows of the key strictly before the cutoff (null without any).
+
+    ``latest`` maps a name to a struct of an order and, last, a value: the value of the largest
+    order before the cutoff. Work grows with rows and targets, not with their product.
+    """
+    latest = latest or {}
+    at_time = history.filter(F.col(time).isNotNull()).groupBy(*keys, micros(F.col(time)).alias("_t")).agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()], *[F.max(c).alias(f"_l_{n}") for n, c in latest.items()])
+    made = [c for c in at_time.columns if c.startswith(("_s_", "_l_"))]
+    rows = targets.select(*keys, micros(F.col(cutoff)).alias("_t"), F.struct(*[F.col(c) for c in targets.columns]).alias("_row"), *[F.lit(None).cast(at_time.schema[n].dataType).alias(n) for n in made])
+    line = rows.unionByName(at_time.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType)))
+    before = Window.partitionBy(*keys).orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
+    seen = line.select("_row", "_t", *[(F.sum(n) if n.startswith("_s_") else F.max(n)).over(before).alias(n) for n in made]).filter("_row is not null")
+    known = lambda c: F.when(F.col("_t").isNotNull(), c)
+    value = lambda n: F.col(f"_l_{n}")[at_time.schema[f"_l_{n}"].dataType.fieldNames()[-1]]
+    return seen.select("_row.*", *[known(F.col(f"_s_{n}")).alias(n) for n in sums], *[known(value(n)).alias(n) for n in latest])
+
+
 def lagged_rates(df: DataFrame, key: str, season: str, cutoff: str, time: str, order: list[str], measures: list[str], sizes: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """Means over the last rows of a key available strictly before each row's cutoff, and same-season sums before it.
 
@@ -136,9 +156,23 @@ def training_totals(df: DataFrame, fold_table: DataFrame, time: str, cutoff: str
         return sums.groupBy("fold_id", *keys).agg(*[F.sum(n).alias(n) for n in measures])
     groups = rows.select(*keys).distinct() if keys else None
     marks = cuts.crossJoin(groups) if groups is not None else cuts  # folds times groups: the result's own size
-    line = marks.select("fold_id", *keys, "_t", *[F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in measures]).unionByName(rows.withColumn("fold_id", F.lit(None).cast("string")).select("fold_id", *keys, "_t", *measures))
-    before = Window.partitionBy(*keys).orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
-    return line.withColumns({n: F.sum(n).over(before) for n in measures}).filter("fold_id is not null").select("fold_id", *keys, *measures)
+    day = F.floor(F.col("_t") / F.lit(DAY)).cast("long")
+    rows, marks = rows.withColumn("_day", day), marks.withColumn("_day", day)
+
+    def before(marked: DataFrame, counted: DataFrame, by: list[str], order: str) -> DataFrame:
+        """Sums of what lies before each mark on a line per ``by``."""
+        names = ["fold_id", *dict.fromkeys([*by, order])]
+        line = marked.select(*names, *[F.lit(None).cast(counted.schema[n].dataType).alias(n) for n in measures])
+        line = line.unionByName(counted.withColumn("fold_id", F.lit(None).cast("string")).select(*names, *measures))
+        frame = Window.partitionBy(*by).orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+        return line.withColumns({n: F.sum(n).over(frame) for n in measures}).filter("fold_id is not null")
+
+    # whole days first, then the times of a cutoff's own day: no line is longer than days or a day's times
+    days = before(marks, rows.groupBy(*keys, "_day").agg(*[F.sum(n).alias(n) for n in measures]), keys, "_day")
+    own = rows.join(relational.small(marks.select("_day").distinct()), "_day", "left_semi")
+    part = before(marks, own, [*keys, "_day"], "_t")
+    both = days.select("fold_id", *keys, *measures).unionByName(part.select("fold_id", *keys, *measures))
+    return both.groupBy("fold_id", *keys).agg(*[F.sum(n).alias(n) for n in measures])
 
 
 def leakage_audit(df: DataFrame, keys: list[str], cutoff: str, lineage: list[str], registered: set[str], prefixes: tuple[str, ...] = ("prev", "season_to_date", "prior_season"), block: str | None = None, first_block_zero: list[str] | None = None, season: str | None = None, prior_source: str | None = None, forbidden: tuple[str, ...] = ("season_total",)) -> DataFrame:

@@ -42,7 +42,12 @@ def assisted_rate(train: DataFrame) -> DataFrame:
 def rates_for(test: DataFrame, train: DataFrame) -> DataFrame:
     """``test`` with ``{event}_per90``: own rate, else the position's; newcomers of a club blended, cold starts the position's."""
     df = test.join(player_rates(train), "player_uid", "left").join(F.broadcast(position_rates(train)), "position", "left")
-    flag = lambda n: F.coalesce(F.col(n), F.lit(False)) if n in test.columns else F.lit(False)
+    return rates_given(df).crossJoin(F.broadcast(assisted_rate(train)))  # one row
+
+
+def rates_given(df: DataFrame) -> DataFrame:
+    """``{event}_per90`` from the ``{event}_rate`` and ``{event}_position`` of each row (null: none known)."""
+    flag = lambda n: F.coalesce(F.col(n), F.lit(False)) if n in df.columns else F.lit(False)
 
     def rate(event: str) -> Column:
         place = F.coalesce(f"{event}_position", F.lit(0.0))
@@ -51,7 +56,7 @@ def rates_for(test: DataFrame, train: DataFrame) -> DataFrame:
 
     made = df.withColumns({f"{e}_per90": rate(e) for e in EVENTS})
     made = made.withColumns({f"{e}_fallback": F.col(f"{e}_rate").isNull() for e in ("goals_scored",)})
-    return made.drop(*[f"{e}_{k}" for e in EVENTS for k in ("rate", "position")]).crossJoin(F.broadcast(assisted_rate(train)))  # one row
+    return made.drop(*[f"{e}_{k}" for e in EVENTS for k in ("rate", "position")])
 
 
 def attacking_shares(df: DataFrame, team: list[str]) -> DataFrame:

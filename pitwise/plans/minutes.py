@@ -87,9 +87,13 @@ def bucket_ensemble(train: DataFrame, test: DataFrame) -> DataFrame:
         leaf = leaf.crossJoin(F.broadcast(overall)).select(*keys, blended(weight, F.col("own"), F.col("overall")).alias(f"leaf{i}"))
         out = out.join(F.broadcast(leaf), keys, "left")  # at most positions times buckets rows
         found.append(F.col(f"leaf{i}"))
-    have = F.array_compact(F.array(*found))
-    mean = F.transform(F.sequence(F.lit(1), F.lit(len(STATES))), lambda k: F.aggregate(have, F.lit(0.0), lambda a, x: a + F.element_at(x, k)) / F.size(have))
-    return out.withColumn("states", mean).drop("overall", *[f"leaf{i}" for i in range(3)])
+    return out.withColumn("states", mean_of(found)).drop("overall", *[f"leaf{i}" for i in range(3)])
+
+
+def mean_of(distributions: list[Column]) -> Column:
+    """The mean of those that are there."""
+    have = F.array_compact(F.array(*distributions))
+    return F.transform(F.sequence(F.lit(1), F.lit(len(STATES))), lambda k: F.aggregate(have, F.lit(0.0), lambda a, x: a + F.element_at(x, k)) / F.size(have))
 
 
 def role_priors(train: DataFrame) -> DataFrame:
@@ -105,11 +109,16 @@ def _c(name: str, df: DataFrame) -> Column:
 
 
 def hierarchical(train: DataFrame, test: DataFrame) -> DataFrame:
+    """M7 with position priors from ``train``."""
+    return hierarchical_given(test.join(F.broadcast(role_priors(train)), "position", "left"))
+
+
+def hierarchical_given(joined: DataFrame) -> DataFrame:
     """M7: role probabilities from long and recent history around position priors, then availability, then states.
 
+    ``joined`` has the rows with their ``prior``, ``n``, ``appearance_rate`` and ``start_rate`` (null: none known).
     Fixed values throughout are the model's published weights.
     """
-    joined = test.join(F.broadcast(role_priors(train)), "position", "left")
     c = lambda n: _c(n, joined)
     v = lambda n: F.col(f"_{n}")
     made: list[str] = []
