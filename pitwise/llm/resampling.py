@@ -25,6 +25,8 @@ from .ranks import copies, digits, radix_ranks
 
 #: Hash buckets of the features, and the longest n-gram.
 BUCKETS, LONGEST = 10_000, 1
+#: Text bytes whose words are sorted at once.
+WORK_BYTES = 1 << 20
 #: Documents with fewer words are never drawn; the share that is drawn, in percent; the draw's seed.
 LEAST_WORDS, PERCENT, SEED = 20, 10, 2024
 
@@ -73,17 +75,17 @@ def feature_buckets(texts: Texts, longest: int, buckets: int) -> Iterator[tuple[
     ids, _ = word_ids(texts)
     ends = np.repeat(texts.first[1:], np.diff(texts.first))
     order, lcp = suffix_array(ids, ends, longest)
-    starts, stops, raw = texts.starts.tolist(), texts.ends.tolist(), texts.raw
+    raw = texts.raw
     for n in range(1, longest + 1):
         fresh = lcp < n
         run = np.cumsum(fresh) - 1
         heads = order[fresh]
         whole = heads + n <= ends[heads]
         hashed = np.zeros(len(heads), np.int64)
-        for k in np.flatnonzero(whole).tolist():
-            i = int(heads[k])
-            gram = raw[starts[i] : stops[i]] if n == 1 else b" ".join(raw[starts[j] : stops[j]] for j in range(i, i + n))
-            hashed[k] = zlib.crc32(gram) % buckets
+        begin, end = texts.starts[heads[whole]].tolist(), texts.ends[heads[whole] + n - 1].tolist()
+        # words of a run stand apart by one space and more
+        grams = (raw[a:b] if n == 1 else b" ".join(raw[a:b].split()) for a, b in zip(begin, end, strict=True))
+        hashed[whole] = [zlib.crc32(gram) % buckets for gram in grams]
         scattered = np.full(n_words, -1, np.int64)
         member = whole[run]
         scattered[order[member]] = hashed[run[member]]
@@ -99,7 +101,7 @@ def bucket_counts(rows: DataFrame, text: str = "text", longest: int = LONGEST, b
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
-        for chunk in chunks(batches, "text"):
+        for chunk in chunks(batches, "text", WORK_BYTES):
             for _, found in feature_buckets(texts_of(text_list(chunk.column(0))), longest, buckets):
                 total += np.bincount(found, minlength=buckets)
         held = np.flatnonzero(total)
@@ -132,7 +134,7 @@ def weigh(docs: DataFrame, gain: np.ndarray, doc_id: str = "doc_id", text: str =
         return {"doc_id": batch.column(0), "tag": batch.column(2), "n_words": np.diff(texts.first), "n_features": n, "weight": total // np.maximum(n, 1)}
 
     rows = docs.select(field(docs, doc_id).alias("doc_id"), field(docs, text).cast("string").alias("text"), F.xxhash64(field(docs, text)).alias("tag"))
-    return scan(rows, work, columns_of(doc_id=docs.schema[doc_id].dataType, tag="bigint", n_words="bigint", n_features="bigint", weight="bigint"))
+    return scan(rows, work, columns_of(doc_id=docs.schema[doc_id].dataType, tag="bigint", n_words="bigint", n_features="bigint", weight="bigint"), limit=WORK_BYTES)
 
 
 def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_words: int = LEAST_WORDS, seed: int = SEED, longest: int = LONGEST, buckets: int = BUCKETS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
