@@ -13,7 +13,8 @@ which makes the links exact.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, field, materialize, packed, scan, text_list, unpacked
+from .common import columns_of, field, materialize, mix, packed, scan, text_list, unpacked
 
 #: Generator polynomial of the binary Golay code [23, 12, 7].
 GOLAY = 0b110001110101
@@ -36,6 +37,12 @@ MAX_BROADCAST_KEYS = 100_000
 FPS_PER_TASK = 20_000
 #: A key of a join is split where it has more rows than this and more than a ten-thousandth of all: 10,000 keys at most.
 LEAST_SPLIT, MOST_SPLIT_KEYS = 256, 10_000
+#: Sample fingerprints of a text, and shingles of a sample.
+SAMPLES, SAMPLE = 8, 3
+#: Texts of one key that are compared each with each; likeness to a leader from which a text is no leader itself.
+FEW, VERY = 64, 0.85
+#: Sketches estimate likeness to 0.05 or so; that much below the bound and two more are looked at.
+SLACK = 0.15
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -57,7 +64,10 @@ def shingle_hashes(text: bytes, k: int) -> np.ndarray:
 
 def simhash(text: bytes, k: int = 4) -> int:
     """Bits that are set in over half the shingle hashes; 0 for a text without words."""
-    h = shingle_hashes(text, k)
+    return simhash_of(shingle_hashes(text, k))
+
+
+def simhash_of(h: np.ndarray) -> int:
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
@@ -303,9 +313,194 @@ def one_per_group(docs: DataFrame, k: int = 4, bits: int = 4) -> DataFrame:
     Rows of one id are told apart by a hash of the text; of equal rows one stays. A null id stays
     only where its group has no other.
     """
+    return _first_of_groups(docs, lambda rows: near_duplicates(rows, k, bits))
+
+
+def _first_of_groups(docs: DataFrame, groups: Callable[[DataFrame], DataFrame]) -> DataFrame:
     rank = F.struct(field(docs, "doc_id").isNull().alias("none"), field(docs, "doc_id").alias("id"), F.xxhash64(field(docs, "text")).alias("tag"))
-    found = near_duplicates(docs.select(rank.alias("doc_id"), field(docs, "text").alias("text")), k, bits)
+    found = groups(docs.select(rank.alias("doc_id"), field(docs, "text").alias("text")))
     kept = found.filter("doc_id = component_id").select("doc_id").distinct()
     # equal rows are merged before they are dealt out by the same key that the join asks for
     single = docs.select(rank.alias("doc_id"), packed(docs).alias("row")).dropDuplicates(["doc_id"])
     return unpacked(single.join(kept, "doc_id", "left_semi"), "row", docs.columns)
+
+
+# ----------------------------------------------------- groups by shared shingles
+
+
+class Print(NamedTuple):
+    """What stands for a set of shingles: two digests, its size, the fingerprint, sample fingerprints, a sketch."""
+
+    low: int
+    high: int
+    size: int
+    fp: int
+    samples: list[int]
+    sketch: bytes
+
+
+def print_of(text: bytes, k: int = 5) -> Print:
+    """SimHash of all shingles, and of SAMPLES samples: those few that a seed's scrambling puts first.
+
+    Sets that share a share J of their shingles have one sample in common with chance J ** SAMPLE.
+    The sketch holds a byte of the least scrambled hash in each of 64 ranges, 0 where there is none.
+    """
+    h = shingle_hashes(text, k)
+    fp = simhash_of(h)
+    h = np.unique(h)
+    samples = []
+    for seed in range(1, SAMPLES + 1):
+        m = mix(h ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
+        m = np.partition(m, SAMPLE - 1)[:SAMPLE] if len(m) > SAMPLE else m
+        ones = np.unpackbits(m.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        samples.append(int(np.packbits(2 * ones > len(m), bitorder="little").view("<i8")[0]))
+    m = np.sort(mix(h))
+    at = np.searchsorted(m, np.arange(64, dtype=np.uint64) << np.uint64(58))
+    held = np.append(m, np.uint64(0))[at]
+    there = (at < len(m)) & (held >> np.uint64(58) == np.arange(64, dtype=np.uint64))
+    sketch = np.where(there, (held >> np.uint64(16)) % np.uint64(255) + np.uint64(1), np.uint64(0)).astype(np.uint8).tobytes()
+    raw = h.tobytes()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return Print(signed(xxhash.xxh64_intdigest(raw, 1)), signed(xxhash.xxh64_intdigest(raw, 2)), len(h), signed(fp), samples, sketch)
+
+
+def prints(docs: DataFrame, k: int = 5) -> DataFrame:
+    """(doc_id, low, high, size, fp, samples, sketch) of every row."""
+
+    def work(batch: pa.RecordBatch) -> dict:
+        made = [print_of(t, k) for t in text_list(batch.column(1))]
+        return {"doc_id": batch.column(0), **{n: [getattr(p, n) for p in made] for n in Print._fields}}
+
+    types = {"low": "bigint", "high": "bigint", "size": "bigint", "fp": "bigint", "samples": "array<bigint>", "sketch": "binary"}
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return scan(rows, work, columns_of(doc_id=docs.schema["doc_id"].dataType, **types))
+
+
+def alike(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Estimated share of shingles that each of ``sketches`` has in common with ``one``."""
+    both = ((sketches == one) & (one > 0)).sum(1)
+    return both / np.maximum(((sketches > 0) | (one > 0)).sum(1), 1)
+
+
+def likely_links(ids: np.ndarray, sketches: np.ndarray, least: float) -> tuple[list[int], list[int]]:
+    """Pairs of one key that seem at least ``least`` alike; ids rise.
+
+    A few are compared each with each. Of many, each is compared with the leaders before it, and is a
+    leader itself where none is very like it; so work grows with rows times leaders.
+    """
+    u, v = [], []
+    if len(ids) <= FEW:
+        for i in range(1, len(ids)):
+            hit = np.flatnonzero(alike(sketches[:i], sketches[i]) >= least)
+            u += ids[hit].tolist()
+            v += [int(ids[i])] * len(hit)
+        return u, v
+    leaders = [0]
+    for i in range(1, len(ids)):
+        near = alike(sketches[leaders], sketches[i])
+        hit = np.flatnonzero(near >= least)
+        u += ids[np.array(leaders)[hit]].tolist()
+        v += [int(ids[i])] * len(hit)
+        if near.max() < VERY:
+            leaders.append(i)
+    return u, v
+
+
+def _likely(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def found(t: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table | None]:
+            unit = np.stack([t.column(i).to_numpy() for i in (0, 1)], 1)
+            starts = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]).any(1)])).tolist()
+            ends = [*starts[1:], len(unit)]
+            if not last:  # the last key may go on
+                keep = t.slice(starts[-1])
+                starts, ends = starts[:-1], ends[:-1]
+            ids = t.column(2).to_numpy()
+            u, v = [], []
+            for a, b in zip(starts, ends, strict=True):
+                if b - a > 1:
+                    sketches = np.frombuffer(b"".join(t.column(3).slice(a, b - a).to_pylist()), np.uint8).reshape(b - a, -1)
+                    x, y = likely_links(ids[a:b], sketches, least)
+                    u += x
+                    v += y
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"]), None if last else keep
+
+        for batch in batches:
+            if batch.num_rows:
+                t = pa.Table.from_batches([batch])
+                made, rest = found((t if rest is None else pa.concat_tables([rest, t])).combine_chunks(), False)
+                yield made
+        if rest is not None:
+            yield found(rest, True)[0]
+
+    return run
+
+
+def likely_pairs(owners: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(u, v): owners with a sample fingerprint in common whose sketches are at least ``least`` alike; hot keys are dealt out as pairs of blocks."""
+    keys = owners.select("id", "sketch", F.posexplode("samples").alias("nth", "sample")).select(F.xxhash64("nth", "sample").alias("key"), "id", "sketch")
+    sizes = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sample-keys")
+    shared = split_join(keys, sizes.withColumn("g", F.ceil(F.col("n") / block).cast("int")), "key", "id", 8 * owners.count())
+    own = F.pmod(F.xxhash64("id"), F.col("g")).cast("int")
+    dealt = shared.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = dealt.withColumn("part", F.least("own", "other") * F.col("g") + F.greatest("own", "other")).select("key", "part", "id", "sketch")
+    return dealt.repartition("key", "part").sortWithinPartitions("key", "part", "id").mapInArrow(_likely(least), "u long, v long").distinct()
+
+
+def shingle_groups(docs: DataFrame, k: int = 5, least: float = 0.8, bits: int = 4) -> DataFrame:
+    """(doc_id, component_id) of every row: groups of texts that share ``least`` of their ``k``-word shingles, pair by pair.
+
+    Candidates are texts whose fingerprints differ in up to ``bits`` bits (by Golay keys) and texts
+    with a sample fingerprint in common; each counts only if the sets of shingles themselves, as
+    64-bit hashes, are alike enough. Texts with equal sets are one. Null and empty texts have no
+    shingles and form one group; repeated rows come back as often as they came.
+    """
+    made = materialize(prints(docs, k), "prints")
+    one = made.groupBy("low", "high").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("samples").alias("samples"), F.min("sketch").alias("sketch"))
+    owners = materialize(one.withColumn("id", F.monotonically_increasing_id()), "print-owners")
+    able = owners.filter("size > 0")
+    by_fp = materialize(able.groupBy("fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "print-fps")
+    fp_id = by_fp.select(F.col("fp").alias("f"), F.col("id").alias("i"))
+    close = links(by_fp.select("fp"), bits).join(fp_id, F.col("u") == F.col("f")).select(F.col("i").alias("u"), "v").join(fp_id, F.col("v") == F.col("f")).select("u", F.col("i").alias("v"))
+    same = split_join(able.select("fp", F.col("id").alias("v")), by_fp, "fp", "v", owners.count()).select(F.col("id").alias("u"), "v").filter("u <> v")
+    pairs = close.unionByName(same).unionByName(likely_pairs(able, least - SLACK)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = materialize(pairs, "print-pairs")
+    sizes = able.select("id", "size", "first")
+    n_pairs = pairs.count()
+    # the texts of candidates are read again for their shingles
+    ends = materialize(pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).groupBy("u").agg(F.count(F.lit(1)).alias("n")), "print-ends")
+    wanted = materialize(ends.join(sizes, ends["u"] == sizes["id"]).select(F.col("first").alias("doc_id"), "id", "n"), "print-wanted")
+    few = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_KEYS else wanted
+    sets = materialize(shingle_sets(docs.join(few, "doc_id"), k).dropDuplicates(["id"]), "print-sets")
+    half = split_join(pairs, sets.select(F.col("id").alias("v"), F.col("shingles").alias("b"), "n"), "v", "u", n_pairs)
+    whole = half.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u")
+    shared = F.size(F.array_intersect("a", "b"))
+    true = whole.filter(shared >= least * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    roots = components(true)
+    linked = materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(owners.select("id", "first"), F.col("node") == F.col("id")).select("id", "root", "first"), "print-linked")
+    firsts = materialize(linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")), "print-firsts")
+    moved = split_join(linked.select("id", "root"), firsts, "root", "id", linked.count()).select("id", F.col("component_id").alias("moved"))
+    of = owners.join(moved, "id", "left").select("low", "high", F.coalesce("moved", "first").alias("component_id"), "n")
+    names = of.select(F.struct("low", "high").alias("at"), "component_id", "n")
+    return split_join(made.select("doc_id", F.struct("low", "high").alias("at")), materialize(names, "print-of"), "at", "doc_id", made.count()).select("doc_id", "component_id")
+
+
+def shingle_sets(docs: DataFrame, k: int = 5) -> DataFrame:
+    """(id, n, shingles) of rows (id, n, text): the distinct hashes of a text's shingles."""
+
+    def work(batch: pa.RecordBatch) -> dict:
+        return {"id": batch.column(0), "n": batch.column(1), "shingles": [np.unique(shingle_hashes(t, k)).view(np.int64) for t in text_list(batch.column(2))]}
+
+    rows = docs.select("id", "n", F.col("text").cast("string").alias("text"))
+    return scan(rows, work, columns_of(id="bigint", n="bigint", shingles="array<bigint>"))
+
+
+def one_per_shingle_group(docs: DataFrame, k: int = 5, least: float = 0.8, bits: int = 4) -> DataFrame:
+    """One row of each group of ``shingle_groups``, with all its columns, whatever those are called: the one with the smallest doc_id.
+
+    Rows of one id are told apart by a hash of the text; of equal rows one stays. A null id stays
+    only where its group has no other.
+    """
+    return _first_of_groups(docs, lambda rows: shingle_groups(rows, k, least, bits))
