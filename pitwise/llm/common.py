@@ -78,7 +78,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def remainder(doc_id: Column | str, by: int) -> Column:
     """crc32 of the id as text, modulo ``by``; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")) % by
+    value = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.crc32(F.coalesce(value.cast("string"), F.lit("")).cast("binary")) % by
 
 
 def text_list(column: pa.Array) -> list[bytes]:

@@ -125,7 +125,7 @@ def _source_tree(subroots: DataFrame) -> DataFrame:
 def _tries(rows: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """The levels over the leaves, and (g, subroot, n_rows, root, path) of the sources."""
     rows = materialize(rows, "merkle-leaves")
-    ranked = radix_ranks(rows, F.concat("id_digits", F.hex("digest")), "merkle-ranks")
+    ranked = radix_ranks(rows, F.concat("id_digits", F.lit("/"), F.hex("digest")), "merkle-ranks")
     sizes = materialize(rows.groupBy("g").agg(F.sum("n").alias("size"), F.max("n").alias("most")), "merkle-sizes")
     most = sizes.agg(F.max("most")).first()[0] or 0
     placed = copies(ranked, most).select("g", (F.col("start") + F.col("copy")).alias("rank"), "digest", "other", "doc_id")

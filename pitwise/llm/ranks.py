@@ -65,7 +65,7 @@ def radix_ranks(rows: DataFrame, key: Column, label: str, most: int | None = Non
         if hist.count() <= MAX_BROADCAST_BUCKETS:
             joined = held.join(F.broadcast(hist.select("bucket", facts)), "bucket")
         else:
-            joined = split_join(held.withColumn("by", F.xxhash64(key)), hist.select("bucket", facts, "n").withColumnRenamed("n", "rows_"), "bucket", "by", n_rows)
+            joined = split_join(held.withColumn("by", F.xxhash64(key)), hist.select("bucket", facts, "n"), "bucket", "by", n_rows)
         more = not hist.filter("deeper is not null").isEmpty()
         if more:
             joined = materialize(joined.select(*columns, "facts"), f"{label}-{level}")

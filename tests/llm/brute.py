@@ -6,7 +6,7 @@ import hashlib
 import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import xxhash
 
@@ -58,6 +58,52 @@ def roots(values, bits=4):
     return [find(i) for i in range(len(values))]
 
 
+def shingle_sets(texts, k=5):
+    out = []
+    for text in texts:
+        words = TOKEN.findall(low(text))
+        out.append(frozenset(tuple(words[i : i + k]) for i in range(max(len(words) - k + 1, 1))) if words else frozenset())
+    return out
+
+
+def shingle_pairs(texts, least=0.8):
+    """All pairs of different sets of shingles that are alike enough; of equal sets the first stands for all."""
+    sets, first = shingle_sets(texts), {}
+    for i, s in enumerate(sets):
+        first.setdefault(s, i)
+    seen = Counter(x for s in first for x in s)
+    holders, pairs = defaultdict(list), set()
+    for s, i in first.items():
+        # alike sets share one of their rarest shingles
+        rare = sorted(s, key=lambda x: (seen[x], x))[: len(s) - math.ceil(least * len(s)) + 1]
+        pairs |= {(j, i) for x in rare for j in holders[x]}
+        for x in rare:
+            holders[x].append(i)
+    return [(a, b) for a, b in sorted(pairs) if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+
+
+def shingle_groups(texts, pairs=None):
+    """For each text the index of the first of its group."""
+    first, sets = {}, shingle_sets(texts)
+    parent = [first.setdefault(s, i) for i, s in enumerate(sets)]
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in shingle_pairs(texts) if pairs is None else pairs:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))]
+
+
+def positions(found, ids):
+    """Where the row stands whose id is the value found."""
+    at = {d: i for i, d in enumerate(ids)}
+    return [at[f] for f in found]
+
+
 def contamination(text, items, window=13):
     windows = defaultdict(set)
     for item, t in items:
@@ -222,3 +268,74 @@ def quality_score(machine, text, told, dimensions=1024):
     keys = sorted(x)
     total += sum(float(machine.factors[i] @ machine.factors[j]) * x[i] * x[j] for a, i in enumerate(keys) for j in keys[:a])
     return 1 / (1 + math.exp(-total))
+
+
+def merkle(rows, columns=("doc_id", "source", "lang", "n_chars", "text"), fan=16):
+    """(doc_id, leaf, subroot, root, proof digest, folded root, verified) of dict rows, by plain lists."""
+    enc = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r: sha("".join(enc(r[c]) for c in columns))
+    bad = lambda r: zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 5 == 0
+
+    def tree(digests):
+        """The top, and for each leaf its (left, right) siblings level by level."""
+        at, level, paths = list(range(len(digests))), list(digests), [[] for _ in digests]
+        while len(level) > 1:
+            runs = [level[i : i + fan] for i in range(0, len(level), fan)]
+            for k, i in enumerate(at):
+                run = runs[i // fan]
+                paths[k].append(("".join(run[: i % fan]), "".join(run[i % fan + 1 :])))
+            at, level = [i // fan for i in at], [sha("".join(run)) for run in runs]
+        return level[0], paths
+
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r["source"]].append(r)
+    order = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    made = {}
+    for s in order:
+        groups[s].sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, leaf(r)))
+        made[s] = tree([leaf(r) for r in groups[s]])
+    root, above = tree([made[s][0] for s in order])
+    out = []
+    for k, s in enumerate(order):
+        for r, path in zip(groups[s], made[s][1], strict=True):
+            path = path + above[k]
+            folded = leaf({**r, "text": low(r["text"]) if r["text"] is not None else None}) if bad(r) else leaf(r)
+            for left, right in path:
+                folded = sha(left + folded + right)
+            out.append((r["doc_id"], leaf(r), made[s][0], root, sha("".join(a + b for a, b in path)), folded, folded == root))
+    return out
+
+
+def resampling(rows, target, longest=1, buckets=10000, percent=10, least=20, seed=2024):
+    """(doc_id, features, weight, score, rank) of (doc_id, text) rows."""
+
+    def features(text):
+        w = WORD.findall(low(text))
+        return [zlib.crc32(" ".join(w[i : i + n]).encode()) % buckets for n in range(1, longest + 1) for i in range(len(w) - n + 1)], len(w)
+
+    s, t = Counter(), Counter()
+    for _, text in rows:
+        s.update(features(text)[0])
+    for text in target:
+        t.update(features(text)[0])
+    held, wanted = float(sum(s.values()) + buckets), float(sum(t.values()) + buckets)
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1.0) * held / ((s[b] + 1.0) * wanted)))
+    out = []
+    for doc, text in rows:
+        f, n = features(text)
+        weight = sum(map(gain, f)) // len(f) if f else 0
+        h = int(sha(f"{seed}:{'' if doc is None else doc}")[:8], 16)
+        out.append((doc, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), n))
+    able = sorted((r for r in out if r[4] >= least), key=lambda r: (-r[3], r[0] is not None, r[0] or 0, r[1]))
+    drawn = able[: percent * len(able) // 100]
+    left = Counter()
+    for r in drawn:
+        left[r] += 1
+    ranked = [(*r[:4], i + 1) for i, r in enumerate(drawn)]
+    for r in out:
+        if left[r]:
+            left[r] -= 1
+        else:
+            ranked.append((*r[:4], None))
+    return ranked

@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from compare import differences, duck  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from pitwise.llm import registry, sharding  # noqa: E402
+from pitwise.llm import registry, sharding, simhash  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,6 +64,20 @@ def test_sharding_reruns_agree(spark):
     assert first == again
 
 
+def test_near_copies_of_a_larger_table(spark):
+    """Of the pairs of different texts that share 0.8 of their five-word shingles, nine in ten and more are in one group; no others are."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    of = {r.doc_id: r.component_id for r in simhash.shingle_groups(docs).collect()}
+    found = [of[i] for i, _ in rows]
+    pairs = brute.shingle_pairs([t for _, t in rows])
+    assert len(pairs) > 40 and sum(found[a] == found[b] for a, b in pairs) >= 0.9 * len(pairs)
+    groups = brute.shingle_groups([t for _, t in rows], pairs)
+    whole = {g: rows[g][0] for g in set(groups)}
+    assert all(whole[groups[i]] <= found[i] for i in range(len(rows)))
+    assert all(groups[i] == groups[j] for i, j in enumerate(brute.positions(found, [d for d, _ in rows])))
+
+
 def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, counts = docs.columns, [docs.count()]
@@ -76,8 +90,8 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
             assert docs.columns == columns
         if name == "near_dedup":
             rows = sorted((r.doc_id, r.text) for r in before.select("doc_id", "text").collect())
-            first = brute.roots([brute.simhash(t) for _, t in rows])
-            assert sorted(r.doc_id for r in docs.collect()) == [rows[i][0] for i in sorted(set(first))]
+            groups = brute.shingle_groups([t for _, t in rows])
+            assert sorted(r.doc_id for r in docs.collect()) == [rows[i][0] for i in sorted(set(groups))]
         if name == "decontamination":
             items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
             clean = [r.doc_id for r in before.collect() if not brute.contamination(r.text, items)[-1]]
