@@ -175,6 +175,28 @@ def training_totals(df: DataFrame, fold_table: DataFrame, time: str, cutoff: str
     return both.groupBy("fold_id", *keys).agg(*[F.sum(n).alias(n) for n in measures])
 
 
+def latest_before(df: DataFrame, fold_table: DataFrame, time: str, cutoff: str, key: str, most: int) -> DataFrame:
+    """(fold_id, row of ``df``): for each fold the latest ``most`` rows strictly before its cutoff, larger keys first at one time.
+
+    Rows get their exact place in time from counts per hour and an order within the hour; a fold's
+    rows are then a run of places, found by blocks of ``most`` places, of which a run meets two at
+    most. Nothing is sorted per fold; the result has folds times ``most`` rows.
+    """
+    hour = F.floor(micros(F.col(time)) / F.lit(3_600_000_000)).cast("long")
+    rows = df.filter(F.col(time).isNotNull()).select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"), micros(F.col(time)).alias("_t"), F.col(key).alias("_k"), hour.alias("_hour"))
+    hours = rows.groupBy("_hour").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)  # a row per hour
+    starts = hours.select("_hour", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_hour").orderBy("_t", "_k")
+    placed = rows.join(relational.small(starts), "_hour").withColumn("_place", F.col("_start") + F.row_number().over(within) - 1)
+    known = training_totals(df, fold_table, time, cutoff, {"_known": F.lit(1).cast("long")}).filter("_known > 0")
+    low = F.greatest(F.col("_known") - most, F.lit(0).cast("long"))
+    blocks = F.sequence(F.floor(low / most).cast("long"), F.floor((F.col("_known") - 1) / most).cast("long"))
+    runs = known.select("fold_id", low.alias("_low"), "_known", F.explode(blocks).alias("_block"))
+    found = placed.withColumn("_block", F.floor(F.col("_place") / most).cast("long")).join(relational.small(runs), "_block")
+    return found.filter((F.col("_place") >= F.col("_low")) & (F.col("_place") < F.col("_known"))).select("fold_id", "_row.*")
+
+
 def leakage_audit(df: DataFrame, keys: list[str], cutoff: str, lineage: list[str], registered: set[str], prefixes: tuple[str, ...] = ("prev", "season_to_date", "prior_season"), block: str | None = None, first_block_zero: list[str] | None = None, season: str | None = None, prior_source: str | None = None, forbidden: tuple[str, ...] = ("season_total",)) -> DataFrame:
     """(severity, check, rows): rows that break a rule, one row per rule that has any.
 

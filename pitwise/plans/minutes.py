@@ -190,43 +190,65 @@ def softmax_states(train: DataFrame, test: DataFrame, numeric: list[str], catego
     The fit sees ``MAX_FIT_ROWS`` rows at most (a fixed window of the model), in one task; scoring
     is a projection over all test rows with the fitted weights.
     """
-    spark = train.sparkSession
-    latest = train.orderBy(F.desc(time), F.desc(key)).limit(MAX_FIT_ROWS)
-    levels = {c: sorted(r[0] for r in latest.select(c).distinct().filter(F.col(c).isNotNull()).collect()) for c in categorical}
-    one_hot = [(F.col(c) == v).cast("double") for c in categorical for v in levels[c]]
-    columns = F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in numeric], *one_hot).alias("x")
-    state = reduce(lambda a, i: a.when(F.col("state") == STATES[i], i), range(1, len(STATES)), F.when(F.col("state") == STATES[0], 0)).alias("y")
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+    latest = train.orderBy(F.desc(time), F.desc(key)).limit(MAX_FIT_ROWS).withColumn("fold_id", F.lit("all"))
+    fitted = softmax_fits(latest, numeric, categorical, key)
+    return softmax_scores(test.withColumn("fold_id", F.lit("all")), fitted, numeric, categorical).drop("fold_id")
+
+
+def softmax_weights(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """(states, 1 + columns) weights for rows as they are; the first ``k`` columns are standardised within."""
+    centre, spread = x[:, :k].mean(0), x[:, :k].std(0)
+    spread[spread < 1e-6] = 1.0
+    design = np.hstack([np.ones((len(x), 1)), (x[:, :k] - centre) / spread, x[:, k:]])
+    w = np.zeros((design.shape[1], len(STATES)))
+    share = y.sum(0) + 1
+    w[0] = np.log(share / share.sum())
+    for _ in range(SOFTMAX_ROUNDS):
+        z = design @ w
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        g = design.T @ (p - y) / len(y)
+        g[1:] += SOFTMAX_L2 * w[1:]
+        w -= SOFTMAX_RATE * g
+    full = w.copy()
+    full[1 : k + 1] = w[1 : k + 1] / spread[:, None]
+    full[0] -= centre @ full[1 : k + 1]
+    return full.T
+
+
+def softmax_fits(latest: DataFrame, numeric: list[str], categorical: list[str], key: str) -> DataFrame:
+    """(fold_id, levels, weights) of each fold: a fit of its ``MAX_FIT_ROWS`` rows at most, a row of its own.
+
+    ``levels`` holds the values of each categorical column that the fold has seen; a value that it
+    has not seen counts as none of them. Rows without a state are left out.
+    """
+    index = reduce(lambda a, i: a.when(F.col("state") == STATES[i], i), range(1, len(STATES)), F.when(F.col("state") == STATES[0], 0)).alias("y")
+    columns = [F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in numeric]).alias("x"), F.array(*[F.col(c).cast("string") for c in categorical]).alias("c")]
+
+    def fit(fold: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("k")
-        x, y = np.stack(rows.x), np.eye(len(STATES))[rows.y.astype(int)]
-        k = len(numeric)
-        centre, spread = x[:, :k].mean(0), x[:, :k].std(0)
-        spread[spread < 1e-6] = 1.0
-        design = np.hstack([np.ones((len(x), 1)), (x[:, :k] - centre) / spread, x[:, k:]])
-        w = np.zeros((design.shape[1], len(STATES)))
-        share = y.sum(0) + 1
-        w[0] = np.log(share / share.sum())
-        for _ in range(SOFTMAX_ROUNDS):
-            z = design @ w
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            g = design.T @ (p - y) / len(y)
-            g[1:] += SOFTMAX_L2 * w[1:]
-            w -= SOFTMAX_RATE * g
-        full = w.copy()
-        full[1 : k + 1] = w[1 : k + 1] / spread[:, None]
-        full[0] -= centre @ full[1 : k + 1]
-        return pd.DataFrame({"state": range(len(STATES)), "w": list(full.T)})
-
-    fitted = latest.select(F.lit(1).alias("one"), F.col(key).alias("k"), columns, state).filter("y is not null").groupBy("one").applyInPandas(fit, "state int, w array<double>")
-    weights = fitted.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("state", "w"))), lambda s: s["w"]).alias("w"))
-    scored = test.withColumn("x", F.concat(F.array(F.lit(1.0)), columns)).crossJoin(F.broadcast(weights))  # one row of weights
-    logit = F.transform("w", lambda w: F.aggregate(F.zip_with(w, F.col("x"), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v))
+        values = list(zip(*rows.c, strict=True)) if categorical else []
+        levels = [sorted({v for v in column if v is not None}) for column in values]
+        hot = [[float(v == level) for v in column] for column, own in zip(values, levels, strict=True) for level in own]
+        x = np.hstack([np.stack(rows.x), np.array(hot).reshape(-1, len(rows)).T])
+        w = softmax_weights(x, np.eye(len(STATES))[rows.y.astype(int)], len(numeric))
+        return pd.DataFrame({"fold_id": [fold[0]], "levels": [levels], "weights": [[list(r) for r in w]]})
+
+    rows = latest.select("fold_id", F.col(key).alias("k"), *columns, index).filter("y is not null")
+    return rows.groupBy("fold_id").applyInPandas(fit, "fold_id string, levels array<array<string>>, weights array<array<double>>")
+
+
+def softmax_scores(rows: DataFrame, fitted: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
+    """``rows`` with ``states`` by their fold's weights; all states alike where the fold has none."""
+    one_hot = lambda c: lambda v: F.coalesce((F.col(c).cast("string") == v).cast("double"), F.lit(0.0))
+    hot = [F.transform(F.get("levels", F.lit(i)), one_hot(c)) for i, c in enumerate(categorical)]
+    x = F.concat(F.array(F.lit(1.0), *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in numeric]), *hot)
+    scored = rows.join(relational.small(fitted), "fold_id", "left").withColumn("x", x)
+    logit = F.transform("weights", lambda w: F.aggregate(F.zip_with(w, F.col("x"), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v))
     scored = scored.withColumn("z", logit).withColumn("e", F.transform("z", lambda v: F.exp(v - F.array_max("z"))))
     total = F.aggregate("e", F.lit(0.0), lambda a, v: a + v)
-    del spark
-    return scored.withColumn("states", F.transform("e", lambda v: v / total)).drop("x", "w", "z", "e")
+    states = F.coalesce(F.transform("e", lambda v: v / total), F.array(*[F.lit(1.0 / len(STATES))] * len(STATES)))
+    return scored.withColumn("states", states).drop("x", "z", "e", "levels", "weights")
 
 
 def coherent_starts(df: DataFrame, team: list[str], key: str, p_start: str = "p_start") -> DataFrame:

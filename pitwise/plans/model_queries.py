@@ -219,11 +219,13 @@ def minutes_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minutes.hierarchical(train, test).select("fixture_key", *[c.alias(n) for n, c in minutes.summary_probabilities(F.col("states")).items()])
 
 
+SOFTMAX_NUMERIC = ["lag1_minutes_mean", "lag3_minutes_mean", "lag5_minutes_mean", "lag5_starts_mean", "prior_season_minutes"]
+
+
 @query()
 def softmax_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = _split(minutes_frame(spark, sf_dir))
-    numeric = ["lag1_minutes_mean", "lag3_minutes_mean", "lag5_minutes_mean", "lag5_starts_mean", "prior_season_minutes"]
-    made = minutes.softmax_states(train, test, numeric, ["position"], "fixture_key", "available_time")
+    made = minutes.softmax_states(train, test, SOFTMAX_NUMERIC, ["position"], "fixture_key", "available_time")
     return made.select("fixture_key", *[c.alias(n) for n, c in minutes.summary_probabilities(F.col("states")).items()])
 
 

@@ -113,3 +113,9 @@ def team_rates(fixtures: DataFrame, folds: DataFrame, recent: int = team.RECENT,
     rate = lambda role, side: shrunk_mean(F.col(f"_{role}_{side[0]}"), F.col(f"_{role}_n"), F.col(f"{side}_mean"), shrink)
     both = {f"expected_{side}_goals": (rate("home", side) + rate("away", side)) / 2 for side in ("home", "away")}
     return at.withColumns(both)
+
+
+def softmax(frame: DataFrame, folds: DataFrame, numeric: list[str], categorical: list[str], key: str = "fixture_key") -> DataFrame:
+    """M5 of every row, fitted on the latest rows that its fold knew: one small fit a fold."""
+    latest = pit.latest_before(frame.drop("fold_id"), folds, TIME, CUT, key, minutes.MAX_FIT_ROWS)
+    return minutes.softmax_scores(frame, minutes.softmax_fits(latest, numeric, categorical, key), numeric, categorical)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitwise.functions import scoring
-from pitwise.operators import written
+from pitwise.operators import pit, written
 
 from . import components, minutes, model_queries, rolling
 from .league import FIXTURE_SQL, fixtures
@@ -83,6 +83,21 @@ def minutes_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query(_FOLD_FRAME + f", k AS (SELECT fold_id, fixture_key, row_number() OVER (PARTITION BY fold_id ORDER BY available_time DESC, fixture_key DESC) AS i FROM train) SELECT fold_id, fixture_key FROM k WHERE i <= {minutes.MAX_FIT_ROWS}")
+def latest_rows_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that each fold's softmax is fitted on: the latest before its cutoff."""
+    rows, folds = frame(spark, sf_dir)
+    return pit.latest_before(rows.select("fixture_key", "available_time"), folds, "available_time", "information_cutoff", "fixture_key", minutes.MAX_FIT_ROWS).select("fold_id", "fixture_key")
+
+
+@query()
+def softmax_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5 of every row, fitted at the row's cutoff."""
+    rows, folds = frame(spark, sf_dir)
+    made = rolling.softmax(rows, folds, model_queries.SOFTMAX_NUMERIC, ["position"])
+    return made.select("fold_id", "fixture_key", *[c.alias(n) for n, c in minutes.summary_probabilities(F.col("states")).items()])
+
+
 # --------------------------------------------------------------------- components
 
 _RATES = [f"{e}_per90" for e in components.EVENTS]
