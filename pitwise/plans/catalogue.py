@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chain_queries, contract_queries, decision_queries, feature_queries, league, metric_queries, model_queries, rolling_queries, table_queries
+from . import chain_queries, contract_queries, decision_queries, distribution_queries, feature_queries, league, metric_queries, model_queries, rolling_queries, table_queries
 from .feature_queries import flagship
 
 __all__ = ["flagship", "oracle_sql", "queries"]
 
 #: name -> (query, SQL or None, double columns that are rounded on both sides)
 _ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None, list[str]]] = {}
-for _module in (table_queries, feature_queries, metric_queries, model_queries, decision_queries, contract_queries, chain_queries, rolling_queries):
+for _module in (table_queries, feature_queries, metric_queries, model_queries, decision_queries, contract_queries, chain_queries, rolling_queries, distribution_queries):
     _ALL.update(_module.QUERIES)
 
 
