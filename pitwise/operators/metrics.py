@@ -52,6 +52,14 @@ def with_average_rank(df: DataFrame, group: list[str], value: str, name: str) ->
     return ranks_below(df, group, value).withColumn(name, F.col("_below") + (F.col("_cell") + 1) / 2).drop("_below", "_cell", "_v", "_tie")
 
 
+def with_percent_rank(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with the average rank within the group over the group's size; nulls of ``value`` have none and are not counted."""
+    known = df.filter(F.col(value).isNotNull())
+    sizes = known.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = with_average_rank(known, group, value, name).join(relational.small(sizes), group).withColumn(name, F.col(name) / F.col("_n")).drop("_n")
+    return ranked.unionByName(df.filter(F.col(value).isNull()).withColumn(name, F.lit(None).cast("double")))
+
+
 def error_metrics(prediction: str, actual: str) -> dict[str, Column]:
     error = F.col(prediction) - F.col(actual)
     return {

@@ -199,3 +199,37 @@ def season_identity(fixtures: DataFrame, season: str, teams: int = 20, events: i
     window = F.year("first").isin(start, start + 1) & F.year("last").isin(start, start + 1)
     counts = (F.col("teams") == teams) & (F.col("events") == events) & (F.col("matches") == matches)
     return row.select(told.alias("inferred_season"), "teams", "events", "matches", (told == season).alias("season_ok"), window.alias("window_ok"), counts.alias("counts_ok"))
+
+
+def first_reason(reasons: dict[str, Column]) -> Column:
+    """The name of the first reason that holds (null counts as no), in the order given; null where none does."""
+    out = None
+    for name, test in reasons.items():
+        test = F.coalesce(test, F.lit(False))
+        out = F.when(test, name) if out is None else out.when(test, name)
+    return out
+
+
+def exclusion_reason(df: DataFrame) -> Column:
+    """Why a current player is left out of the selectable ones: removed, not selectable, no player; null: kept.
+
+    A column that the table lacks excludes no one; an unknown ``can_select`` or ``removed`` neither.
+    """
+    tests = {
+        "official_removed_true": ("removed", lambda c: c),
+        "official_can_select_false": ("can_select", lambda c: ~c),
+        "non_player_entity": ("entity_type", lambda c: ~c.eqNullSafe(F.lit("player"))),
+    }
+    return first_reason({name: test(F.col(c)) for name, (c, test) in tests.items() if c in df.columns} or {"none": F.lit(False)})
+
+
+def valid_forecast(position: tuple[str, ...] = ("GKP", "DEF", "MID", "FWD")) -> Column:
+    """Whether a projection row, its values perhaps text, may be shown: names are there, numbers are finite and within bounds."""
+    number = lambda n: F.expr(f"try_cast(`{n}` as double)")
+    within = lambda x, low, high=float("inf"): x.isNotNull() & ~F.isnan(x) & (x >= low) & (x <= high) & (x < float("inf"))
+    named = lambda n: F.length(F.trim(F.coalesce(F.col(n).cast("string"), F.lit("")))) > 0
+    price, plays = number("price_tenths"), number("p_appearance")
+    tests = [named("player_uid"), named("player"), named("team"), F.col("position").isin(*position), within(price, 0.5) & (price == F.floor(price))]
+    tests += [within(number("expected_points"), 0.0), within(number("expected_minutes"), 0.0, 90.0), within(plays, 0.0, 1.0), within(number("prob_points_ge_5"), 0.0, 1.0)]
+    tests += [within(number("p_start"), 0.0) & (number("p_start") <= plays)]
+    return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))

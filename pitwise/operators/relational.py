@@ -135,3 +135,8 @@ def still_the_same(saved: DataFrame, current: DataFrame, key: list[str], identit
     now = current.select(*key, F.struct(*identity).alias("_now"))
     same = F.col("_now").isNotNull() & F.struct(*identity).eqNullSafe(F.col("_now"))
     return saved.join(now, key, "left").withColumn("valid", same).drop("_now")
+
+
+def unstacked(df: DataFrame, by: list[str], name: str, values: list[str], default: int = 0) -> DataFrame:
+    """(by, {value}_rows ...): rows of each value side by side; values that a group lacks get the default."""
+    return df.groupBy(*by).agg(*[F.coalesce(F.count_if(F.col(name) == v), F.lit(default)).alias(f"{v}_rows") for v in values])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitwise.functions import temporal, text
-from pitwise.operators import metrics, quality, relational
+from pitwise.operators import metrics, quality, relational, written
 
 from . import decisions, features
 from .decision_queries import POOL_SQL, pool
@@ -199,13 +199,117 @@ def squad_local_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.local_search(pool(spark, sf_dir).drop("player_name"), ["block"])
 
 
-@query()
-def transfer_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five best sets of up to three transfers of each block's squad, the first players of each position."""
-    df = pool(spark, sf_dir).drop("player_name")
-    quota = {p: q for p, q in zip(decisions.POSITIONS, decisions.RULES.quota, strict=True)}
+_QUOTA = dict(zip(decisions.POSITIONS, decisions.RULES.quota, strict=True))
+_TAKEN = "CASE position " + " ".join(f"WHEN '{p}' THEN {q}" for p, q in _QUOTA.items()) + " END"
+#: Squads of the cheapest players, and each one's six best replacements for a bank of 20.
+_OPTIONS_SQL = (
+    POOL_SQL.replace("WITH pool AS (", "WITH pool0 AS (") + ", pool AS (SELECT * REPLACE (round(expected_points, 9) AS expected_points) FROM pool0)"
+    + f", squad AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY block, position ORDER BY price_tenths, player_uid) AS k FROM pool) WHERE k <= {_TAKEN})"
+    + ", option AS (SELECT * FROM (SELECT o.block, o.player_uid AS out_uid, o.club AS out_club, o.price_tenths - i.price_tenths AS saved, i.player_uid AS in_uid, i.club AS in_club, i.expected_points - o.expected_points AS gain,"
+    + " row_number() OVER (PARTITION BY o.block, o.player_uid ORDER BY i.expected_points - o.expected_points DESC, i.player_uid) AS k FROM squad o JOIN pool i ON i.block = o.block AND i.position = o.position AND i.price_tenths <= o.price_tenths + 20 AND i.player_uid NOT IN (SELECT player_uid FROM squad)) WHERE k <= 6)"
+)
+_SETS_SQL = (
+    _OPTIONS_SQL
+    + ", s0 AS (SELECT DISTINCT block, CAST(NULL AS BIGINT) AS last, CAST(0 AS DOUBLE) AS gain, CAST(20 AS BIGINT) AS bank, CAST([] AS STRUCT(o BIGINT, i BIGINT)[]) AS moves, CAST([] AS VARCHAR[]) AS gone, CAST([] AS VARCHAR[]) AS come FROM squad)"
+    + "".join(f", s{n + 1} AS (SELECT s.block, out_uid AS last, s.gain + o.gain AS gain, bank + saved AS bank, list_append(moves, {{'o': out_uid, 'i': in_uid}}) AS moves, list_append(gone, out_club) AS gone, list_append(come, in_club) AS come FROM s{n} s JOIN option o ON o.block = s.block AND (last IS NULL OR out_uid > last) AND NOT list_contains(list_transform(moves, lambda m: m.i), in_uid))" for n in range(3))
+    + ", every AS (SELECT row_number() OVER () AS id, * FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3) WHERE bank >= 0)"
+    + ", own AS (SELECT block, club, count(*) AS n FROM squad GROUP BY ALL)"
+    + ", change AS (SELECT id, block, club, sum(n) AS n FROM (SELECT id, block, unnest(gone) AS club, -1 AS n FROM every UNION ALL SELECT id, block, unnest(come), 1 FROM every) GROUP BY ALL)"
+    + ", crowded AS (SELECT id FROM change c LEFT JOIN own o USING (block, club) WHERE coalesce(o.n, 0) + c.n > 3 UNION SELECT e.id FROM every e JOIN own o ON o.block = e.block AND o.n > 3 LEFT JOIN change c ON c.id = e.id AND c.club = o.club WHERE o.n + coalesce(c.n, 0) > 3)"
+    + ", legal AS (SELECT *, round(gain, 9) AS g FROM every WHERE id NOT IN (SELECT id FROM crowded))"
+)
+
+
+def cheapest_squads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(squads, pool): the cheapest players of each position up to its quota, in each block."""
+    df = pool(spark, sf_dir).drop("player_name").withColumn("expected_points", F.round("expected_points", 9))
     squad = None
-    for p, q in quota.items():
+    for p, q in _QUOTA.items():
         part = relational.top_per_group(df.filter(F.col("position") == p), ["block"], [F.asc("price_tenths"), F.asc("player_uid")], q).select(*df.columns)
         squad = part if squad is None else squad.unionByName(part)
+    return written.once(squad, "squads"), df
+
+
+@query(_SETS_SQL + " SELECT block, CAST(k AS INTEGER) AS rank, g AS gain, array_to_string(list_transform(moves, lambda m: m.o || '>' || m.i), '; ') AS moves FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY g DESC, moves) AS k FROM legal) WHERE k <= 5", ["gain"])
+def transfer_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all legal sets of up to three transfers of each block's squad."""
+    squad, df = cheapest_squads(spark, sf_dir)
     return decisions.transfer_sets(squad, df, ["block"], bank=20)
+
+
+@query(_SETS_SQL + " SELECT block, CAST(len(moves) AS INTEGER) AS transfers, CAST(count(*) AS BIGINT) AS sets, max(g) AS best, max(bank) AS most_left FROM legal GROUP BY ALL", ["best"])
+def transfer_set_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many legal sets of each size there are, the best gain and the most money left."""
+    squad, df = cheapest_squads(spark, sf_dir)
+    legal = decisions.legal_transfer_sets(squad, decisions.transfer_options(squad, df, ["block"], 20), ["block"], 20)
+    return legal.groupBy("block", F.size("moves").alias("transfers")).agg(F.count(F.lit(1)).alias("sets"), F.max(F.round("gain", 9)).alias("best"), F.max("bank").alias("most_left"))
+
+
+# ------------------------------------------------------- populations and what is shown
+
+#: Current players from ``part``: kind of entity and flags, some of them unknown.
+_CURRENT = {"player_uid": "p_partkey", "entity_type": "CASE WHEN p_size % 9 = 0 THEN 'manager' WHEN p_size % 31 = 0 THEN NULL ELSE 'player' END", "can_select": "CASE p_partkey % 7 WHEN 0 THEN false WHEN 1 THEN NULL ELSE true END", "removed": "CASE p_partkey % 11 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END"}
+
+
+@query("SELECT player_uid, CASE WHEN coalesce(removed, false) THEN 'official_removed_true' WHEN NOT coalesce(can_select, true) THEN 'official_can_select_false' WHEN entity_type IS NULL OR entity_type <> 'player' THEN 'non_player_entity' END AS exclusion_reason FROM (SELECT " + ", ".join(f"{v} AS {k}" for k, v in _CURRENT.items()) + " FROM part)")
+def exclusion_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every current player with the reason, if any, for which the player can't be selected."""
+    df = table(spark, sf_dir, "part").selectExpr(*[f"{v} AS {k}" for k, v in _CURRENT.items()])
+    return df.select("player_uid", quality.exclusion_reason(df).alias("exclusion_reason"))
+
+
+#: Projection rows as text, with values that are missing, out of bounds or no numbers. One text for Spark and DuckDB.
+_FORECAST = {
+    "player_uid": "CASE WHEN p_partkey % 41 = 0 THEN '  ' ELSE CAST(p_partkey AS {t}) END", "player": "p_name", "team": "CASE WHEN p_partkey % 37 = 0 THEN NULL ELSE p_brand END",
+    "position": "CASE p_partkey % 5 WHEN 0 THEN 'GKP' WHEN 1 THEN 'DEF' WHEN 2 THEN 'MID' WHEN 3 THEN 'FWD' ELSE 'AM' END",
+    "price_tenths": "CASE WHEN p_partkey % 13 = 0 THEN '45.5' WHEN p_partkey % 17 = 0 THEN 'n/a' ELSE CAST(40 + p_size AS {t}) END", "expected_points": "CASE WHEN p_partkey % 19 = 0 THEN '-0.5' WHEN p_partkey % 23 = 0 THEN 'NaN' ELSE CAST(p_size / 8.0 AS {t}) END",
+    "expected_minutes": "CASE WHEN p_partkey % 29 = 0 THEN '95' ELSE CAST(p_size AS {t}) END", "p_appearance": "CASE WHEN p_partkey % 31 = 0 THEN 'Infinity' ELSE '0.75' END", "p_start": "CASE WHEN p_partkey % 7 = 0 THEN '0.8' ELSE '0.5' END", "prob_points_ge_5": "'0.25'",
+}
+_IN = "TRY_CAST({0} AS DOUBLE) IS NOT NULL AND NOT isnan(TRY_CAST({0} AS DOUBLE)) AND TRY_CAST({0} AS DOUBLE) BETWEEN {1} AND {2}".format
+
+
+@query(
+    "SELECT p_partkey, coalesce(trim(coalesce(player_uid, '')) <> '' AND trim(coalesce(player, '')) <> '' AND trim(coalesce(team, '')) <> '' AND position IN ('GKP', 'DEF', 'MID', 'FWD') AND "
+    + " AND ".join([_IN("price_tenths", 0.5, 1e300), "TRY_CAST(price_tenths AS DOUBLE) = floor(TRY_CAST(price_tenths AS DOUBLE))", _IN("expected_points", 0, 1e300), _IN("expected_minutes", 0, 90), _IN("p_appearance", 0, 1), _IN("prob_points_ge_5", 0, 1), _IN("p_start", 0, 1e300), "TRY_CAST(p_start AS DOUBLE) <= TRY_CAST(p_appearance AS DOUBLE)"])
+    + ", false) AS valid FROM (SELECT p_partkey, " + ", ".join(f"{v.format(t='VARCHAR')} AS {k}" for k, v in _FORECAST.items()) + " FROM part)"
+)
+def valid_forecast_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which projection rows may be shown."""
+    df = table(spark, sf_dir, "part").selectExpr("p_partkey", *[f"{v.format(t='STRING')} AS {k}" for k, v in _FORECAST.items()])
+    return df.select("p_partkey", quality.valid_forecast().alias("valid"))
+
+
+@query(POOL_SQL + " SELECT player_uid, (rank() OVER w + (count(*) OVER (PARTITION BY block, position, p_appearance) - 1) / 2.0) / count(*) OVER (PARTITION BY block, position) AS share FROM pool WINDOW w AS (PARTITION BY block, position ORDER BY p_appearance)", ["share"])
+def percent_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The average rank of each player's chance to play within block and position, over their number."""
+    return metrics.with_percent_rank(pool(spark, sf_dir), ["block", "position"], "p_appearance", "share").select("player_uid", "share")
+
+
+_POPULATIONS = ["history_active", "cold_start"]
+
+
+@query(FEATURES_SQL + ", seen AS (SELECT season, CASE WHEN player_source_time IS NOT NULL THEN 'history_active' WHEN prior_season_minutes IS NULL THEN 'cold_start' ELSE 'other' END AS population FROM feature WHERE gameweek % 7 = 1), c AS (SELECT season, CAST(count(*) AS BIGINT) AS player_fixture_rows, CAST(count(DISTINCT player_uid) AS BIGINT) AS unique_players FROM panel GROUP BY 1), u AS (SELECT season, " + ", ".join(f"CAST(count(*) FILTER (population = '{p}') AS BIGINT) AS {p}_rows" for p in _POPULATIONS) + " FROM seen GROUP BY 1) SELECT c.*, " + ", ".join(f"coalesce({p}_rows, 0) AS {p}_rows" for p in _POPULATIONS) + " FROM c LEFT JOIN u USING (season)")
+def coverage_with_populations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and players of each season beside the populations of its first blocks, 0 where a season has none."""
+    rows = panel(spark, sf_dir)
+    kind = F.when(F.col("player_source_time").isNotNull(), "history_active").when(F.col("prior_season_minutes").isNull(), "cold_start").otherwise("other")
+    seen = features.player_features(rows).filter("gameweek % 7 = 1").select("season", kind.alias("population"))
+    counts = rows.groupBy("season").agg(F.count(F.lit(1)).alias("player_fixture_rows"), F.countDistinct("player_uid").alias("unique_players"))
+    found = relational.unstacked(seen, ["season"], "population", _POPULATIONS)
+    return counts.join(relational.small(found), "season", "left").na.fill(0, [f"{p}_rows" for p in _POPULATIONS])
+
+
+_SHEET_SQL = ", sheet AS (SELECT block, player_uid, CASE WHEN k = 1 THEN 'captain' WHEN k = 2 THEN 'vice_captain' WHEN k % 7 = 5 THEN 'squad' ELSE 'starter' END AS selected_role, CASE WHEN k > 11 THEN k - 11 WHEN k % 7 = 5 THEN NULL ELSE 0 END AS bench_order FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY expected_points DESC, player_uid) AS k FROM squad))"
+
+
+@query(_OPTIONS_SQL + _SHEET_SQL + " SELECT block, player_uid, on_bench, CAST(row_number() OVER (PARTITION BY block ORDER BY on_bench, CASE WHEN on_bench THEN bench_order END NULLS FIRST, player_uid) AS INTEGER) AS shown_at, label FROM (SELECT *, coalesce(bench_order > 0, false) OR selected_role = 'squad' AS on_bench, CASE WHEN bench_order = 1 THEN 'Bench goalkeeper' WHEN bench_order > 1 THEN 'Bench ' || (bench_order - 1) WHEN selected_role = 'captain' THEN 'Captain' WHEN selected_role = 'vice_captain' THEN 'Vice captain' ELSE 'Starter' END AS label FROM sheet)")
+def squad_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each block's squad as it is shown: starters, then the bench in order, with labels."""
+    from pyspark.sql import Window
+
+    squad, _ = cheapest_squads(spark, sf_dir)
+    k = F.row_number().over(Window.partitionBy("block").orderBy(F.desc("expected_points"), "player_uid"))
+    role = F.when(F.col("k") == 1, "captain").when(F.col("k") == 2, "vice_captain").when(F.col("k") % 7 == 5, "squad").otherwise("starter")
+    order = F.when(F.col("k") > 11, F.col("k") - 11).when(F.col("k") % 7 != 5, 0)
+    rows = squad.withColumn("k", k).select("block", "player_uid", role.alias("selected_role"), order.alias("bench_order"))
+    return decisions.squad_sheet(rows, ["block"]).select("block", "player_uid", "on_bench", "shown_at", "label")

@@ -56,17 +56,11 @@ def value_finder_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.finder(pool(spark, sf_dir), F.lit(60)).select("player_uid", "price_tenths", "expected_points", "points_per_million")
 
 
-@query(POOL_SQL + " SELECT player_uid, expected_points FROM pool WHERE position = 'MID' AND price_tenths BETWEEN 50 AND 80 AND contains(lower(concat_ws(' ', player_name, club)), 're') ORDER BY expected_points DESC, player_uid LIMIT 10 OFFSET 10", ["expected_points"])
+@query(POOL_SQL + ", found AS (SELECT player_uid, expected_points, row_number() OVER (ORDER BY expected_points DESC, player_uid) AS k, count(*) OVER () AS n FROM pool WHERE position = 'MID' AND price_tenths BETWEEN 50 AND 80 AND contains(lower(concat_ws(' ', player_name, club)), 're')) SELECT player_uid, expected_points FROM found WHERE (k + 9) // 10 = least(2, (n + 9) // 10)", ["expected_points"])
 def paginated_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second page of a filtered, sorted projection table."""
+    """The second page of a filtered, sorted projection table; the last one where there is no second."""
     df = pool(spark, sf_dir).filter((F.col("position") == "MID") & F.col("price_tenths").between(50, 80) & text.contains_text("RE", F.col("player_name"), F.col("club")))
-    return relational.page(df.select("player_uid", "expected_points"), [F.desc("expected_points"), F.col("player_uid")], 2, 10, total=1000)
-
-
-@query(POOL_SQL + ", c AS (SELECT block, CASE WHEN player_uid % 3 = 0 THEN 'A' ELSE 'B' END AS model, player_uid, position, club, price_tenths FROM pool WHERE player_uid < 300), n AS (SELECT block, model, club, count(*) AS k FROM c GROUP BY ALL), m AS (SELECT block, model, max(k) AS most_of_a_club FROM n GROUP BY ALL), s AS (SELECT block, model, count(*) FILTER (position = 'GKP') = 2 AND count(*) FILTER (position = 'DEF') = 5 AND count(*) FILTER (position = 'MID') = 5 AND count(*) FILTER (position = 'FWD') = 3 AS quota_ok, CAST(sum(price_tenths) AS BIGINT) AS cost, CAST(count(*) AS BIGINT) AS players FROM c GROUP BY ALL) SELECT block, model, quota_ok, cost, players, most_of_a_club, cost <= 1000 AS budget_ok, most_of_a_club <= 3 AS clubs_ok FROM s JOIN m USING (block, model)")
-def constraint_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = pool(spark, sf_dir).filter("player_uid < 300").withColumn("model", F.when(F.col("player_uid") % 3 == 0, "A").otherwise("B"))
-    return decisions.audit(df.select("block", "model", "player_uid", "position", "club", "price_tenths"))
+    return relational.page(df.select("player_uid", "expected_points"), [F.desc("expected_points"), F.col("player_uid")], 2, 10)
 
 
 @query(POOL_SQL + ", c AS (SELECT block, CAST(player_uid // 75 AS BIGINT) AS squad, player_uid, position, club, price_tenths FROM pool), n AS (SELECT block, squad, club, count(*) AS k FROM c GROUP BY ALL), m AS (SELECT block, squad, max(k) AS most_of_a_club FROM n GROUP BY ALL), s AS (SELECT block, squad, count(*) FILTER (position = 'GKP') = 2 AND count(*) FILTER (position = 'DEF') = 5 AND count(*) FILTER (position = 'MID') = 5 AND count(*) FILTER (position = 'FWD') = 3 AS quota_ok, CAST(sum(price_tenths) AS BIGINT) AS cost, CAST(count(*) AS BIGINT) AS players FROM c GROUP BY ALL) SELECT block, squad, quota_ok, cost, players, most_of_a_club, cost <= 1000 AS budget_ok, most_of_a_club <= 3 AS clubs_ok FROM s JOIN m USING (block, squad)")

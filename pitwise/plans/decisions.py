@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations, permutations
 
 import numpy as np
@@ -77,6 +77,20 @@ def finder(df: DataFrame, budget: Column, k: int = 5, baseline: Column | None =
     return found.orderBy(*keys).limit(k)
 
 
+def role_label(role: str = "selected_role", order: str = "bench_order") -> Column:
+    """What a squad row is shown as: its place on the bench, else captain, vice captain or starter."""
+    place = F.col(order).cast("int")
+    bench = F.when(place == 1, "Bench goalkeeper").otherwise(F.concat(F.lit("Bench "), (place - 1).cast("string")))
+    return F.when(F.coalesce(place > 0, F.lit(False)), bench).when(F.col(role) == "captain", "Captain").when(F.col(role) == "vice_captain", "Vice captain").otherwise("Starter")
+
+
+def squad_sheet(df: DataFrame, block: list[str]) -> DataFrame:
+    """Squad rows with ``on_bench``, ``shown_at`` (starters first, then the bench in order) and ``label``."""
+    bench = F.coalesce(F.col("bench_order") > 0, F.lit(False)) | F.coalesce(F.col("selected_role") == "squad", F.lit(False))
+    order = Window.partitionBy(*block).orderBy("on_bench", F.when(F.col("on_bench"), F.col("bench_order")), "player_uid")  # a squad
+    return df.withColumn("on_bench", bench).withColumns({"shown_at": F.row_number().over(order), "label": role_label()})
+
+
 def sorted_projection(df: DataFrame, ascending: bool = False) -> DataFrame:
     """By expected points, either way; ids break ties."""
     points = F.col("expected_points")
@@ -539,49 +553,51 @@ def _as_fields(ddl: str) -> str:
     return ", ".join(c.replace(" ", ": ", 1) for c in ddl.split(", "))
 
 
-def combine_transfers(options: pd.DataFrame, clubs: dict[str, int], bank: int, most: int, width: int = 120, rules: SquadRules = RULES) -> list[dict]:
-    """Sets of up to ``most`` transfers by gain, kept legal together: a beam over the outgoing players.
-
-    ``options`` has (out_uid, out_price, out_club, in_uid, in_price, in_club, gain). A state of the
-    beam is what was decided for the outgoing players so far; the ``width`` states of highest gain
-    go on. Equal gains are told apart by the ids.
-    """
-    states = [(0.0, bank, (), tuple(sorted(clubs.items())))]
-    for _, group in options.sort_values(["out_uid", "in_uid"]).groupby("out_uid", sort=True):
-        grown = list(states)
-        for gain, money, moves, held in states:
-            if len(moves) >= most:
-                continue
-            for o in group.itertuples(index=False):
-                counts = dict(held)
-                counts[o.out_club] = counts.get(o.out_club, 0) - 1
-                counts[o.in_club] = counts.get(o.in_club, 0) + 1
-                if o.in_uid not in {m[1] for m in moves}:
-                    grown.append((gain + o.gain, money + int(o.out_price) - int(o.in_price), (*moves, (o.out_uid, o.in_uid)), tuple(sorted(counts.items()))))
-        states = sorted(grown, key=lambda t: (-round(t[0], 9), t[2]))[:width]
-    legal = [t for t in states if t[1] >= 0 and all(n <= rules.per_club for _, n in t[3])]
-    return [{"gain": g, "bank": m, "moves": list(v)} for g, m, v, _ in legal]
-
-
-def transfer_sets(squad: DataFrame, pool: DataFrame, block: list[str], bank: int, most: int = 3, per_player: int = 6, width: int = 120, keep: int = 5, rules: SquadRules = RULES) -> DataFrame:
-    """(block, rank, gain, moves): the best sets of transfers of each block.
-
-    Spark finds each owned player's ``per_player`` best replacements, so a block's beam gets at
-    most squad times ``per_player`` rows whatever the pool's size.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in pool.schema if f.name in block}
+def transfer_options(squad: DataFrame, pool: DataFrame, block: list[str], bank: int, per_player: int = 6) -> DataFrame:
+    """(block, out_uid, out_price, out_club, in_uid, in_price, in_club, gain): each owned player's best affordable replacements."""
     options = swap_options(squad, pool, block, F.lit(bank), per_player)
     club = lambda df, uid, name: df.select(*block, F.col("player_uid").alias(uid), F.col("club").alias(name))
     options = options.join(club(pool, "in_uid", "in_club"), [*block, "in_uid"]).join(club(squad, "out_uid", "out_club"), [*block, "out_uid"])
-    options = options.select(*block, "out_uid", "out_price", "out_club", "in_uid", F.col("price_tenths").alias("in_price"), "in_club", "gain")
-    owned = squad.select(*block, F.col("club").alias("own_club")).groupBy(*block).agg(F.collect_list("own_club").alias("own_clubs"))
+    return options.select(*block, "out_uid", "out_price", "out_club", "in_uid", F.col("price_tenths").alias("in_price"), "in_club", "gain")
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        clubs = rows.own_clubs.iloc[0]
-        counts = {c: list(clubs).count(c) for c in set(clubs)}
-        found = combine_transfers(rows, counts, bank, most, width, rules)[:keep]
-        made = [{**dict(zip(block, key, strict=True)), "rank": i + 1, "gain": f["gain"], "moves": "; ".join(f"{o}>{n}" for o, n in f["moves"])} for i, f in enumerate(found)]
-        return pd.DataFrame(made, columns=[*block, "rank", "gain", "moves"])
 
-    keys = ", ".join(f"{b} {kinds[b]}" for b in block)
-    return options.join(owned, block).groupBy(*block).applyInPandas(run, f"{keys}, rank int, gain double, moves string")
+def legal_transfer_sets(squad: DataFrame, options: DataFrame, block: list[str], bank: int, most: int = 3, rules: SquadRules = RULES) -> DataFrame:
+    """(block, gain, bank, moves) of every legal set of up to ``most`` transfers, none included; ``moves`` in the order of who leaves.
+
+    Sets grow by one transfer a step, joined with the options of players who come later, so each set
+    is made once. Nothing is cut off on the way: a set that breaks a rule may be mended by a later
+    transfer, and rules are asked of whole sets. A block has a squad's options only, 15 times
+    the replacements of a player, however large its pool is. A transfer may bring no one twice.
+    """
+    own = squad.groupBy(*block).agg(F.collect_list("club").alias("_clubs"))
+    kinds = {c: options.schema[c].dataType.simpleString() for c in ("out_uid", "in_uid", "out_club")}
+    state = {"_last": f"cast(null as {kinds['out_uid']})", "moves": f"cast(array() as array<struct<o:{kinds['out_uid']},i:{kinds['in_uid']}>>)", "_gone": f"cast(array() as array<{kinds['out_club']}>)", "_come": f"cast(array() as array<{kinds['out_club']}>)", "gain": "0D", "bank": f"cast({bank} as bigint)"}
+    sets = own.select(*block, "_clubs", *[F.expr(e).alias(n) for n, e in state.items()])
+    every, step = sets, sets
+    side = options.select(*[F.col(b).alias(f"_b{i}") for i, b in enumerate(block)], "out_uid", "out_price", "out_club", "in_uid", "in_price", "in_club", F.col("gain").alias("_g"))
+    for _ in range(most):
+        later = F.col("_last").isNull() | (F.col("out_uid") > F.col("_last"))
+        fresh = ~F.exists("moves", lambda m: m["i"] == F.col("in_uid"))
+        same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_b{i}")) for i, b in enumerate(block)])
+        step = step.join(side, same & later & fresh).select(
+            *block, "_clubs", F.col("out_uid").alias("_last"), F.array_append("moves", F.struct(F.col("out_uid").alias("o"), F.col("in_uid").alias("i"))).alias("moves"),
+            F.array_append("_gone", F.col("out_club")).alias("_gone"), F.array_append("_come", F.col("in_club")).alias("_come"),
+            (F.col("gain") + F.col("_g")).alias("gain"), (F.col("bank") + F.col("out_price") - F.col("in_price")).alias("bank"),
+        )
+        every = every.unionByName(step)
+    number = lambda clubs, c: F.size(F.filter(clubs, lambda x: x == c))
+    held = lambda c: number(F.col("_clubs"), c) - number(F.col("_gone"), c) + number(F.col("_come"), c)
+    clubs_ok = F.forall(F.array_distinct(F.concat("_clubs", "_come")), lambda c: held(c) <= rules.per_club)
+    return every.filter((F.col("bank") >= 0) & clubs_ok).select(*block, "gain", "bank", "moves")
+
+
+def transfer_sets(squad: DataFrame, pool: DataFrame, block: list[str], bank: int, most: int = 3, per_player: int = 6, keep: int = 5, rules: SquadRules = RULES) -> DataFrame:
+    """(block, rank, gain, moves): the best of all legal sets of up to ``most`` transfers of each block.
+
+    Each owned player has the ``per_player`` best affordable replacements to choose from. Equal gains
+    are told apart by the ids, in order.
+    """
+    legal = legal_transfer_sets(squad, transfer_options(squad, pool, block, bank, per_player), block, bank, most, rules)
+    best = relational.top_per_group(legal.withColumn("gain", F.round("gain", 9)), block, [F.desc("gain"), F.col("moves")], keep)
+    told = F.array_join(F.transform("moves", lambda m: F.concat(m["o"].cast("string"), F.lit(">"), m["i"].cast("string"))), "; ")
+    return best.select(*block, "rank", "gain", told.alias("moves"))

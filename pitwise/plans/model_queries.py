@@ -75,12 +75,6 @@ def promoted_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return team.newcomer_prior(df)
 
 
-@query(FIXTURE_SQL + _FOLDS + f" SELECT f.fold_id, home_team_uid, away_team_uid, sum({_W}) * pow(0.5, (epoch_us(max(f.c)) - 788918400000000) / 86400e6 / 365.0) AS w, sum({_W} * home_goals) * pow(0.5, (epoch_us(max(f.c)) - 788918400000000) / 86400e6 / 365.0) AS wh FROM f JOIN fixture x ON x.available_time < f.c WHERE f.fold_id LIKE '2001%' GROUP BY ALL", ["w", "wh"])
-def weighted_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fixtures(spark, sf_dir)
-    return team.pair_counts(df, _folds(df, ["2001-02"])).select("fold_id", "home_team_uid", "away_team_uid", "w", "wh")
-
-
 @query(FIXTURE_SQL + _FOLDS + f" SELECT f.fold_id, home_team_uid, away_team_uid, sum({_W}) * pow(0.5, (epoch_us(max(f.c)) - 788918400000000) / 86400e6 / 365.0) AS w, sum({_W} * home_goals) * pow(0.5, (epoch_us(max(f.c)) - 788918400000000) / 86400e6 / 365.0) AS wh FROM f JOIN fixture x ON x.available_time < f.c GROUP BY ALL", ["w", "wh"])
 def weighted_pair_counts_all_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts that the goal models are fitted from, in every fold."""

@@ -167,12 +167,6 @@ def set_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_custkey").intersect(chosen)
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
-def players_without_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").select("c_custkey").join(orders, "c_custkey", "left_anti")
-
-
 @query("SELECT user_id, CAST(extract(hour FROM ts) AS INTEGER) AS h, CAST(sum(k) AS BIGINT) AS total FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events) GROUP BY 1, 2")
 def json_field_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events").select("user_id", F.hour("ts").alias("h"), F.from_json("props", "k long")["k"].alias("k"))

@@ -96,7 +96,7 @@ def test_best_realised_lineup_is_no_worse_than_the_nominal_one():
     assert best["objective"] == pytest.approx(decisions.expected_realised(squad, best)["total"])
 
 
-def test_combined_transfers_against_all_sets():
+def test_combined_transfers_against_all_sets(spark):
     rng = np.random.default_rng(8)
     rows = [(o, int(rng.integers(40, 60)), str(o % 3), 100 + int(rng.integers(0, 6)), int(rng.integers(40, 65)), str(rng.integers(0, 4)), float(rng.integers(-2, 9))) for o in range(4) for _ in range(3)]
     options = pd.DataFrame(rows, columns=["out_uid", "out_price", "out_club", "in_uid", "in_price", "in_club", "gain"]).drop_duplicates(["out_uid", "in_uid"])
@@ -111,9 +111,10 @@ def test_combined_transfers_against_all_sets():
             held[m.in_club] = held.get(m.in_club, 0) + 1
         if len(moves) <= 2 and len({m.in_uid for m in moves}) == len(moves) and max(held.values()) <= 3 and 15 + sum(m.out_price - m.in_price for m in moves) >= 0:
             want.append((round(sum(m.gain for m in moves), 9), [(m.out_uid, m.in_uid) for m in moves]))
-    found = decisions.combine_transfers(options, clubs, 15, 2, width=10_000)
-    assert sorted((round(f["gain"], 9), f["moves"]) for f in found) == sorted(want) and len(want) > 5
-    assert decisions.combine_transfers(options, clubs, 15, 2, width=60)[0]["gain"] == pytest.approx(max(w[0] for w in want))
+    squad = spark.createDataFrame([(7, c) for c, n in clubs.items() for _ in range(n)], "block long, club string")
+    given = spark.createDataFrame(options.assign(block=7)[["block", *options.columns]])
+    found = [(round(r.gain, 9), [tuple(m) for m in r.moves]) for r in decisions.legal_transfer_sets(squad, given, ["block"], 15, 2).collect()]
+    assert sorted(found) == sorted(want) and len(want) > 5
 
 
 def test_local_search_gains(spark):
