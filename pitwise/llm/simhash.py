@@ -40,7 +40,9 @@ LEAST_SPLIT, MOST_SPLIT_KEYS = 256, 10_000
 #: Sample fingerprints of a text, and shingles of a sample.
 SAMPLES, SAMPLE = 8, 3
 #: Texts of one key that are compared each with each; likeness to a leader from which a text is no leader itself.
-FEW, VERY = 64, 0.85
+FEW, VERY = 12, 0.85
+#: Leaders that a new leader is linked to.
+NEAREST = 8
 #: Sketches estimate likeness to 0.05 or so; that much below the bound and two more are looked at.
 SLACK = 0.15
 
@@ -385,8 +387,10 @@ def alike(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
 def likely_links(ids: np.ndarray, sketches: np.ndarray, least: float) -> tuple[list[int], list[int]]:
     """Pairs of one key that seem at least ``least`` alike; ids rise.
 
-    A few are compared each with each. Of many, each is compared with the leaders before it, and is a
-    leader itself where none is very like it; so work grows with rows times leaders.
+    A few are compared each with each. Of many, each is compared with the leaders before it: it is
+    linked to the one most like it where that is very like it, else it is a leader itself, linked to
+    those most like it among those that seem alike, which is enough to connect what is connected. So
+    links grow with the rows, and comparisons with rows times leaders.
     """
     u, v = [], []
     if len(ids) <= FEW:
@@ -398,10 +402,12 @@ def likely_links(ids: np.ndarray, sketches: np.ndarray, least: float) -> tuple[l
     leaders = [0]
     for i in range(1, len(ids)):
         near = alike(sketches[leaders], sketches[i])
-        hit = np.flatnonzero(near >= least)
+        best = int(near.argmax())
+        hit = np.array([best]) if near[best] >= VERY else np.argsort(-near, kind="stable")[:NEAREST]
+        hit = hit[near[hit] >= least]
         u += ids[np.array(leaders)[hit]].tolist()
         v += [int(ids[i])] * len(hit)
-        if near.max() < VERY:
+        if near[best] < VERY:
             leaders.append(i)
     return u, v
 
