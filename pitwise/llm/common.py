@@ -87,6 +87,11 @@ def text_list(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
 
 
+def decoded(raw: bytes) -> str:
+    """The text of UTF-8 bytes; what is not valid becomes U+FFFD."""
+    return raw.decode("utf-8", "replace")
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that each holds about ``limit`` bytes of ``text`` at most, or one row."""
     for batch in batches:

@@ -172,12 +172,12 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
     The next document is that of the next larger id (of any type that can be ordered); after the
-    last comes the first. Null texts count as empty; null ids come first; rows with one id follow
+    last comes the first. Null texts count as empty, bytes that are not valid UTF-8 as U+FFFD; null ids come first; rows with one id follow
     each other by a hash of the text; a single document is its own successor. Texts are dealt out
     once, by ranges of ids.
     """
     kind = docs.schema[doc_id].dataType
-    body = F.coalesce(field(docs, text).cast("string"), F.lit(""))
+    body = F.coalesce(F.make_valid_utf8(field(docs, text).cast("string")), F.lit(""))
     rows = docs.select(field(docs, doc_id).alias("doc_id"), F.xxhash64(body).alias("tag"), body.alias("text"))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     schema = columns_of(doc_id=kind, n_chars="bigint", edited_sha256="string", fingerprint="string", edited_fingerprint="string", near_edited="double", near_next="double")

@@ -167,14 +167,15 @@ def scan_windows(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     ``spans`` holds start and end (exclusive) word positions in turn, ``items`` the ids (as text)
     of the benchmark items with occurring windows. The set is broadcast in blocks of at most
     ``max_set_bytes`` of item texts, one pass over the documents for each; there is no shuffle.
-    Null and empty texts have no words; items that are null or without words have no windows;
-    an item that is larger than a block is a block of its own. ``texts=False`` leaves the text out.
+    Null and empty texts have no words; items that are null or without words have no windows; a null
+    id counts as the empty one. A block is as large as the items whose ids are hashed to it, one item
+    at least. ``texts=False`` leaves the text out.
     """
     spark = docs.sparkSession
     row = columns_of(doc_id=docs.schema[doc_id].dataType, text="string", n_words="bigint", spans="array<bigint>", items="array<string>")
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // max_set_bytes))
-    bench = benchmark.filter("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    bench = benchmark.filter("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     out = docs.select(field(docs, doc_id).alias("doc_id"), field(docs, text).cast("string").alias("text"))
     out = out.withColumns({"spans": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>")})
     for block in range(n_blocks):

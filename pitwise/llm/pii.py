@@ -23,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, field, scan, shared_folder, text_list
+from .common import columns_of, decoded, field, scan, shared_folder, text_list
 
 #: Kinds of the patterns in the order of results, and those that the network tags.
 KINDS = ("email", "ip", "card", "phone")
@@ -490,7 +490,7 @@ def all_spans(model: Tagger, texts: list[str]) -> list[tuple[list[Span], list[Sp
 def find_personal_data(docs: DataFrame, model: Tagger | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, base array<string>, spans array<string>) for every row: ``kind:start:end`` by kind and start.
 
-    Code points, end exclusive. Null texts count as empty; texts without a digit or @ have no spans;
+    Code points, end exclusive. Null texts count as empty, bytes that are not valid UTF-8 as U+FFFD; texts without a digit or @ have no spans;
     repeated rows get equal answers. Whole texts are read; there is no shuffle.
     """
     tagger = docs.sparkSession.sparkContext.broadcast(model or shared_tagger(docs.sparkSession))
@@ -499,7 +499,7 @@ def find_personal_data(docs: DataFrame, model: Tagger | None = None, doc_id: str
         raw = text_list(batch.column(1))
         hot = [i for i, t in enumerate(raw) if TRIGGER.search(t)]
         base, spans = [[] for _ in raw], [[] for _ in raw]
-        for i, (b, s) in zip(hot, all_spans(tagger.value, [raw[i].decode() for i in hot]), strict=True):
+        for i, (b, s) in zip(hot, all_spans(tagger.value, [decoded(raw[i]) for i in hot]), strict=True):
             base[i] = [f"{k}:{x}:{y}" for k, x, y in b]
             spans[i] = [f"{k}:{x}:{y}" for k, x, y in s]
         return {"doc_id": batch.column(0), "base": base, "spans": spans}
@@ -514,7 +514,7 @@ def redact(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> dict:
         out = []
-        texts = [t.decode() for t in text_list(batch.column(1))]
+        texts = [decoded(t) for t in text_list(batch.column(1))]
         for text, (_, spans) in zip(texts, all_spans(tagger.value, texts), strict=True):
             parts, at = [], 0
             for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):

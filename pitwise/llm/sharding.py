@@ -97,7 +97,9 @@ def plan(docs: DataFrame, n: int = 24, doc_id: str = "doc_id", text: str = "text
     )
     rows = materialize(rows.select("doc_id", "size", "text_crc32", "at.shard", "at.region", "at.rack", "grown_shard"), "shards")
     groups = max(16, rows.count() // (n * group) + 1)
-    rows = rows.withColumn("part", (_draw(F.col("doc_id"), "slot") % groups).cast("int"))
+    # the text's checksum has a say, so that rows of one id, or of none, don't meet in one group
+    named = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string"))
+    rows = rows.withColumn("part", (_draw(named, "slot") % groups).cast("int"))
     counts = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))

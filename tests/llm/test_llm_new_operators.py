@@ -163,3 +163,41 @@ def test_token_counts_of_broken_utf8(spark, library):
 def test_a_model_that_cannot_be_compiled_says_so(tmp_path):
     with pytest.raises(Exception, match="compiled|parse|model|invalid|Internal"):
         tokens.Transducer(b"no model at all")
+
+
+@pytest.fixture(scope="module")
+def broken(spark):
+    """Texts with bytes that are no UTF-8, and one with the same text in valid form."""
+    rows = spark.range(3).select(F.col("id").alias("doc_id"), F.expr("CASE id WHEN 0 THEN cast(X'61FF20612E62406D61696C2E6578616D706C652E636F6D' as string) WHEN 1 THEN concat('a', chr(65533), ' a.b@mail.example.com') ELSE 'plain' END").alias("text"))
+    return rows.withColumn("text", F.when(F.col("doc_id") == 1, "a� a.b@mail.example.com").otherwise(F.col("text")))
+
+
+def test_broken_utf8_counts_as_replaced(broken):
+    from pitwise.llm import ctph, pii
+
+    found = {r.doc_id: r.base for r in pii.find_personal_data(broken).collect()}
+    assert found[0] == found[1] == ["email:3:23"] and found[2] == []
+    prints = {r.doc_id: (r.fingerprint, r.n_chars) for r in ctph.compare_with_next(broken).collect()}
+    assert prints[0] == prints[1] and prints[2][1] == 5
+
+
+def test_benchmark_items_without_an_id(spark, docs, benchmark):
+    from pitwise.llm import decontaminate
+
+    twice = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    twice = twice.unionByName(twice.filter("item_id = '1'").withColumn("item_id", F.lit(None).cast("string"))).unionByName(twice.filter("item_id = '10'").withColumn("item_id", F.lit(None).cast("string")))
+    plain = {r.doc_id: r for r in decontaminate.scan_windows(docs, benchmark).filter("size(spans) > 0").collect()}
+    for size in (decontaminate.MAX_SET_BYTES, 50):
+        found = {r.doc_id: r for r in decontaminate.scan_windows(docs, twice, max_set_bytes=size).filter("size(spans) > 0").collect()}
+        assert plain and found.keys() == plain.keys()
+        assert all(r.spans == plain[d].spans and [i for i in r["items"] if i] == plain[d]["items"] for d, r in found.items())
+        assert any("" in r["items"] for r in found.values())
+
+
+def test_rows_of_one_id_are_numbered_in_parts(spark):
+    from pitwise.llm import sharding
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 2 == 0, F.lit(7).cast("long")).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    made = sharding.plan(rows, n=2, group=100)
+    for shard, slots in ((r[0], r[1]) for r in made.groupBy("shard").agg(F.collect_list("slot")).collect()):
+        assert sorted(slots) == list(range(len(slots))), shard

@@ -12,6 +12,7 @@ from compare import differences, duck  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from pitwise.llm import registry, sharding, simhash  # noqa: E402
+from pitwise.llm.duckdb_sql import crc32_sql  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,7 +23,7 @@ def test_agrees_with_sql(spark, name):
 
 
 def placement_sql(n=24, group=sharding.SLOT_GROUP):
-    """The sharding query in DuckDB, which has no crc32: all other columns."""
+    """The sharding query in DuckDB."""
     leaves = ", ".join(f"({m}, '{x.region}', '{x.rack}', 's{x.shard}', {float(x.weight)})" for m in (n, n + 1) for x in sharding.layout(m))
     draw = "CAST('0x' || substr(md5(k || '|' || {}), 1, 12) AS BIGINT)".format
     first = lambda node: f"QUALIFY row_number() OVER (PARTITION BY rid, n ORDER BY -ln(({draw(node)} + 0.5) / 281474976710656.0) / w, {node}) = 1"
@@ -36,15 +37,15 @@ b AS (SELECT rid, k, n, region, rack FROM a JOIN racks USING (n, region) {first(
 c AS (SELECT rid, k, n, region, rack, CAST(substr(shard, 2) AS INTEGER) AS shard FROM b JOIN leaf USING (n, region, rack) {first('shard')}),
 g AS (SELECT greatest(16, count(*) // {n * group} + 1) AS g FROM documents),
 x AS (
-  SELECT doc_id, CAST(strlen(text) + 8 AS BIGINT) AS size, c.shard, c.region, c.rack, e.shard AS grown_shard, {draw("'slot'").replace('k ||', 'd.k ||')} % g AS part
+  SELECT doc_id, CAST(strlen(text) + 8 AS BIGINT) AS size, {crc32_sql('text')} AS text_crc32, c.shard, c.region, c.rack, e.shard AS grown_shard, {draw("'slot'").replace('k ||', "d.k || '|' || " + crc32_sql('text') + " ||")} % g AS part
   FROM d JOIN c ON c.rid = d.rid AND c.n = {n} JOIN c e ON e.rid = d.rid AND e.n = {n + 1}, g)
-SELECT doc_id, size, 'key' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY part, doc_id, size) - 1 AS BIGINT) AS slot, grown_shard, region, rack
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY part, doc_id, text_crc32, size) - 1 AS BIGINT) AS slot, grown_shard, region, rack
 FROM x
 """
 
 
 def test_placement_agrees_with_sql(spark):
-    assert differences(registry.op2_sharding(spark, SF).drop("text_crc32"), duck(SF), placement_sql()) == ""
+    assert differences(registry.op2_sharding(spark, SF), duck(SF), placement_sql()) == ""
 
 
 def test_language_on_held_out_documents(spark):
