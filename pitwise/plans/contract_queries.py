@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pitwise.functions import temporal, text
 from pitwise.operators import metrics, quality, relational, written
 
-from . import decisions, features
+from . import decisions, features, lineups
 from .decision_queries import POOL_SQL, pool
 from .feature_queries import FEATURES_SQL
 from .league import FIXTURE_SQL, PANEL_SQL, fixtures, panel, table
@@ -313,3 +313,21 @@ def squad_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = F.when(F.col("k") > 11, F.col("k") - 11).when(F.col("k") % 7 != 5, 0)
     rows = squad.withColumn("k", k).select("block", "player_uid", role.alias("selected_role"), order.alias("bench_order"))
     return decisions.squad_sheet(rows, ["block"]).select("block", "player_uid", "on_bench", "shown_at", "label")
+
+
+# ------------------------------------------------------------------ exact line-ups
+
+
+@query()
+def lineup_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eleven of each block's squad with the most expected points, and what it is worth with substitutions and captaincy."""
+    squad, _ = cheapest_squads(spark, sf_dir)
+    return lineups.expected_totals(lineups.nominal_lineups(squad, ["block"]), ["block"])
+
+
+@query()
+def exact_swap_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every affordable swap of each block's squad with its whole pool, valued exactly."""
+    squad, df = cheapest_squads(spark, sf_dir)
+    rows = written.once(lineups.nominal_lineups(squad, ["block"]), "lineups")
+    return lineups.swap_gains(rows, df, ["block"], bank=20)
