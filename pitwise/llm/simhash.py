@@ -41,6 +41,8 @@ LEAST_SPLIT, MOST_SPLIT_KEYS = 256, 10_000
 SAMPLES, SAMPLE = 8, 3
 #: Texts of one key that are compared each with each; likeness to a leader from which a text is no leader itself.
 FEW, VERY = 12, 0.85
+#: Text bytes whose shingles are held at once.
+PRINT_BYTES = 1 << 20
 #: Leaders that a new leader is linked to.
 NEAREST = 8
 #: Sketches estimate likeness to 0.05 or so; that much below the bound and two more are looked at.
@@ -375,7 +377,7 @@ def prints(docs: DataFrame, k: int = 5) -> DataFrame:
 
     types = {"low": "bigint", "high": "bigint", "size": "bigint", "fp": "bigint", "samples": "array<bigint>", "sketch": "binary"}
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return scan(rows, work, columns_of(doc_id=docs.schema["doc_id"].dataType, **types))
+    return scan(rows, work, columns_of(doc_id=docs.schema["doc_id"].dataType, **types), limit=PRINT_BYTES)
 
 
 def alike(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -500,7 +502,7 @@ def shingle_sets(docs: DataFrame, k: int = 5) -> DataFrame:
         return {"id": batch.column(0), "n": batch.column(1), "shingles": [np.unique(shingle_hashes(t, k)).view(np.int64) for t in text_list(batch.column(2))]}
 
     rows = docs.select("id", "n", F.col("text").cast("string").alias("text"))
-    return scan(rows, work, columns_of(id="bigint", n="bigint", shingles="array<bigint>"))
+    return scan(rows, work, columns_of(id="bigint", n="bigint", shingles="array<bigint>"), limit=PRINT_BYTES)
 
 
 def one_per_shingle_group(docs: DataFrame, k: int = 5, least: float = 0.8, bits: int = 4) -> DataFrame:
