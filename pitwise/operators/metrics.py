@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitwise.functions.probability import low_score_factor, poisson_pmf, poisson_pmf_upto
 
-from . import relational
+from . import relational, written
 
 
 def correlation(x: str, y: str) -> Column:
@@ -25,16 +25,17 @@ def strip_of(value: Column) -> Column:
     return F.coalesce((F.signum(x) * F.floor(F.log2(1 + F.abs(x) * 1e6) * 32)).cast("long"), F.lit(-(1 << 62)))
 
 
-def ranks_below(df: DataFrame, group: list[str], value: str, tie: str | None = None) -> DataFrame:
+def ranks_below(df: DataFrame, group: list[str], value: str, tie: str | None = None, counted: DataFrame | None = None) -> DataFrame:
     """``df`` with ``_below``: rows of the group that sort before the row's cell, and ``_cell``: rows of that cell.
 
     A cell is a value, parted by strips of ``tie`` if there is one. Cells are counted with partial
     sums, counts run within strips of values, and strips are moved up by the counts before them; so
-    no task sorts a group, however many rows it has.
+    no task sorts a group, however many rows it has. ``counted`` has the same rows as ``df`` where
+    those are at hand in a cheaper form.
     """
     cut = {"_v": F.col(value), "_strip": strip_of(F.col(value)), "_tie": strip_of(F.col(tie)) if tie else F.lit(0).cast("long")}
     rows = df.withColumns(cut)
-    cells = rows.groupBy(*group, "_strip", "_v", "_tie").agg(F.count(F.lit(1)).alias("_cell"))
+    cells = (rows if counted is None else counted.withColumns(cut)).groupBy(*group, "_strip", "_v", "_tie").agg(F.count(F.lit(1)).alias("_cell"))
     strips = cells.groupBy(*group, "_strip").agg(F.sum("_cell").alias("_n"))
     over_strips = Window.partitionBy(*group).orderBy("_strip").rowsBetween(Window.unboundedPreceding, -1)
     strips = strips.select(*group, "_strip", F.coalesce(F.sum("_n").over(over_strips), F.lit(0)).alias("_start"))
@@ -47,9 +48,9 @@ def ranks_below(df: DataFrame, group: list[str], value: str, tie: str | None = N
     return rows.join(cells, same).drop("_cv", "_ct", "_strip", *[f"_g{i}" for i in range(len(group))])
 
 
-def with_average_rank(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
+def with_average_rank(df: DataFrame, group: list[str], value: str, name: str, counted: DataFrame | None = None) -> DataFrame:
     """``df`` with the rank within the group; equal values share the mean of their ranks. Groups with a null key are left out."""
-    return ranks_below(df, group, value).withColumn(name, F.col("_below") + (F.col("_cell") + 1) / 2).drop("_below", "_cell", "_v", "_tie")
+    return ranks_below(df, group, value, counted=counted).withColumn(name, F.col("_below") + (F.col("_cell") + 1) / 2).drop("_below", "_cell", "_v", "_tie")
 
 
 def with_percent_rank(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
@@ -72,8 +73,12 @@ def error_metrics(prediction: str, actual: str) -> dict[str, Column]:
 
 
 def errors_with_rank_correlation(df: DataFrame, group: list[str], prediction: str, actual: str) -> DataFrame:
-    """Error metrics and Spearman correlation of each group; groups with a null key are left out."""
-    ranked = with_average_rank(with_average_rank(df, group, prediction, "_rp"), group, actual, "_ra")
+    """Error metrics and Spearman correlation of each group; groups with a null key are left out.
+
+    The rows are written once; both ranks count their cells from that table.
+    """
+    rows = written.once(df.select(*group, prediction, actual), "ranked-rows")
+    ranked = with_average_rank(with_average_rank(rows, group, prediction, "_rp", rows), group, actual, "_ra", rows)
     return ranked.groupBy(*group).agg(*[c.alias(n) for n, c in error_metrics(prediction, actual).items()], correlation("_rp", "_ra").alias("spearman"))
 
 
