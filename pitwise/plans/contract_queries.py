@@ -259,7 +259,7 @@ def exclusion_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Projection rows as text, with values that are missing, out of bounds or no numbers. One text for Spark and DuckDB.
-_FORECAST = {
+_PROJECTED = {
     "player_uid": "CASE WHEN p_partkey % 41 = 0 THEN '  ' ELSE CAST(p_partkey AS {t}) END", "player": "p_name", "team": "CASE WHEN p_partkey % 37 = 0 THEN NULL ELSE p_brand END",
     "position": "CASE p_partkey % 5 WHEN 0 THEN 'GKP' WHEN 1 THEN 'DEF' WHEN 2 THEN 'MID' WHEN 3 THEN 'FWD' ELSE 'AM' END",
     "price_tenths": "CASE WHEN p_partkey % 13 = 0 THEN '45.5' WHEN p_partkey % 17 = 0 THEN 'n/a' ELSE CAST(40 + p_size AS {t}) END", "expected_points": "CASE WHEN p_partkey % 19 = 0 THEN '-0.5' WHEN p_partkey % 23 = 0 THEN 'NaN' ELSE CAST(p_size / 8.0 AS {t}) END",
@@ -271,11 +271,11 @@ _IN = "TRY_CAST({0} AS DOUBLE) IS NOT NULL AND NOT isnan(TRY_CAST({0} AS DOUBLE)
 @query(
     "SELECT p_partkey, coalesce(trim(coalesce(player_uid, '')) <> '' AND trim(coalesce(player, '')) <> '' AND trim(coalesce(team, '')) <> '' AND position IN ('GKP', 'DEF', 'MID', 'FWD') AND "
     + " AND ".join([_IN("price_tenths", 0.5, 1e300), "TRY_CAST(price_tenths AS DOUBLE) = floor(TRY_CAST(price_tenths AS DOUBLE))", _IN("expected_points", 0, 1e300), _IN("expected_minutes", 0, 90), _IN("p_appearance", 0, 1), _IN("prob_points_ge_5", 0, 1), _IN("p_start", 0, 1e300), "TRY_CAST(p_start AS DOUBLE) <= TRY_CAST(p_appearance AS DOUBLE)"])
-    + ", false) AS valid FROM (SELECT p_partkey, " + ", ".join(f"{v.format(t='VARCHAR')} AS {k}" for k, v in _FORECAST.items()) + " FROM part)"
+    + ", false) AS valid FROM (SELECT p_partkey, " + ", ".join(f"{v.format(t='VARCHAR')} AS {k}" for k, v in _PROJECTED.items()) + " FROM part)"
 )
 def valid_forecast_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which projection rows may be shown."""
-    df = table(spark, sf_dir, "part").selectExpr("p_partkey", *[f"{v.format(t='STRING')} AS {k}" for k, v in _FORECAST.items()])
+    df = table(spark, sf_dir, "part").selectExpr("p_partkey", *[f"{v.format(t='STRING')} AS {k}" for k, v in _PROJECTED.items()])
     return df.select("p_partkey", quality.valid_forecast().alias("valid"))
 
 
