@@ -67,10 +67,14 @@ def undominated(pools: DataFrame, block: list[str], rules: SquadRules = RULES) -
     return kept.drop(*[f"_{k}{n}" for k in ("best", "own") for n in range(1, rules.per_club + 1)])
 
 
-def finder(df: DataFrame, budget: Column, k: int = 5, baseline: Column | None = None) -> DataFrame:
-    """The best value within a budget: points, then points per price, appearance, price, name and id; ``delta`` over a baseline."""
+#: What breaks ties of points and points per price: appearance, price, name and id.
+FINDER_TIES = (F.desc, "p_appearance"), (F.asc, "price_tenths"), (F.asc, "player_name"), (F.asc, "player_uid")
+
+
+def finder(df: DataFrame, budget: Column, k: int = 5, baseline: Column | None = None, ties=FINDER_TIES) -> DataFrame:
+    """The best value within a budget: points, then points per price, then ``ties``; ``delta`` over a baseline."""
     per = F.col("expected_points") / (F.col("price_tenths") / 10.0)
-    keys = [F.desc("expected_points"), F.desc("points_per_million"), F.desc("p_appearance"), F.asc("price_tenths"), F.asc("player_name"), F.asc("player_uid")]
+    keys = [F.desc("expected_points"), F.desc("points_per_million"), *[way(name) for way, name in ties]]
     found = df.filter(F.col("price_tenths") <= budget).withColumn("points_per_million", per)
     if baseline is not None:
         found = found.withColumn("delta", F.col("expected_points") - baseline)
