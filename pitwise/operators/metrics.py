@@ -11,12 +11,13 @@ from . import relational, written
 
 
 def correlation(x: str, y: str) -> Column:
-    """Pearson correlation from moments; null where either side does not vary."""
-    n, sx, sy = F.count(F.col(x) + F.col(y)), F.sum(F.when(F.col(y).isNotNull(), F.col(x))), F.sum(F.when(F.col(x).isNotNull(), F.col(y)))
-    sxy = F.sum(F.col(x) * F.col(y))
-    sxx, syy = F.sum(F.when(F.col(y).isNotNull(), F.col(x) * F.col(x))), F.sum(F.when(F.col(x).isNotNull(), F.col(y) * F.col(y)))
-    spread = (n * sxx - sx * sx) * (n * syy - sy * sy)
-    return F.when(spread > 1e-9, (n * sxy - sx * sy) / F.sqrt(spread))
+    """Pearson correlation of the rows that have both; null where either side does not vary.
+
+    By Spark's running moments: differences of sums of squares are not 0 for equal values of many rows.
+    """
+    spread = lambda c, other: F.var_pop(F.when(F.col(other).isNotNull(), F.col(c)))
+    vx, vy = spread(x, y), spread(y, x)
+    return F.when((vx > 0) & (vy > 0), F.covar_pop(x, y) / (F.sqrt(vx) * F.sqrt(vy)))
 
 
 def strip_of(value: Column) -> Column:

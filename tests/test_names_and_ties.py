@@ -32,3 +32,12 @@ def test_value_finder_has_the_smaller_id_first(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     found = decision_queries.value_finder_top5(spark, str(tmp_path)).collect()
     assert [r.player_uid for r in found] == [83, 166, 249, 332, 415]
+
+
+def test_equal_values_have_no_correlation_however_many(spark):
+    from pitwise.operators import metrics
+
+    values = [0.1, 0.7, 231708.5, 2317085.5, 1 / 3]
+    df = spark.range(0, 300_000, 1, 16).crossJoin(spark.createDataFrame([(v,) for v in values], "x double")).selectExpr("x AS g", "x", "CAST(id % 977 AS DOUBLE) AS y", "IF(id % 3 = 0, NULL, x + id) AS z")
+    found = df.groupBy("g").agg(metrics.correlation("x", "y").alias("xy"), metrics.correlation("y", "x").alias("yx"), metrics.correlation("y", "z").alias("yz")).collect()
+    assert len(found) == len(values) and all(r.xy is None and r.yx is None and r.yz is not None for r in found)
