@@ -430,12 +430,21 @@ def decide(pools: DataFrame, block: list[str], rules: SquadRules = RULES) -> Dat
 
 
 def swap_options(squad: DataFrame, pool: DataFrame, block: list[str], bank: Column, k: int = 3) -> DataFrame:
-    """For each owned player the best ``k`` affordable replacements of the position that the squad lacks."""
-    owned = squad.select(*block, F.col("player_uid").alias("out_uid"), "position", F.col("price_tenths").alias("out_price"), F.col("expected_points").alias("out_points"))
-    free = pool.join(squad.select(*block, "player_uid"), [*block, "player_uid"], "left_anti")
-    pairs = owned.join(free.select(*block, F.col("player_uid").alias("in_uid"), "position", "price_tenths", "expected_points"), [*block, "position"])
-    pairs = pairs.filter(F.col("price_tenths") <= F.col("out_price") + bank).withColumn("gain", F.col("expected_points") - F.col("out_points"))
-    return relational.top_per_group(pairs, [*block, "out_uid"], [F.desc("gain"), F.col("in_uid")], k).drop("expected_points", "out_points")
+    """For each owned player the best ``k`` affordable replacements of the position that the squad lacks.
+
+    What an owned player may spend decides: of each price only the first ``k`` free players count, and
+    of all prices up to a limit again ``k``. So no owned player meets the whole pool; work grows with
+    the rows, and with limits times prices.
+    """
+    place = [*block, "position"]
+    first = [F.desc("expected_points"), F.col("in_uid")]
+    owned = squad.select(*block, F.col("player_uid").alias("out_uid"), "position", F.col("price_tenths").alias("out_price"), F.col("expected_points").alias("out_points"), (F.col("price_tenths") + bank).alias("_limit"))
+    free = pool.join(squad.select(*block, "player_uid"), [*block, "player_uid"], "left_anti").select(*block, F.col("player_uid").alias("in_uid"), "position", "price_tenths", "expected_points")
+    priced = relational.top_per_group(free, [*place, "price_tenths"], first, k)
+    open_ = owned.select(*place, "_limit").distinct().join(priced.drop("rank"), place).filter(F.col("price_tenths") <= F.col("_limit"))
+    best = relational.top_per_group(open_, [*place, "_limit"], first, k)
+    found = owned.join(best, [*place, "_limit"]).withColumn("gain", F.col("expected_points") - F.col("out_points"))
+    return found.select(*place, "out_uid", "out_price", "in_uid", "price_tenths", "gain", "rank")
 
 
 def plan_transfers(squad: pd.DataFrame, weeks: dict[int, pd.DataFrame], bank: int, free: int, most: int = 1, rules: SquadRules = RULES) -> dict:

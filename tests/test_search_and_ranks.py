@@ -142,3 +142,30 @@ def test_active_weights_meet_the_shares():
     rare[0, :10], rare[1, 5:90] = True, True
     assert np.isfinite(simulation.active_weights(np.array([0.9, 0.1]), rare)).all()
     assert (simulation.active_weights(np.array([0.5, 0.5]), np.zeros((2, 9), bool)) == 1).all()
+
+
+def test_swap_options_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(2), uid, rng.choice(["DEF", "MID"]), rng.randrange(40, 60), rng.randrange(12) / 4) for uid in range(300)]
+    schema = "block long, player_uid long, position string, price_tenths long, expected_points double"
+    pool = spark.createDataFrame(rows, schema)
+    squad = pool.filter("player_uid % 9 = 0")
+    want = set()
+    for b, out, place, price, points in (r for r in rows if r[1] % 9 == 0):
+        free = [(-(x - points), uid, p) for c, uid, q, p, x in rows if c == b and q == place and uid % 9 and p <= price + 3]
+        want |= {(b, place, out, price, uid, p, -gain, k) for k, (gain, uid, p) in enumerate(sorted(free)[:4], 1)}
+    found = decisions.swap_options(squad, pool, ["block"], F.lit(3), 4)
+    assert found.columns == ["block", "position", "out_uid", "out_price", "in_uid", "price_tenths", "gain", "rank"]
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 100
+
+
+def test_swap_options_do_not_pair_a_squad_with_the_pool(spark):
+    """20,000 owned and 180,000 free players of one position: 3.6 billion pairs."""
+    import time
+
+    pool = spark.range(200_000).selectExpr("CAST(0 AS BIGINT) AS block", "id AS player_uid", "'MID' AS position", "40 + id % 50 AS price_tenths", "CAST(id % 997 AS DOUBLE) AS expected_points")
+    start = time.time()
+    found = decisions.swap_options(pool.filter("player_uid % 10 = 3"), pool, ["block"], F.lit(10))
+    assert found.count() == 60_000 and time.time() - start < 60
