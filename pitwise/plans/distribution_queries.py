@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitwise.functions import scoring
-from pitwise.operators import written
 
 from . import distributions, rolling_queries
 from .distributions import EDGE, HIGH, LOW, MOST_AGAINST, MOST_SAVES, MOST_SCORED, QUANTILES
@@ -71,17 +70,15 @@ def _summary_sql(keys: str, chances: str) -> str:
 _DOUBLES = ("points_mean", "points_std", "prob_eq_0", "prob_ge_1", "prob_ge_5", "prob_ge_10")
 
 
-def chances_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of all folds with the distribution of their points."""
-    df = rolling_queries.expected_frame(spark, sf_dir).withColumn("goal_value", scoring.goal_value(F.col("season"), F.col("position")))
-    return written.once(distributions.fixture_chances(df).select("fold_id", "season", "gameweek", "player_uid", "fixture_key", "p_appearance", "chances"), "point-chances")
+def rates_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of all folds with what the distribution of their points is made of."""
+    return rolling_queries.expected_frame(spark, sf_dir).withColumn("goal_value", scoring.goal_value(F.col("season"), F.col("position")))
 
 
 @query(_CHANCES_SQL + " " + _summary_sql("fixture_key", "chances"), _DOUBLES)
 def exact_fixture_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, spread, quantiles and tails of each row's points, by exact convolution."""
-    df = chances_frame(spark, sf_dir)
-    return df.select("fixture_key", *[c.alias(n) for n, c in distributions.summary(F.col("chances"), F.lit(LOW)).items()])
+    return distributions.fixture_figures(rates_frame(spark, sf_dir), ["fixture_key"])
 
 
 @query(
@@ -96,4 +93,4 @@ def exact_fixture_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_block_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The points of a player's fixtures in a block added up exactly."""
     keys = ["season", "gameweek", "player_uid"]
-    return distributions.summarised(distributions.block_chances(chances_frame(spark, sf_dir), keys), keys)
+    return distributions.block_figures(rates_frame(spark, sf_dir), keys)

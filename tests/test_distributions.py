@@ -93,3 +93,42 @@ def test_floors_and_tails_in_closed_form(spark):
             assert row[f"f{d}"] == pytest.approx(sum(q * (n // d) for n, q in enumerate(p)), abs=1e-12)
         for k in (0, 1, 10, 12):
             assert row[f"t{k}"] == pytest.approx(1 - sum(p[:k]), abs=1e-12)
+
+
+def test_figures_of_fixtures_and_blocks_read_from_the_arrays(spark):
+    """Mean, spread, quantiles and tails of many rows of every position at once, against their arrays; blocks of one to four fixtures."""
+    df = pd.concat([fixture(False, 0.5, s).assign(fixture=s) for s in range(1, 121)])
+    df = df[df.fixture <= df.player_uid % 4 * 30 + 30]
+    df["row"] = range(len(df))
+    rows = spark.createDataFrame(df)
+    arrays = {r.row: np.array(r.chances) for r in distributions.fixture_chances(rows).select("row", "chances").collect()}
+
+    def check(got, p, low):
+        v = np.arange(low, low + len(p))
+        upto = np.cumsum(p)
+        assert got.points_mean == pytest.approx(p @ v) and got.points_std == pytest.approx(math.sqrt(p @ v**2 - (p @ v) ** 2))
+        assert [got.points_p10, got.points_p50, got.points_p90] == [v[np.argmax(upto >= q - distributions.EDGE)] for q in (0.1, 0.5, 0.9)]
+        assert [got.prob_eq_0, got.prob_ge_1, got.prob_ge_5, got.prob_ge_10] == pytest.approx([p[v == 0].sum(), p[v >= 1].sum(), p[v >= 5].sum(), p[v >= 10].sum()])
+
+    for r in distributions.fixture_figures(rows, ["row"]).collect():
+        check(r, arrays[r.row], distributions.LOW)
+    df["block"] = df.fixture % 30
+    of = {k: list(g) for k, g in df.groupby(["player_uid", "block"]).row}
+    found = distributions.block_figures(spark.createDataFrame(df), ["player_uid", "block"]).collect()
+    assert len(found) == len(of) and {r.n for r in found} == {1, 2, 3, 4}
+    for r in found:
+        total = np.ones(1)
+        for k in of[r.player_uid, r.block]:
+            total = np.convolve(total, arrays[k])
+        check(r, total, distributions.LOW * r.n)
+
+
+def test_many_rows_take_seconds(spark):
+    """The convolutions are made for batches: a row took some tens of milliseconds of a core before, 20,000 rows some minutes."""
+    import time
+
+    rows = spark.createDataFrame(fixture(False, 0.5)).crossJoin(spark.range(1000).withColumnRenamed("id", "copy")).repartition(8)
+    distributions.fixture_figures(rows, ["player_uid"]).limit(1).collect()
+    start = time.time()
+    assert distributions.fixture_figures(rows, ["player_uid"]).filter("points_mean > 0").count() == 22_000
+    assert time.time() - start < 30
