@@ -343,14 +343,19 @@ def goal_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.conservation(expected_frame(spark, sf_dir), ["season", "gameweek", "team_uid"]).select("season", "gameweek", "team_uid", "error", "share_sum")
 
 
+#: Rows of a fixture, both sides together, beyond which there are more rounds (about; rounds are even by id).
+MOST_IN_FIXTURE = 80
+
+
 def simulation_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every player row on two sides, team t against t + 10, in as many rounds as the most rows of one player.
+    """Every player row on two sides, team t against t + 10, in as many rounds as the most rows of one player, or as squads of real size need.
 
-    A player's rows of a block fall into different rounds, and players start in different ones, so rounds are alike in size.
+    A fixture's draws are one group, so fixtures must not grow with the table. A player's rows of a block fall into different rounds, and players start in different ones, so rounds are alike in size.
     """
     df = expected_frame(spark, sf_dir).withColumns({"pair": F.col("team_uid") % 10, "model": F.lit("M3")})
     df = df.withColumn("nth", F.row_number().over(Window.partitionBy("season", "gameweek", "player_uid").orderBy("fixture_key")))
-    df = df.withColumn("rounds", F.max("nth").over(Window.partitionBy("season", "gameweek", "pair")))
+    pair = Window.partitionBy("season", "gameweek", "pair")
+    df = df.withColumn("rounds", F.greatest(F.max("nth").over(pair), F.ceil(F.count(F.lit(1)).over(pair) / MOST_IN_FIXTURE)))
     one = df.withColumn("fixture", (F.pmod(F.col("nth") + F.floor(F.col("player_uid") / 20), F.col("rounds")) * 10 + F.col("pair")).cast("long"))
     return one.withColumn("goal_value", scoring.goal_value(F.col("season"), F.col("position")))
 
@@ -363,13 +368,7 @@ def simulate_fixture_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def simulate_block_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Draws of a player's fixtures in a season added up and summarised."""
-    from pitwise.operators import metrics
-
-    draws = simulation.simulate_draws(simulation_frame(spark, sf_dir), simulation.DRAWS)
-    plays = draws.groupBy("season", "player_uid").agg(simulation.any_appearance().alias("p_any"))
-    summed = metrics.sum_draws(draws, ["season", "player_uid"], "draws").withColumn("draws", F.transform("draws", lambda x: x.cast("double")))
-    made = metrics.draw_summary(F.col("draws"))
-    return summed.select("season", "player_uid", *[c.alias(n) for n, c in made.items()]).join(plays, ["season", "player_uid"])
+    return simulation.rollup(simulation_frame(spark, sf_dir), ["season", "player_uid"])
 
 
 @query(FACT_SQL + " SELECT fixture_key, minutes FROM fact WHERE position = 'AM'")

@@ -8,11 +8,14 @@ from partitions, so results do not depend on how Spark deals the work.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 DRAWS = 10_000
 VERSION = "fixture-coherent-1"
@@ -164,6 +167,53 @@ def simulate_draws(df: DataFrame, draws: int, seed: int = 6060) -> DataFrame:
     return df.select(*NEEDED).groupBy("season", "gameweek", "fixture", "model").applyInPandas(run, "season string, gameweek long, fixture long, model string, player_uid long, p_appearance double, draws array<int>")
 
 
+def packed(points: np.ndarray) -> bytes:
+    """A row's draws in the narrowest whole numbers that hold them, compressed: a digit for their width, then the numbers."""
+    width = next(w for w in (1, 2, 4) if np.iinfo(f"i{w}").min <= points.min(initial=0) and points.max(initial=0) <= np.iinfo(f"i{w}").max)
+    return bytes([width]) + zlib.compress(points.astype(f"<i{width}").tobytes(), 1)
+
+
+def unpacked(draws: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(draws[1:]), f"<i{draws[0]}")
+
+
+QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
+FIGURES = ["points_mean", "points_std", *[f"points_p{round(100 * q)}" for q in QUANTILES], "prob_eq_0", "prob_ge_1", "prob_ge_5", "prob_ge_10"]
+
+
+def figures_of(draws: np.ndarray) -> list[float]:
+    """As ``metrics.draw_summary`` has them: mean, spread, interpolated quantiles, shares."""
+    n, ordered = len(draws), np.sort(draws)
+    mean = float(draws.sum()) / n
+    at = [(n - 1) * q for q in QUANTILES]
+    low, high = ([float(ordered[int(f(x))]) for x in at] for f in (np.floor, np.ceil))
+    between = [a + (b - a) * (x - np.floor(x)) for a, b, x in zip(low, high, at, strict=True)]
+    shares = [float(np.count_nonzero(t)) / n for t in (draws == 0, draws >= 1, draws >= 5, draws >= 10)]
+    return [mean, float(np.sqrt(max(float((draws * draws).sum()) / n - mean**2, 0.0))), *between, *shares]
+
+
+@F.arrow_udf(StructType([StructField(n, DoubleType()) for n in FIGURES]))
+def _summed_figures(groups: pa.Array) -> pa.Array:
+    made = [figures_of(sum(unpacked(d).astype(np.int64) for d in group)) for group in groups.to_pylist()]
+    return pa.StructArray.from_arrays([pa.array([m[i] for m in made], pa.float64()) for i in range(len(FIGURES))], FIGURES)
+
+
+def rollup(df: DataFrame, keys: list[str], draws: int = DRAWS, seed: int = 6060) -> DataFrame:
+    """(keys, figures, p_any): the draws of a key's fixtures added up, draw by draw, and summarised.
+
+    Fixtures are simulated once and their draws go to their players' keys packed, some kilobytes a row.
+    """
+    types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, points, _ = fixture_draws(rows, draws, seed)
+        return rows[[*keys, "p_appearance"]].assign(draws=[packed(p) for p in points])
+
+    made = df.select(*NEEDED).groupBy("season", "gameweek", "fixture", "model").applyInPandas(run, f"{types}, p_appearance double, draws binary")
+    listed = made.groupBy(*keys).agg(any_appearance().alias("p_any"), F.collect_list("draws").alias("_all"))
+    return listed.select(*keys, "p_any", _summed_figures("_all").alias("_f")).select(*keys, "_f.*", "p_any")
+
+
 def any_appearance(p: str = "p_appearance"):
     """Aggregate: probability of playing in at least one fixture of the block."""
     return 1 - F.product(1 - F.least(F.greatest(F.coalesce(p, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
