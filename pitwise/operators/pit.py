@@ -22,7 +22,10 @@ def micros(moment: Column) -> Column:
 
 def with_cutoff(df: DataFrame, block: list[str], kickoff: str = "kickoff_time", name: str = "information_cutoff", deadlines: DataFrame | None = None) -> DataFrame:
     """The earliest kickoff of each block as its cutoff; an exact deadline (block, deadline) comes first."""
-    out = df.withColumn(name, F.min(kickoff).over(Window.partitionBy(*block)))
+    # a row per block joined back: a window would sort the blocks, which are few and grow with the rows
+    cuts = df.groupBy(*[F.col(b).alias(f"_b{i}") for i, b in enumerate(block)]).agg(F.min(kickoff).alias("_cut"))
+    same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_b{i}")) for i, b in enumerate(block)])
+    out = df.join(F.broadcast(cuts), same, "left").withColumn(name, F.col("_cut")).drop("_cut", *[f"_b{i}" for i in range(len(block))])
     if deadlines is None:
         return out
     return out.join(deadlines.select(*block, F.col("deadline").alias("_d")), block, "left").withColumn(name, F.coalesce("_d", name)).drop("_d")
@@ -64,7 +67,8 @@ def totals_as_of(targets: DataFrame, history: DataFrame, keys: list[str], cutoff
     order before the cutoff. Work grows with rows and targets, not with their product.
     """
     latest = latest or {}
-    at_time = history.filter(F.col(time).isNotNull()).groupBy(*keys, micros(F.col(time)).alias("_t")).agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()], *[F.max(c).alias(f"_l_{n}") for n, c in latest.items()])
+    # rows go on the line as they are: those at one time are left out together by the frame
+    at_time = history.filter(F.col(time).isNotNull()).select(*keys, micros(F.col(time)).alias("_t"), *[c.alias(f"_s_{n}") for n, c in sums.items()], *[c.alias(f"_l_{n}") for n, c in latest.items()])
     made = [c for c in at_time.columns if c.startswith(("_s_", "_l_"))]
     rows = targets.select(*keys, micros(F.col(cutoff)).alias("_t"), F.struct(*[F.col(c) for c in targets.columns]).alias("_row"), *[F.lit(None).cast(at_time.schema[n].dataType).alias(n) for n in made])
     line = rows.unionByName(at_time.withColumn("_row", F.lit(None).cast(rows.schema["_row"].dataType)))
@@ -79,19 +83,27 @@ def lagged_rates(df: DataFrame, key: str, season: str, cutoff: str, time: str, o
     """Means over the last rows of a key available strictly before each row's cutoff, and same-season sums before it.
 
     Adds ``lag{n}_{measure}_mean`` (0 without history), ``season_{measure}_before`` and
-    ``lag_{time}`` (null without history). The means are precomputed on history rows, so the join
-    carries one struct; season sums are joined by key and season.
+    ``lag_{time}`` (null without history). Each row is put on its key's time line twice, as history
+    and as a target, after the means are made there; so rows are shuffled by key once.
     """
-    line = Window.partitionBy(key).orderBy(time, *order)
+    line, season_line = Window.partitionBy(key).orderBy(time, *order), Window.partitionBy(key, season).orderBy(time, *order)
     means = {f"lag{n}_{m}_mean": F.avg(F.coalesce(m, F.lit(0)).cast("double")).over(line.rowsBetween(1 - n, 0)) for n in sizes for m in measures}
-    tie = F.row_number().over(line)
-    history = df.select(key, time, tie.alias("_tie"), *[v.alias(n) for n, v in means.items()]).withColumnRenamed(time, f"lag_{time}")
-    out = as_of(df, history, [key], cutoff, f"lag_{time}", "_tie", list(means))
-    sums = {f"season_{m}_before": m for m in measures}
-    season_line = Window.partitionBy(key, season).orderBy(time, *order)
-    running = df.select(key, season, F.col(time).alias("_st"), F.row_number().over(season_line).alias("_tie"), *[F.sum(F.coalesce(m, F.lit(0)).cast("double")).over(season_line.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n, m in sums.items()])
-    out = as_of(out, running, [key, season], cutoff, "_st", "_tie", list(sums)).drop("_st")
-    return out.withColumns({n: F.coalesce(n, F.lit(0.0)) for n in [*means, *sums]})
+    sums = {f"season_{m}_before": F.sum(F.coalesce(m, F.lit(0)).cast("double")).over(season_line.rowsBetween(Window.unboundedPreceding, 0)) for m in measures}
+    # of rows at one time the last in order counts; no time, no history
+    last = lambda w: F.col(time).isNotNull() & ~F.lead(time).over(w).eqNullSafe(F.col(time))
+    rows = df.withColumns({**{f"_m_{n}": c for n, c in means.items()}, "_last": last(line)}).withColumns({**{f"_m_{n}": c for n, c in sums.items()}, "_last_season": last(season_line)})
+    held = F.when(F.col("_last"), F.struct(F.col(time).alias(f"lag_{time}"), *[F.col(f"_m_{n}").alias(n) for n in means]))
+    held_season = F.when(F.col("_last_season"), F.struct(*[F.col(f"_m_{n}").alias(n) for n in sums]))
+    kinds = [(n, rows.select(c.alias("_x")).schema["_x"].dataType) for n, c in (("_row", F.struct(*df.columns)), ("_h", held), ("_g", held_season))]
+    none = {n: F.lit(None).cast(t).alias(n) for n, t in kinds}
+    target = F.struct(micros(F.col(cutoff)).alias("_t"), F.struct(*df.columns).alias("_row"), none["_h"], none["_g"])
+    past = F.struct(micros(F.col(time)).alias("_t"), none["_row"], held.alias("_h"), held_season.alias("_g"))
+    both = rows.select(key, season, F.explode(F.array(target, past)).alias("_e")).select(key, season, "_e.*").filter("_row IS NOT NULL OR _h IS NOT NULL OR _g IS NOT NULL")
+    before = lambda *by: Window.partitionBy(*by).orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
+    seen = both.withColumn("_h", F.last("_h", ignorenulls=True).over(before(key)))
+    seen = seen.withColumn("_g", F.last("_g", ignorenulls=True).over(before(key, season))).filter("_row IS NOT NULL")
+    known = lambda c: F.when(F.col("_t").isNotNull(), c)
+    return seen.select("_row.*", known(F.col("_h")[f"lag_{time}"]).alias(f"lag_{time}"), *[F.coalesce(known(F.col(h)[n]), F.lit(0.0)).alias(n) for h, made in (("_h", means), ("_g", sums)) for n in made])
 
 
 def season_changes(df: DataFrame, key: str, season: str, attributes: list[str]) -> DataFrame:
@@ -169,7 +181,7 @@ def training_totals(df: DataFrame, fold_table: DataFrame, time: str, cutoff: str
 
     # whole days first, then the times of a cutoff's own day: no line is longer than days or a day's times
     days = before(marks, rows.groupBy(*keys, "_day").agg(*[F.sum(n).alias(n) for n in measures]), keys, "_day")
-    own = rows.join(relational.small(marks.select("_day").distinct()), "_day", "left_semi")
+    own = rows.join(F.broadcast(cuts.select(F.floor(F.col("_t") / F.lit(DAY)).cast("long").alias("_day")).distinct()), "_day", "left_semi")  # days of folds
     part = before(marks, own, [*keys, "_day"], "_t")
     both = days.select("fold_id", *keys, *measures).unionByName(part.select("fold_id", *keys, *measures))
     return both.groupBy("fold_id", *keys).agg(*[F.sum(n).alias(n) for n in measures])

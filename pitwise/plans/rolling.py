@@ -3,6 +3,8 @@
 What a fold may train on is all that was known strictly before its cutoff. Counts per bucket and
 position are running sums with the cutoffs as marks (``pit.training_totals``); counts per player are
 read as of the cutoff on the player's own time line (``pit.totals_as_of``). No row is repeated per fold.
+Tables of folds times positions or buckets are broadcast: they grow with the calendar, not with the rows, which
+Spark's size estimate of an aggregate does not know.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitwise.functions.probability import clip, per_90, shrunk_mean
-from pitwise.operators import pit, relational
+from pitwise.operators import pit
 
 from . import components, minutes, team
 
@@ -57,11 +59,11 @@ def bucket_ensemble(frame: DataFrame, folds: DataFrame) -> DataFrame:
     """M6 of every row, fitted on what its fold knew: ``states`` beside the row."""
     rows = minutes.buckets(frame)
     overall = overall_states(state_totals(rows, folds, ["position"]), folds)
-    out, found = rows.join(relational.small(overall), "fold_id", "left"), [F.col("overall")]
+    out, found = rows.join(F.broadcast(overall), "fold_id", "left"), [F.col("overall")]
     for i, keys in enumerate((["position", "recency_bucket"], ["position", "start_bucket"], ["history_bucket"])):
-        leaf = state_totals(rows, folds, keys).filter(F.col("n") >= minutes.MIN_LEAF).join(relational.small(overall), "fold_id")
+        leaf = state_totals(rows, folds, keys).filter(F.col("n") >= minutes.MIN_LEAF).join(F.broadcast(overall), "fold_id")
         leaf = leaf.select("fold_id", *keys, minutes.blended(_weight(), F.col("own"), F.col("overall")).alias(f"leaf{i}"))
-        out = out.join(relational.small(leaf), ["fold_id", *keys], "left")
+        out = out.join(F.broadcast(leaf), ["fold_id", *keys], "left")
         found.append(F.col(f"leaf{i}"))
     return out.withColumn("states", minutes.mean_of(found)).drop("overall", *[f"leaf{i}" for i in range(3)])
 
@@ -69,12 +71,12 @@ def bucket_ensemble(frame: DataFrame, folds: DataFrame) -> DataFrame:
 def hierarchical(frame: DataFrame, folds: DataFrame) -> DataFrame:
     """M7 of every row with the position priors of its fold."""
     places = state_totals(frame, folds, ["position"])
-    priors = places.join(relational.small(overall_states(places, folds)), "fold_id").select(
+    priors = places.join(F.broadcast(overall_states(places, folds)), "fold_id").select(
         "fold_id", "position", "n",
         minutes.blended(_weight(), F.col("own"), F.col("overall")).alias("prior"),
         (F.col("appeared") / F.col("n")).alias("appearance_rate"), (F.col("started") / F.col("n")).alias("start_rate"),
     )
-    return minutes.hierarchical_given(frame.join(relational.small(priors), ["fold_id", "position"], "left"))
+    return minutes.hierarchical_given(frame.join(F.broadcast(priors), ["fold_id", "position"], "left"))
 
 
 def component_rates(rows: DataFrame, history: DataFrame, folds: DataFrame) -> DataFrame:
@@ -88,15 +90,15 @@ def component_rates(rows: DataFrame, history: DataFrame, folds: DataFrame) -> Da
     own = pit.totals_as_of(rows, history, ["player_uid"], CUT, TIME, known, {"known_position": F.struct("season", "gameweek", "fixture_key", "position")})
     places = pit.training_totals(history, folds, TIME, CUT, sums, ["position"]).filter("m is not null")
     rates = [per_90(F.col(e), F.col("m")).alias(f"{e}_position") for e in components.EVENTS]
-    df = own.join(relational.small(places.select("fold_id", "position", *rates)), ["fold_id", "position"], "left")
+    df = own.join(F.broadcast(places.select("fold_id", "position", *rates)), ["fold_id", "position"], "left")
     at_known = places.select("fold_id", F.col("position").alias("known_position"), *[per_90(F.col(e), F.col("m")).alias(f"{e}_known") for e in components.EVENTS])
-    df = df.join(relational.small(at_known), ["fold_id", "known_position"], "left")
+    df = df.join(F.broadcast(at_known), ["fold_id", "known_position"], "left")
     made = {f"{e}_rate": shrunk_mean(F.col(f"{e}_sum") * 90.0, F.col("m_sum"), F.col(f"{e}_known"), components.SHRINK_MINUTES) for e in components.EVENTS}
     df = components.rates_given(df.withColumns(made)).drop("known_position", *known, *[f"{e}_known" for e in components.EVENTS])
     both = places.groupBy("fold_id").agg(F.sum("goals_scored").alias("g"), F.sum("assists").alias("a"))
     share = F.when(F.col("g") > 0, F.col("a") / F.col("g")).otherwise(components.ASSISTED_PRIOR)
     assisted = folds.select("fold_id").join(both, "fold_id", "left").select("fold_id", clip(share, *components.ASSISTED_BOUNDS).alias("assisted_goal_rate"))
-    return df.join(relational.small(assisted), "fold_id", "left")
+    return df.join(F.broadcast(assisted), "fold_id", "left")
 
 
 def team_rates(fixtures: DataFrame, folds: DataFrame, recent: int = team.RECENT, shrink: int = team.SHRINK) -> DataFrame:
@@ -104,7 +106,7 @@ def team_rates(fixtures: DataFrame, folds: DataFrame, recent: int = team.RECENT,
 
     A fixture whose fold knew no match is left out.
     """
-    at = fixtures.join(relational.small(team.league_means(fixtures, folds).select("fold_id", "home_mean", "away_mean")), "fold_id")
+    at = fixtures.join(F.broadcast(team.league_means(fixtures, folds).select("fold_id", "home_mean", "away_mean")), "fold_id")
     for role in ("home", "away"):
         line = Window.partitionBy(f"{role}_team_uid").orderBy(TIME, "fixture_key").rowsBetween(1 - recent, 0)
         sums = {f"_{role}_h": F.sum("home_goals").over(line), f"_{role}_a": F.sum("away_goals").over(line), f"_{role}_n": F.count(F.lit(1)).over(line)}
