@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +44,10 @@ SAMPLES, SAMPLE = 8, 3
 FEW, VERY = 12, 0.85
 #: Text bytes whose shingles are held at once.
 PRINT_BYTES = 1 << 20
-#: Leaders that a new leader is linked to.
+#: Leaders that a new leader is linked to at first; what that leaves apart is compared in full (``rest_links``).
 NEAREST = 8
+#: Shingles of a block of texts that are compared in full: two such blocks are held at once, 8 bytes a shingle.
+SET_BLOCK = 1 << 19
 #: Sketches estimate likeness to 0.05 or so; that much below the bound and two more are looked at.
 SLACK = 0.15
 
@@ -391,8 +394,8 @@ def likely_links(ids: np.ndarray, sketches: np.ndarray, least: float) -> tuple[l
 
     A few are compared each with each. Of many, each is compared with the leaders before it: it is
     linked to the one most like it where that is very like it, else it is a leader itself, linked to
-    those most like it among those that seem alike, which is enough to connect what is connected. So
-    links grow with the rows, and comparisons with rows times leaders.
+    those most like it among those that seem alike. That joins most of what belongs together, with
+    links that grow with the rows; what it leaves apart is for ``rest_links``.
     """
     u, v = [], []
     if len(ids) <= FEW:
@@ -414,7 +417,60 @@ def likely_links(ids: np.ndarray, sketches: np.ndarray, least: float) -> tuple[l
     return u, v
 
 
-def _likely(least: float):
+def verified_links(ids: np.ndarray, groups: np.ndarray, sides: np.ndarray, sizes: np.ndarray, values: np.ndarray, least: float) -> tuple[list[int], list[int]]:
+    """Links between texts of different ``groups`` that share ``least`` of their shingles: as many as connect what all such links connect.
+
+    ``values`` holds the texts' sets one after the other. Each text is compared once with those whose
+    group is not reached yet, and where there are two sides with those of the other side. Texts so
+    alike have a shingle in common among the rarest of both (their heads: all but ``least`` of a set,
+    and one more), so only those are counted. No estimate is involved.
+    """
+    n, starts = len(ids), np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(n), sizes)
+    _, code, often = np.unique(values, return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    code = rank[code]
+    code = code[np.lexsort((code, owner))]  # each text's rarest shingles first
+    heads = sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1
+    at_head = np.flatnonzero(np.arange(len(code)) - starts[owner] < heads[owner])
+    by_code = at_head[np.argsort(code[at_head], kind="stable")]
+    holders, bounds = owner[by_code], np.searchsorted(code[by_code], np.arange(len(often) + 1))
+    _, group, members = np.unique(groups, return_inverse=True, return_counts=True)
+    of_group = np.split(np.argsort(group, kind="stable"), np.cumsum(members)[:-1])
+    apart = len(np.unique(sides)) > 1
+    left, mark, u, v = np.ones(n, bool), np.zeros(len(often), np.uint8), [], []
+    for seed in range(len(of_group)):
+        if not left[of_group[seed][0]]:
+            continue
+        reached = of_group[seed].tolist()
+        left[reached] = False
+        while reached and left.any():
+            at = reached.pop()
+            own = code[starts[at] : starts[at] + sizes[at]]
+            seen = np.zeros(n, bool)
+            seen[np.concatenate([holders[bounds[c] : bounds[c + 1]] for c in own[: heads[at]].tolist()])] = True
+            near = seen & left & (sizes >= least * sizes[at]) & (least * sizes <= sizes[at])
+            near = np.flatnonzero(near & (sides != sides[at]) if apart else near)
+            if not len(near):
+                continue
+            ends = np.cumsum(sizes[near])
+            begins = ends - sizes[near]
+            mark[own] = 1
+            shared = np.add.reduceat(mark[code[np.arange(ends[-1]) + np.repeat(starts[near] - begins, sizes[near])]], begins, dtype=np.int64)
+            mark[own] = 0
+            near = near[shared >= least * (sizes[at] + sizes[near] - shared)]
+            for g, first in zip(*np.unique(group[near], return_index=True), strict=True):
+                u.append(int(ids[at]))
+                v.append(int(ids[near[first]]))
+                reached += of_group[g].tolist()
+                left[of_group[g]] = False
+    return u, v
+
+
+def _of_units(links_of: Callable[[pa.Table], tuple[list[int], list[int]]]):
+    """A task's work: ``links_of`` on the rows of each (key, part), which come sorted; no more than one unit and a batch are held."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
@@ -425,12 +481,10 @@ def _likely(least: float):
             if not last:  # the last key may go on
                 keep = t.slice(starts[-1])
                 starts, ends = starts[:-1], ends[:-1]
-            ids = t.column(2).to_numpy()
             u, v = [], []
             for a, b in zip(starts, ends, strict=True):
                 if b - a > 1:
-                    sketches = np.frombuffer(b"".join(t.column(3).slice(a, b - a).to_pylist()), np.uint8).reshape(b - a, -1)
-                    x, y = likely_links(ids[a:b], sketches, least)
+                    x, y = links_of(t.slice(a, b - a))
                     u += x
                     v += y
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"]), None if last else keep
@@ -446,9 +500,26 @@ def _likely(least: float):
     return run
 
 
+def _likely(least: float):
+    def links_of(t: pa.Table) -> tuple[list[int], list[int]]:
+        sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        return likely_links(t.column("id").to_numpy(), sketches, least)
+
+    return _of_units(links_of)
+
+
+def _verified(least: float):
+    def links_of(t: pa.Table) -> tuple[list[int], list[int]]:
+        ids, roots, sides = (t.column(c).to_numpy() for c in ("id", "root", "own"))
+        sets = t.column("shingles").combine_chunks()
+        return verified_links(ids, roots, sides, pc.list_value_length(sets).to_numpy().astype(np.int64), sets.flatten().to_numpy(), least)
+
+    return _of_units(links_of)
+
+
 def likely_pairs(owners: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     """(u, v): owners with a sample fingerprint in common whose sketches are at least ``least`` alike; hot keys are dealt out as pairs of blocks."""
-    keys = owners.select("id", "sketch", F.posexplode("samples").alias("nth", "sample")).select(F.xxhash64("nth", "sample").alias("key"), "id", "sketch")
+    keys = sample_keys(owners, "sketch")
     sizes = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sample-keys")
     shared = split_join(keys, sizes.withColumn("g", F.ceil(F.col("n") / block).cast("int")), "key", "id", 8 * owners.count())
     own = F.pmod(F.xxhash64("id"), F.col("g")).cast("int")
@@ -457,12 +528,46 @@ def likely_pairs(owners: DataFrame, least: float, block: int = BLOCK) -> DataFra
     return dealt.repartition("key", "part").sortWithinPartitions("key", "part", "id").mapInArrow(_likely(least), "u long, v long").distinct()
 
 
+def sample_keys(owners: DataFrame, *kept: str) -> DataFrame:
+    """(key, id and the columns ``kept``): a row for each sample fingerprint of each text."""
+    return owners.select("id", *kept, F.posexplode("samples").alias("nth", "sample")).select(F.xxhash64("nth", "sample").alias("key"), "id", *kept)
+
+
+def rest_links(docs: DataFrame, owners: DataFrame, roots: DataFrame, sets: DataFrame, k: int, least: float) -> DataFrame | None:
+    """(u, v): links between texts of one crowded key that ``roots`` has in different groups, by the sets themselves; None where there is no such key.
+
+    Crowded keys are those whose texts ``likely_links`` does not compare each with each. Within a key
+    no two texts of one group have to meet, so its largest group is dealt out once to blocks of
+    SET_BLOCK shingles, and the others meet those blocks and each other as pairs of blocks.
+    """
+    grouped = owners.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    keys = sample_keys(grouped, "size", "root")
+    groups = keys.groupBy("key", "root").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("n"))
+    found = groups.groupBy("key").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"), F.max(F.struct("weight", "root")).alias("main"), F.count(F.lit(1)).alias("groups"))
+    blocks = lambda weight: F.ceil(weight / SET_BLOCK).cast("int")
+    found = found.filter(f"n > {FEW} and groups > 1").select("key", "n", F.col("main.root").alias("main"), blocks(F.col("weight") - F.col("main.weight")).alias("a"), blocks(F.col("main.weight")).alias("b"))
+    found = materialize(found, "crowded-keys")
+    if found.isEmpty():
+        return None
+    place = F.when(F.col("root") == F.col("main"), F.col("a") + F.pmod(F.xxhash64("id"), F.col("b"))).otherwise(F.pmod(F.xxhash64("id"), F.col("a")))
+    rows = split_join(keys, found, "key", "id", SAMPLES * owners.count())
+    rows = materialize(rows.select("key", "id", "root", place.cast("int").alias("own"), "a", (F.col("a") + F.col("b")).alias("g")), "crowded-rows")
+    missing = rows.select("id").distinct().join(sets, "id", "left_anti").join(owners.select("id", "first"), "id")
+    held = sets.unionByName(sets_of(docs, missing.select(F.col("first").alias("doc_id"), "id", F.lit(1).cast("long").alias("n")), k)).select("id", "shingles")
+    last = F.when(F.col("own") < F.col("a"), F.col("g") - 1).otherwise(F.col("a") - 1)
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    dealt = dealt.withColumn("part", F.least("own", "other") * F.col("g") + F.greatest("own", "other")).select("key", "part", "own", "id", "root")
+    dealt = dealt.join(held, "id").select("key", "part", "own", "id", "root", "shingles").repartition("key", "part").sortWithinPartitions("key", "part", "id")
+    return materialize(dealt.mapInArrow(_verified(least), "u long, v long").distinct(), "crowded-links")
+
+
 def shingle_groups(docs: DataFrame, k: int = 5, least: float = 0.8, bits: int = 4) -> DataFrame:
     """(doc_id, component_id) of every row: groups of texts that share ``least`` of their ``k``-word shingles, pair by pair.
 
     Candidates are texts whose fingerprints differ in up to ``bits`` bits (by Golay keys) and texts
     with a sample fingerprint in common; each counts only if the sets of shingles themselves, as
-    64-bit hashes, are alike enough. Texts with equal sets are one. Null and empty texts have no
+    64-bit hashes, are alike enough. Where many texts have a sample in common, a first choice of
+    links makes groups, then all texts of different groups are compared by their sets. Texts with equal sets are one. Null and empty texts have no
     shingles and form one group; repeated rows come back as often as they came.
     """
     made = materialize(prints(docs, k), "prints")
@@ -479,14 +584,15 @@ def shingle_groups(docs: DataFrame, k: int = 5, least: float = 0.8, bits: int =
     n_pairs = pairs.count()
     # the texts of candidates are read again for their shingles
     ends = materialize(pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).groupBy("u").agg(F.count(F.lit(1)).alias("n")), "print-ends")
-    wanted = materialize(ends.join(sizes, ends["u"] == sizes["id"]).select(F.col("first").alias("doc_id"), "id", "n"), "print-wanted")
-    few = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_KEYS else wanted
-    sets = materialize(shingle_sets(docs.join(few, "doc_id"), k).dropDuplicates(["id"]), "print-sets")
+    sets = sets_of(docs, ends.join(sizes, ends["u"] == sizes["id"]).select(F.col("first").alias("doc_id"), "id", "n"), k)
     half = split_join(pairs, sets.select(F.col("id").alias("v"), F.col("shingles").alias("b"), "n"), "v", "u", n_pairs)
     whole = half.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u")
     shared = F.size(F.array_intersect("a", "b"))
     true = whole.filter(shared >= least * (F.size("a") + F.size("b") - shared)).select("u", "v")
     roots = components(true)
+    rest = rest_links(docs, able, roots, sets, k, least)
+    if rest is not None and not rest.isEmpty():
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(rest))
     linked = materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(owners.select("id", "first"), F.col("node") == F.col("id")).select("id", "root", "first"), "print-linked")
     firsts = materialize(linked.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")), "print-firsts")
     moved = split_join(linked.select("id", "root"), firsts, "root", "id", linked.count()).select("id", F.col("component_id").alias("moved"))
@@ -495,6 +601,13 @@ def shingle_groups(docs: DataFrame, k: int = 5, least: float = 0.8, bits: int =
     return split_join(made.select("doc_id", F.struct("low", "high").alias("at")), materialize(names, "print-of"), "at", "doc_id", made.count()).select("doc_id", "component_id")
 
 
+def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``shingle_sets`` of the texts that ``wanted`` (doc_id, id, n) names, as a table with one row for each id."""
+    wanted = materialize(wanted, "print-wanted")
+    few = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_KEYS else wanted
+    return materialize(shingle_sets(docs.join(few, "doc_id"), k).dropDuplicates(["id"]), "print-sets")
+
+
 def shingle_sets(docs: DataFrame, k: int = 5) -> DataFrame:
     """(id, n, shingles) of rows (id, n, text): the distinct hashes of a text's shingles."""
 

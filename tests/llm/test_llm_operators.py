@@ -503,3 +503,42 @@ def test_empty_tables(empty, benchmark, spark):
     assert pii.find_personal_data(empty).count() == 0
     assert langid.predict(empty, langid.train(empty)).count() == 0
     assert quality.scored(empty, quality.train(empty, spark.createDataFrame([], "doc_id long, quality int"))).count() == 0
+
+
+@pytest.mark.parametrize("block", [1 << 19, 700])
+def test_no_link_of_a_crowded_sample_is_lost(spark, monkeypatch, block):
+    """Texts that only one text of many, itself no leader, connects with the rest."""
+    monkeypatch.setattr(simhash, "SET_BLOCK", block)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base)]
+    for i in range(12):
+        near = [*base[: 30 * i + 10], *(f"x{i}q{j}" for j in range(4)), *base[30 * i + 14 :]]
+        at = (30 * i + 110) % 340
+        texts += [" ".join(near), " ".join([*near[:at], *(f"y{i}q{j}" for j in range(34)), *near[at + 34 :]])]
+    pairs = brute.shingle_pairs(texts)
+    assert all((0, 2 * i) not in pairs and (2 * i - 1, 2 * i) in pairs for i in range(1, 13)) and len(pairs) < 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.component_id for r in simhash.shingle_groups(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == brute.shingle_groups(texts, pairs)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_verified_links_connect_what_all_links_connect(seed):
+    r = np.random.default_rng(seed)
+    n = 60
+    sets = [np.unique(np.append(r.choice(40, r.integers(1, 9), replace=False) if i % 3 else np.r_[100 : 110 + i % 5], r.integers(0, 500))) for i in range(n)]
+    groups, sides = r.integers(0, n if seed % 2 else 12, n) + 1000, r.integers(0, 1 + seed // 2, n)
+
+    def roots(links):
+        of = {int(g): int(g) for g in groups}
+        for a, b in links:
+            x, y = of[a], of[b]
+            of = {g: min(x, y) if o in (x, y) else o for g, o in of.items()}
+        return of
+
+    meet = lambda a, b: len(set(sides)) == 1 or sides[a] != sides[b]
+    alike = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))
+    every = [(a, b) for b in range(n) for a in range(b) if groups[a] != groups[b] and meet(a, b) and alike(a, b)]
+    u, v = simhash.verified_links(np.arange(n), groups, sides, np.array([len(s) for s in sets]), np.concatenate(sets), 0.8)
+    assert every and len(u) < len(set(groups)) and all((min(p), max(p)) in every for p in zip(u, v, strict=True))
+    assert roots((groups[a], groups[b]) for a, b in zip(u, v, strict=True)) == roots((groups[a], groups[b]) for a, b in every)
